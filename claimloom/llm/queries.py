@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import packing, sstable
+from claimloom.llm import exact_dedup, packing, quality, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,34 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, m, bad = quality.judge(docs)
+    m = F.col(m)
+    base_failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+    digest = [m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("doc_id", *digest, base_failed.alias("base_failed"), (~base_failed & (F.size(bad) == 0)).alias("kept"), F.col(bad).alias("failed_rules"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.group(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sstable": op1_sstable,
     "op5_packing": op5_packing,
+    "op7_quality": op7_quality,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        with n as (
+            select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
+        ), g as (
+            select norm, min(doc_id) as keep_id, count(*) as group_size from n group by norm
+        )
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256
+        from n join g using (norm)
+    """,
+}

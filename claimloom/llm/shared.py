@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def fresh(columns: list[str], name: str) -> str:
 def slices(batches, column: str = "text", most: int = 8 << 20):
     """Cut Arrow batches so that the text of each slice stays near ``most`` bytes; one long text is a slice of its own."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + (n or 0) > most:

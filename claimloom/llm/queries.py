@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, near_dedup, packing, quality, sstable
+from claimloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, sstable, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,27 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.format_turns(turns, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed, (turn, place, within, weight) = mixing.mix_sources(docs)
+    return mixed.select("doc_id", "source", F.col(turn).alias("pass"), F.col(place).alias("block"), F.col(within).alias("place"), F.col(weight).alias("weight"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found, m, bad = quality.judge(docs)
@@ -41,7 +58,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sstable": op1_sstable,
+    "op3_token_counts": op3_token_counts,
+    "op4_chat": op4_chat,
     "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,

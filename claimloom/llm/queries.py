@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, sstable, token_counts
+from claimloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, sstable, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(warc.write_pages(_table(spark, sf_dir, "pages")), payload=False)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,6 +62,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sstable": op1_sstable,
+    "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_chat": op4_chat,
     "op5_packing": op5_packing,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, sstable, token_counts, warc
+from claimloom.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, quality, sstable, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *digest, base_failed.alias("base_failed"), (~base_failed & (F.size(bad) == 0)).alias("kept"), F.col(bad).alias("failed_rules"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, text = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return found.select("page_id", F.col(text).alias("text"), F.length(text).cast("long").alias("text_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }

@@ -94,11 +94,11 @@ def group(docs: DataFrame, capacity: int = 1 << 20, max_depth: int = 12, hash_of
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the later copies, their columns as they were; of repeated rows one stays."""
     names = docs.columns
-    key = fresh(names, "_digest")
+    key, own, sha = (fresh(names, n) for n in ("_digest", "_id", "_sha"))
     found = materialize(group(docs, **options), "exact-groups")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct()
     keyed = docs.withColumn(key, F.sha2(normalised(text_column()), 256))
-    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_sha")), "left_anti")
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(key) == F.col(sha)), "left_anti")
     again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if not again.isEmpty():
         left = left.dropDuplicates(["doc_id", key])

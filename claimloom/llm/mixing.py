@@ -138,12 +138,14 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, list[str]
     found = plan(docs, mix)
     names = docs.columns
     key, turn, place, within, weight = (fresh(names, n) for n in ("_key", "_pass", "_block", "_order", "_weight"))
-    planned = found.select(F.col("key").alias(key), F.col("weight").alias(weight), F.col("whole").alias("_p_whole"), F.col("last_block").alias("_p_block"), F.col("last_order").alias("_p_order"), F.col("bits").alias("_p_bits"))
+    whole, last, end, bits, uses = (fresh(names, n) for n in ("_p_whole", "_p_block", "_p_order", "_p_bits", "_p_uses"))
+    planned = found.select(
+        F.col("key").alias(key), F.col("weight").alias(weight), F.col("whole").alias(whole), F.col("last_block").alias(last), F.col("last_order").alias(end), F.col("bits").alias(bits)
+    )
     keyed = docs.withColumn(key, source_key(F.col("source"))).join(planned, key)
     doc_id = F.col("doc_id").cast("long")
-    at, inside = block(F.col("_p_bits"), mix, F.col("_p_whole"), F.col(key), doc_id), order(mix, F.col("_p_whole"), doc_id)
-    in_part = F.coalesce((at < F.col("_p_block")) | ((at == F.col("_p_block")) & (inside <= F.col("_p_order"))), F.lit(False))
-    uses = F.col("_p_whole") + in_part.cast("int")
-    used = keyed.withColumn("_p_uses", uses).where("_p_uses > 0").withColumn(turn, F.explode(F.sequence(F.lit(0), F.col("_p_uses") - 1)))
-    out = used.withColumn(place, block(F.col("_p_bits"), mix, F.col(turn), F.col(key), doc_id)).withColumn(within, order(mix, F.col(turn), doc_id))
+    at, inside = block(F.col(bits), mix, F.col(whole), F.col(key), doc_id), order(mix, F.col(whole), doc_id)
+    in_part = F.coalesce((at < F.col(last)) | ((at == F.col(last)) & (inside <= F.col(end))), F.lit(False))
+    used = keyed.withColumn(uses, F.col(whole) + in_part.cast("int")).where(F.col(uses) > 0).withColumn(turn, F.explode(F.sequence(F.lit(0), F.col(uses) - 1)))
+    out = used.withColumn(place, block(F.col(bits), mix, F.col(turn), F.col(key), doc_id)).withColumn(within, order(mix, F.col(turn), doc_id))
     return out.select(*names, turn, place, within, weight), [turn, place, within, weight]

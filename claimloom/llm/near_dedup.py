@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.shared import materialize, slices, text_column
+from claimloom.llm.shared import fresh, materialize, slices, text_column
 
 BANDS, ROWS = 42, 6
 SKETCH_BITS = 1024
@@ -300,5 +300,6 @@ def _unsettled(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: i
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each component; their columns as they were."""
-    gone = materialize(group(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    own = fresh(docs.columns, "_gone")
+    gone = group(docs, width, percent).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(materialize(gone, "near-gone"), docs["doc_id"] == F.col(own), "left_anti")

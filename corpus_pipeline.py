@@ -1,12 +1,58 @@
-"""The corpus pipeline: documents through quality rules, deduplication, mixing and packing."""
+"""The corpus pipeline: quality rules, exact and near deduplication, mixing, packing.
+
+Each stage is a function of (spark, docs, sf_dir). All but the last return rows with the columns of ``documents``; the last
+returns a row per packed piece. What a stage returns is written and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from claimloom.llm import exact_dedup, mixing, near_dedup, packing, quality
+from claimloom.llm.shared import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of the threshold table."""
+    return quality.keep(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: five-word shingles, similarity of at least 0.8."""
+    return near_dedup.keep_one(docs, width=5, percent=80)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources up to one and a half times on average."""
+    return mixing.mix_sources(docs)[0].select(*docs.columns)
+
+
+def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("source_mix", source_mix),
+    ("packing", token_packing),
+]
+
+#: The near-duplicate, mixing and packing stages are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

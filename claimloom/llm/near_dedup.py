@@ -1,16 +1,18 @@
 """MinHash near-deduplication with odd sketches.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes). From the set come a digest, ``BANDS x ROWS`` MinHash
-   samples as band keys, and an odd sketch: every sample flips one bit of a bitmap, so that the XOR of two bitmaps has a bit
-   for each sample, up to chance, in which the sets differ.
+   samples as band keys, and an odd sketch: each of the ``BOTTOM`` smallest hashes, a MinHash sample of the whole set if that
+   is no larger, flips one bit of a bitmap, so that the XOR of two bitmaps has about a bit for each sample in which they differ.
 2. Equal sets are one node, the one of their smallest doc_id. Copies are never paired.
 3. In each band bucket every node is paired with the bucket's smallest node. A node's first check is with the hub it shares
    most buckets with; checks compare whole sets. Links give components by repeated smallest-neighbour hooking.
-4. What is left are pairs of nodes of one bucket in different components. Those whose sizes allow the similarity and whose
-   sketches don't rule it out are checked, and components are taken again. A pair inside a component needs no check.
+4. Buckets that still hold several components are dealt to tiles of bounded size, in which sketches are compared as bitmaps,
+   without making pairs into rows. What comes out is first each node's most similar one of another component; these are
+   checked and components taken again. Then it is every pair across components that sizes and sketches don't rule out,
+   which is checked too. A pair inside a component needs no check.
 
 Checks read the whole texts again, those of candidates only. Two sets of similarity 0.8 share no bucket with a probability
-of (1 - 0.8 ** ROWS) ** BANDS, 3e-6 with the defaults; the sketch's bound adds less than 1e-9.
+of (1 - 0.8 ** ROWS) ** BANDS, 3e-6 with the defaults; the sketch's bound, at 6.5 standard deviations, adds less than 1e-9.
 
 Defined results: a null text, or one without words, has no shingles, and is linked with nothing; one with fewer words than a
 shingle has its whole word sequence as the only one; the doc_id names a document, so rows that share one are one document
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from claimloom.llm.shared import fresh, materialize, slices, text_column
 
 BANDS, ROWS = 42, 6
-SKETCH_BITS = 1024
+SKETCH_BITS, BOTTOM = 2048, 1024
+#: Nodes of a block; two blocks of a bucket meet in a tile.
+BLOCK = 1024
 #: Slots of the prefilter that picks candidates' texts; its table is broadcast and has this many rows at most.
 SLOTS = 1 << 20
 
@@ -134,23 +138,34 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketches(sample: np.ndarray) -> np.ndarray:
-    """A parity bitmap, packed to bytes, per row of samples: sample i of value v flips bit hash(i, v)."""
-    n, k = sample.shape
-    at = _mixed(sample.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    flips = np.bincount((at + (np.arange(n, dtype=np.uint64) * np.uint64(SKETCH_BITS))[:, None]).astype(np.int64).ravel(), minlength=n * SKETCH_BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def odd_sketch(found: np.ndarray) -> bytes:
+    """The parity bitmap of a set's smallest hashes."""
+    flips = np.bincount((found[:BOTTOM] % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 
-def most_differing_bits(similarity: float, sure: float = 6.5) -> float:
-    """XOR bits that sets of at least a similarity stay under: mean plus ``sure`` standard deviations.
+def xor_bits(differing: np.ndarray, sure: float = 6.5) -> np.ndarray:
+    """XOR bits that sketches with so many differing samples stay under: mean and ``sure`` deviations, or one for each."""
+    n, d = SKETCH_BITS, differing.astype(float)
+    mean = n / 2 * (1 - (1 - 2 / n) ** d)
+    spread = n / 4 * (1 - (1 - 4 / n) ** d) + n * n / 4 * ((1 - 4 / n) ** d - (1 - 2 / n) ** (2 * d))
+    return np.minimum(d, mean + sure * np.sqrt(np.maximum(spread, 0)))
 
-    With d differing samples of k, 2 d bits are flipped at random; d is binomial with 1 - similarity.
+
+_XOR_BITS = xor_bits(np.arange(2 * BOTTOM + 1))
+
+
+def most_xor_bits(a: np.ndarray, b: np.ndarray, percent: int, sure: float = 6.5) -> np.ndarray:
+    """XOR bits that sets of these sizes stay under if they are similar.
+
+    Whole sets differ in at most (a + b) (100 - p) / (100 + p) elements. Of larger sets the samples hold what lies in both of
+    the union's smallest ``BOTTOM``, a share of at least p percent.
     """
-    k = BANDS * ROWS
-    d = min(k, k * (1 - similarity) + sure * (k * similarity * (1 - similarity)) ** 0.5)
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * d))
-    return mean + sure * (mean * (1 - mean / SKETCH_BITS)) ** 0.5
+    whole = (a + b) * (100 - percent) // (100 + percent)
+    share = percent / 100
+    common = BOTTOM * share - sure * (BOTTOM * share * (1 - share)) ** 0.5
+    sampled = np.minimum(a, BOTTOM) + np.minimum(b, BOTTOM) - 2 * int(common)
+    return _XOR_BITS[np.clip(np.where((a <= BOTTOM) & (b <= BOTTOM), whole, sampled), 0, 2 * BOTTOM)]
 
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"
@@ -164,13 +179,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(batch.column("text"), width)
             full = np.array([len(s) > 0 for s in sets], bool)
             sample = np.array([samples(s) for s in sets if len(s)], np.uint32).reshape(-1, BANDS * ROWS)
-            sketches, keys = iter(odd_sketches(sample)), iter(band_keys(sample))
+            keys = iter(band_keys(sample))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if ok else None for s, ok in zip(sets, full)], pa.binary()),
-                    pa.array([next(sketches).tobytes() if ok else None for ok in full], pa.binary()),
+                    pa.array([odd_sketch(s) if ok else None for s, ok in zip(sets, full)], pa.binary()),
                     pa.array([next(keys) if ok else None for ok in full], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n_shingles", "digest", "sketch", "bands"],
@@ -262,9 +277,12 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = materialize(verify(docs, best, width, percent), "near-links")
     label = materialize(components(links), "near-labels")
 
-    left = _unsettled(shared, nodes, label, percent).join(best, ["a", "b"], "left_anti")
-    more = materialize(verify(docs, materialize(left, "near-left"), width, percent), "near-links")
-    every = links.union(more).union(split)
+    nearest = materialize(_across(shared, nodes, label, percent, every=False).distinct().join(best, ["a", "b"], "left_anti"), "near-nearest")
+    links = materialize(links.union(verify(docs, nearest, width, percent)), "near-links")
+    label = materialize(components(links), "near-labels")
+
+    left = _across(shared, nodes, label, percent, every=True).distinct().join(best, ["a", "b"], "left_anti").join(nearest, ["a", "b"], "left_anti")
+    every = links.union(verify(docs, materialize(left, "near-left"), width, percent)).union(split)
     label = materialize(components(every), "near-labels")
 
     known = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -273,29 +291,59 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
-def _unsettled(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of one bucket in different components that size and sketch allow."""
+def _across(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (a < b) of one bucket in different components that size and sketch allow: every one, or each node's best."""
     tagged = shared.join(label, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
-    tagged = materialize(tagged.join(mixed, "band", "left_semi"), "near-mixed")
-    # pairs of components first, so that members of one component never meet
-    parts = tagged.select("band", "c").distinct()
-    parts = parts.withColumnRenamed("c", "p").join(parts.withColumnRenamed("c", "q"), "band").where("p < q")
-    x = tagged.select("band", F.col("c").alias("p"), F.col("node").alias("i"), F.col("n").alias("ni"))
-    y = tagged.select("band", F.col("c").alias("q"), F.col("node").alias("j"), F.col("n").alias("nj"))
-    sized = 100 * F.least("ni", "nj") >= percent * F.greatest("ni", "nj")
-    pairs = parts.join(x, ["band", "p"]).join(y, ["band", "q"]).where(sized).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    sketches = nodes.select("node", "sketch")
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
-    most = most_differing_bits(percent / 100)
-
-    def sift(batches):
-        for batch in batches:
-            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("s", "t"))
-            bits = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(bits <= most))
+    mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    mixed = mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = tagged.join(mixed, "band").join(nodes.select("node", "sketch"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "c", "sketch")
+    tiles = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
 
-    return both.select("a", "b", "s", "t").mapInArrow(sift, "a long, b long")
+    def compare(batches):
+        key, held = None, []
+        for batch in batches:
+            edges = np.stack([batch.column(k).to_numpy() for k in ("band", "low", "high")])
+            cuts = [0, *(np.flatnonzero((edges[:, 1:] != edges[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if tuple(edges[:, a]) != key:
+                        if held:
+                            yield _tile(pa.Table.from_batches(held), percent, every)
+                        key, held = tuple(edges[:, a]), []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield _tile(pa.Table.from_batches(held), percent, every)
+
+    return tiles.mapInArrow(compare, "a long, b long")
+
+
+def _tile(rows: pa.Table, percent: int, every: bool) -> pa.RecordBatch:
+    """The pairs of one tile: of its two blocks, or within its only one."""
+    block, node, n, c = (rows.column(k).to_numpy() for k in ("block", "node", "n", "c"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+    crossing = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+    low, high = [], []
+    for i in range(len(node)):
+        fit = (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if crossing:
+            fit &= block != block[i]
+        if every:
+            fit[: i + 1] = False
+        at = np.flatnonzero(fit)
+        if not len(at):
+            continue
+        bits = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        allowed = bits <= most_xor_bits(n[at], n[i], percent)
+        at, bits = at[allowed], bits[allowed]
+        if len(at) and not every:
+            at = at[[np.argmin(bits)]]
+        low.append(np.minimum(node[at], node[i]))
+        high.append(np.maximum(node[at], node[i]))
+    empty = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (low, high)], names=["a", "b"])
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

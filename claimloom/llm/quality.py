@@ -97,36 +97,40 @@ def repeated_words(words: Column, n: int = 8) -> Column:
     return F.when(last > 1, F.when(twice, exact).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
-def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
-    """Every measure by name; ``words`` and ``lines`` (those with a word) are arrays."""
-    n_words, n_lines = F.size(words).cast("long"), F.size(lines)
-    word_chars = F.length(_without(text, WHITE)).cast("long")
-    n_symbols = (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long")
-    n_dup_lines = (n_lines - F.size(F.array_distinct(lines))).cast("long")
-    n_repeat = repeated_words(words)
+def base_measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Counts by name; ``words`` and ``lines`` (those with a word) are arrays."""
     stops = sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
-    n_stops = F.size(F.filter(words, lambda w: w.isin(stops)))
-    bullets = F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\t]*[-*•‣]")))
-    ellipses = F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*$")))
     return {
-        "n_words": n_words,
-        "word_chars": word_chars,
-        "n_symbols": n_symbols,
-        "n_dup_lines": n_dup_lines,
-        "n_repeat_words": n_repeat,
-        "mean_word_chars": _share(word_chars, n_words),
-        "symbols_a_word": _share(n_symbols, n_words),
-        "exclamations_a_word": _share(F.length(text) - F.length(_without(text, "!")), n_words),
-        "stop_words_a_word": _share(n_stops, n_words),
-        "repeated_line_share": _share(n_dup_lines, n_lines),
-        "repeated_word_share": _share(n_repeat, n_words),
-        "bullet_line_share": _share(bullets, n_lines),
-        "ellipsis_line_share": _share(ellipses, n_lines),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(_without(text, WHITE)).cast("long"),
+        "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeated_words(words),
+        "n_lines": F.size(lines).cast("long"),
+        "n_exclamations": F.length(text) - F.length(_without(text, "!")),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stops))),
+        "n_bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\t]*[-*•‣]"))),
+        "n_ellipses": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*$"))),
     }
 
 
-def failed(rules: Sequence[Rule], m: Column) -> Column:
-    """The names of the rules that a text's measures (a struct) fail: the table as one expression."""
+def ratios(base: dict[str, Column]) -> dict[str, Column]:
+    """Ratios by name."""
+    words, lines = base["n_words"], base["n_lines"]
+    return {
+        "mean_word_chars": _share(base["word_chars"], words),
+        "symbols_a_word": _share(base["n_symbols"], words),
+        "exclamations_a_word": _share(base["n_exclamations"], words),
+        "stop_words_a_word": _share(base["n_stop_words"], words),
+        "repeated_line_share": _share(base["n_dup_lines"], lines),
+        "repeated_word_share": _share(base["n_repeat_words"], words),
+        "bullet_line_share": _share(base["n_bullets"], lines),
+        "ellipsis_line_share": _share(base["n_ellipses"], lines),
+    }
+
+
+def failed(rules: Sequence[Rule], m: dict[str, Column]) -> Column:
+    """The names of the rules that a text's measures fail: the table as one expression."""
 
     def fails(rule: Rule) -> Column:
         value, out = m[rule.measure], F.lit(False)
@@ -148,8 +152,14 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, st
         words: F.array_remove(F.split(text, WHITE_CLASS + "+"), ""),
         lines: F.filter(F.split(text, "\n"), lambda x: _without(x, WHITE) != ""),
     })
-    found = split.withColumn(m, F.struct(*[c.alias(k) for k, c in measures(text, F.col(words), F.col(lines)).items()]))
-    return found.drop(words, lines).withColumn(bad, failed(rules, F.col(m))), m, bad
+    # counts are columns of their own, so that none is computed again for each ratio and rule that has it
+    base = base_measures(text, F.col(words), F.col(lines))
+    names = {k: fresh(docs.columns, f"_{k}") for k in base}
+    counted = split.withColumns({names[k]: c for k, c in base.items()}).drop(words, lines)
+    base = {k: F.col(name) for k, name in names.items()}
+    every = base | ratios(base)
+    found = counted.withColumns({m: F.struct(*[c.alias(k) for k, c in every.items()]), bad: failed(rules, every)})
+    return found.drop(*names.values()), m, bad
 
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -1,0 +1,88 @@
+"""Claims of documents: a row per sentence, per claim, or per document."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from claimloom.functions import claims as C
+from claimloom.functions.text import sentences, truncate
+
+
+def sentence_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Key, pos, sentence and the next sentence ("" after the last).
+
+    The next sentence comes from the array before it is exploded, so no shuffle is needed.
+    """
+    found = docs.select(key, sentences(F.coalesce(F.col("text"), F.lit(""))).alias("_s"))
+    pairs = F.transform("_s", lambda s, i: F.struct(s.alias("sentence"), F.coalesce(F.get("_s", i + 1), F.lit("")).alias("following")))
+    return found.select(key, F.posexplode(pairs).alias("pos", "_p")).select(key, "pos", "_p.sentence", "_p.following")
+
+
+def claim_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row per claim: key, pos, trigger, status and snippet."""
+    rows = sentence_rows(docs, key).withColumn("trigger", C.first_trigger(F.col("sentence"))).where("trigger is not null")
+    status = C.claim_status(F.col("sentence"), F.col("following"))
+    return rows.select(key, "pos", "trigger", status.alias("status"), truncate(F.col("sentence"), 220).alias("snippet"))
+
+
+def status_totals(claims: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A1: claims per key by status."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return claims.groupBy(key).agg(F.count(F.lit(1)).alias("total"), count("supported"), count("tagged"), count("unsupported"))
+
+
+def pipeline_claims(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row per claim: sentence, triggers, citation, salience and load_bearing."""
+    s = F.col("sentence")
+    rows = sentence_rows(docs, key).where(C.any_of(s, C.R.CLAIM_TRIGGERS))
+    rows = rows.select(key, "pos", "sentence", C.triggers(s).alias("triggers"), C.citation(s).alias("citation"), C.salience(s).alias("salience"))
+    return rows.withColumn("load_bearing", F.col("salience") >= C.R.LOAD_BEARING)
+
+
+def select_claims(rows: DataFrame, mode: str, keep: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """sentences kept by a filter relation: ``off`` rules only, ``on`` rules and filter, ``only`` filter only."""
+    if mode not in ("on", "only") or keep is None:
+        return rows.where(F.size("triggers") > 0)
+    kept = rows.join(keep.select(key, "pos").distinct(), [key, "pos"], "left_semi")
+    if mode == "on":
+        return kept.where(F.size("triggers") > 0)
+    return kept.withColumn("triggers", F.when(F.size("triggers") == 0, F.array(F.lit("llm"))).otherwise(F.col("triggers")))
+
+
+def budgeted(claims: DataFrame, salience_min: float, max_claims: int, key: str = "doc_id") -> DataFrame:
+    """Per document the most salient claims, ties in order of place; ``max_claims`` 0 keeps all."""
+    fit = claims.where(F.col("salience") >= salience_min)
+    if not max_claims:
+        return fit
+    ranked = fit.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("salience"), "pos")))
+    return ranked.where(F.col("rank") <= max_claims)
+
+
+def graded(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each claim with the text of the source that it cites (columns url, source_text) and its grade."""
+    joined = claims.join(sources, claims["citation"] == sources["url"], "left")
+    grade = C.heuristic_grade(F.col("sentence"), F.col("source_text"), F.col("citation"))
+    return joined.select(*claims.columns, grade.alias("verdict"), F.when(grade == "not_addressed", C.missing_tokens(F.col("sentence"), F.col("source_text"))).alias("missing"))
+
+
+def graded_by(claims: DataFrame, grader, schema: str = "doc_id long, pos long, verdict string, confidence double, rationale string") -> DataFrame:
+    """Grade with a callable of one pandas frame of claims; batches go to it as they are, on the executors."""
+
+    def run(frames):
+        for frame in frames:
+            yield grader(frame)
+
+    return claims.mapInPandas(run, schema)
+
+
+def cleaned_grades(raw: DataFrame) -> DataFrame:
+    """What a grader answered: unknown verdicts are errors, confidence is clamped, the rationale cut."""
+    verdict = F.when(F.col("verdict").isin(list(C.R.GRADES)), F.col("verdict")).otherwise("error")
+    return raw.withColumns({"verdict": verdict, "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))), "rationale": F.substring("rationale", 1, 200)})
+
+
+def axis1_of(verdict: Column) -> Column:
+    """A grade as supported, tagged or unsupported."""
+    return F.when(verdict == "verified", "supported").when(verdict == "skipped", "tagged").otherwise("unsupported")

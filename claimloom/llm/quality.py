@@ -129,10 +129,30 @@ def ratios(base: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def failed(rules: Sequence[Rule], m: dict[str, Column]) -> Column:
-    """The names of the rules that a text's measures fail: the table as one expression."""
+def measured(text: Column) -> Column:
+    """All counts and ratios of a text as a struct.
 
-    def fails(rule: Rule) -> Column:
+    Words and lines, and then the counts, are bound as variables of the expression. However the optimizer moves or repeats
+    references to the struct, within it each is computed once.
+    """
+    parts = F.struct(
+        F.array_remove(F.split(text, WHITE_CLASS + "+"), "").alias("words"),
+        F.filter(F.split(text, "\n"), lambda x: _without(x, WHITE) != "").alias("lines"),
+    )
+    base = _let(parts, lambda p: F.struct(*[c.alias(k) for k, c in base_measures(text, p["words"], p["lines"]).items()]))
+    names = base_measures(text, F.array(F.lit("")), F.array(F.lit(""))).keys()
+
+    def every(b: Column) -> Column:
+        counts = {k: b[k] for k in names}
+        return F.struct(*[c.alias(k) for k, c in (counts | ratios(counts)).items()])
+
+    return _let(base, every)
+
+
+def failed(rules: Sequence[Rule], measures: Column) -> Column:
+    """The names of the rules that a text's measures (a struct) fail: the table as one expression."""
+
+    def fails(rule: Rule, m: Column) -> Column:
         value, out = m[rule.measure], F.lit(False)
         if rule.low is not None:
             out = out | (value < rule.low)
@@ -140,29 +160,15 @@ def failed(rules: Sequence[Rule], m: dict[str, Column]) -> Column:
             out = out | (value > rule.high)
         return out & (m["n_words"] >= rule.from_words)
 
-    return F.array_compact(F.array(*[F.when(fails(rule), F.lit(rule.name)) for rule in rules]))
+    return _let(measures, lambda m: F.array_compact(F.array(*[F.when(fails(rule, m), F.lit(rule.name)) for rule in rules])))
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, str, str]:
     """``docs`` with a struct of measures and an array of failed rules; the names of these two columns."""
-    text = text_column()
-    words, lines = fresh(docs.columns, "_words"), fresh(docs.columns, "_lines")
     m, bad = fresh(docs.columns, "_measures"), fresh(docs.columns, "_failed")
-    split = docs.withColumns({
-        words: F.array_remove(F.split(text, WHITE_CLASS + "+"), ""),
-        lines: F.filter(F.split(text, "\n"), lambda x: _without(x, WHITE) != ""),
-    })
-    # counts are columns of their own, so that none is computed again for each ratio and rule that has it
-    base = base_measures(text, F.col(words), F.col(lines))
-    names = {k: fresh(docs.columns, f"_{k}") for k in base}
-    counted = split.withColumns({names[k]: c for k, c in base.items()}).drop(words, lines)
-    base = {k: F.col(name) for k, name in names.items()}
-    every = base | ratios(base)
-    found = counted.withColumns({m: F.struct(*[c.alias(k) for k, c in every.items()]), bad: failed(rules, every)})
-    return found.drop(*names.values()), m, bad
+    return docs.withColumn(m, measured(text_column())).withColumn(bad, failed(rules, F.col(m))), m, bad
 
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that fail no rule, with their own columns."""
-    found, _, bad = judge(docs, rules)
-    return found.where(F.size(bad) == 0).select(*docs.columns)
+    return docs.where(F.size(failed(rules, measured(text_column()))) == 0)

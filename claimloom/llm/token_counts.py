@@ -205,6 +205,8 @@ class Transducer:
                     total[i] = len(found) - 1
             owner += [i] * len(found)
             parts += found
+        if not parts:
+            return total
         joined = "\0".join(parts) + "\0"  # what follows each part ends it, whatever NULs the part itself has
         raw = joined.encode()
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)

@@ -14,7 +14,7 @@ def documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = SUFF
     """Path and text of the documents below the paths, each once; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(list(paths))
     skipped = "/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
-    return files.where(~F.col("path").rlike(skipped)).dropDuplicates(["path"]).select("path", "modificationTime", F.decode("content", "UTF-8").alias("text"))
+    return files.where(~F.col("path").rlike(skipped)).dropDuplicates(["path"]).select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def latest_document(files: DataFrame) -> DataFrame:

@@ -729,3 +729,95 @@ def matrix_markdown(spark, sf_dir):
 def density(spark, sf_dir):
     findings = F.when(F.col("s_suppkey") % 4 == 0, F.lit(0)).otherwise(F.col("s_suppkey"))
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), density_score(findings.cast("double"), F.lit(3.0)).alias("score"))
+
+
+# --- small reports on verdicts and runs ------------------------------------------------------------------------------------
+
+
+@query(PIPELINE_SQL + f", h as (select p.doc_id, count(*) as holds from p where citation is null and salience >= 0.5 group by p.doc_id) select doc_id, holds from h join ({verdict_sql('paper-full')}) v using (doc_id) where v.verdict = 'HOLD'")
+def hold_claims(spark, sf_dir):
+    """of drafts on hold, the load-bearing claims without citation."""
+    docs = drafts(spark, sf_dir)
+    held = _verdict(spark, sf_dir, "paper-full").where("verdict = 'HOLD'").select("doc_id")
+    rows = claims.pipeline_claims(docs).where("citation is null and load_bearing")
+    return rows.join(held, "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("holds"))
+
+
+@query(f"with c as (select run_id, count(*) filter (status = 'unsupported') as unsupported, count(*) filter (verdict = 'contradicted') as contradicted from ({rel(X.CLAIM_ROWS)}) c left join ({LATEST_SQL}) v on v.claim_id = c.id group by run_id) select *, contradicted > 0 or unsupported > 0 as fails from c")
+def ci_failures(spark, sf_dir):
+    """per run whether a contradicted or an unsupported claim fails it."""
+    last = ledger.latest(X.load(spark, sf_dir, X.VERIFICATIONS), "claim_id").select(F.col("claim_id").alias("id"), "verdict")
+    rows = X.load(spark, sf_dir, X.CLAIM_ROWS).join(last, "id", "left").groupBy("run_id")
+    counts = rows.agg(F.count_if(F.col("status") == "unsupported").alias("unsupported"), F.count_if(F.col("verdict") == "contradicted").alias("contradicted"))
+    return counts.withColumn("fails", (F.col("contradicted") > 0) | (F.col("unsupported") > 0))
+
+
+@query(f"select id, verdict, case verdict when 'contradicted' then 0 when 'not_addressed' then 1 when 'unverifiable' then 2 when 'verified' then 3 else 4 end as rank from ({rel(X.VERIFICATIONS)}) order by rank, id limit 10")
+def worst_verdicts(spark, sf_dir):
+    """The ten worst verdicts, by severity and place; the limit is the report's."""
+    rank = F.when(F.col("verdict") == "contradicted", 0).when(F.col("verdict") == "not_addressed", 1).when(F.col("verdict") == "unverifiable", 2).when(F.col("verdict") == "verified", 3).otherwise(4)
+    return X.load(spark, sf_dir, X.VERIFICATIONS).select("id", "verdict", rank.alias("rank")).orderBy("rank", "id").limit(10)
+
+
+@query(CLAIMS_SQL + "select doc_id, array_to_string(list_transform(list_sort(list(pos))[:3], lambda x: cast(x as string)), ',') || case when count(*) > 3 then ' and ' || (count(*) - 3) || ' more' else '' end as listed from c group by doc_id")
+def capped_lists(spark, sf_dir):
+    """The places of a draft's first three claims, and how many more there are; the cap is the report's."""
+    rows = claims.claim_rows(drafts(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("p"), F.count(F.lit(1)).alias("n"))
+    first_three = F.array_join(F.transform(F.slice("p", 1, 3), lambda x: x.cast("string")), ",")
+    return rows.select("doc_id", F.concat(first_three, F.when(F.col("n") > 3, F.concat(F.lit(" and "), F.col("n") - 3, F.lit(" more"))).otherwise("")).alias("listed"))
+
+
+@query("select o_orderkey as id, regexp_matches(case o_orderkey % 3 when 0 then 'run-' || o_orderkey when 1 then 'run/' || o_orderkey else repeat('x', cast(o_custkey % 90 as int)) end, '^[A-Za-z0-9_-]{1,64}$') as valid from orders")
+def run_id_valid(spark, sf_dir):
+    """Run identifiers of allowed characters and length."""
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("run-"), F.col("o_orderkey"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("run/"), F.col("o_orderkey"))).otherwise(F.expr("repeat('x', cast(o_custkey % 90 as int))"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), name.rlike(r"(?d)^[A-Za-z0-9_-]{1,64}$").alias("valid"))
+
+
+@query(" union all ".join(f"select {lit(p)} as profile, {len(rules)} as rules, {R.UNSUPPORTED_THRESHOLDS.get(p, 1.0)}::DOUBLE as threshold, {lit('BLOCK' if p in R.STRICT_ARTEFACTS else 'HOLD' if p in R.FINAL_ARTEFACTS else '')} as single_actor" for p, rules in R.BOUNDARY_PROFILES.items()))
+def profiles(spark, sf_dir):
+    """What each profile asks for."""
+    rows = [(p, len(rules), R.UNSUPPORTED_THRESHOLDS.get(p, 1.0), "BLOCK" if p in R.STRICT_ARTEFACTS else "HOLD" if p in R.FINAL_ARTEFACTS else "") for p, rules in R.BOUNDARY_PROFILES.items()]
+    return spark.createDataFrame(rows, "profile string, rules int, threshold double, single_actor string")
+
+
+@query(f"select id, case when lower(trim(reviewer)) = lower('REVIEWER ' || (id % 7)) and id % 2 = 0 then 'draft' when id % 2 = 0 then 'final-prose' else 'audit' end as role from ({rel(X.OVERRIDES)})")
+def single_actor_role(spark, sf_dir):
+    """G7."""
+    role = F.when(F.col("id") % 2 == 0, "final-prose").otherwise("audit")
+    writer = F.concat(F.lit("REVIEWER "), F.col("id") % 7)
+    return X.load(spark, sf_dir, X.OVERRIDES).select("id", ledger.single_actor_role(F.col("reviewer"), writer, role).alias("role"))
+
+
+@query(f"select run_id, '## Overrides applied' || chr(10) || chr(10) || string_agg('- **g** by ' || reviewer || ': r' || case when single_actor then ' (single actor)' else '' end, chr(10) order by id) as footer from ({rel(X.OVERRIDES)}) group by run_id")
+def override_footer(spark, sf_dir):
+    """K14."""
+    return ledger.override_footer(X.load(spark, sf_dir, X.OVERRIDES).withColumns({"gate_id": F.lit("g"), "risk_accepted": F.lit("r")}))
+
+
+@query(
+    f"select coalesce(r.id, o.run_id) as run_id, r.total, coalesce(claims, 0) as claims, coalesce(overrides, 0) as overrides from ({rel(X.RUNS)}) r left join (select run_id, count(*) as claims from ({rel(X.CLAIM_ROWS)}) group by run_id) c on c.run_id = r.id"
+    f" left join (select run_id, count(*) as overrides from ({rel(X.OVERRIDES)}) group by run_id) o on o.run_id = r.id"
+)
+def run_artefacts(spark, sf_dir):
+    """Each run with what the other tables hold of it."""
+    count = lambda r, name: X.load(spark, sf_dir, r).groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+    joined = X.load(spark, sf_dir, X.RUNS).select(F.col("id").alias("run_id"), "total").join(count(X.CLAIM_ROWS, "claims"), "run_id", "left").join(count(X.OVERRIDES, "overrides"), "run_id", "left")
+    return joined.fillna(0, ["claims", "overrides"])
+
+
+@query(
+    f"select context_id, writer_admitted as admitted, case when writer_admitted then '' when ledger_bucket = 'excluded' then 'excluded' when audit_status = 'audit_only' then 'audit only' else 'not for the writer' end as reason from ({CLASSIFIED_SQL})"
+)
+def cbom_inputs(spark, sf_dir):
+    """Items as inputs of a bill of materials, with why one isn't admitted."""
+    reason = F.when(F.col("writer_admitted"), "").when(F.col("ledger_bucket") == "excluded", "excluded").when(F.col("audit_status") == "audit_only", "audit only").otherwise("not for the writer")
+    return classified(spark, sf_dir).select("context_id", F.col("writer_admitted").alias("admitted"), reason.alias("reason"))
+
+
+@query("select 'ENFORCED' as status, 9 as n")
+def conformance(spark, sf_dir):
+    """Self-checks by status."""
+    from claimloom.plans import conformance as probes
+
+    return probes.run(spark).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

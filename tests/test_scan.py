@@ -88,7 +88,7 @@ def test_context_classes_and_pack(spark):
 
 
 def test_golden_verdicts(spark):
-    drafts = frame(spark, ["Plain words only.", "Revenue rose 12%.", "As discussed, plain.", "It must cost 5 million.", "Rose 12%, see https://e.org/x."])
+    drafts = frame(spark, ["Plain words here.", "Revenue rose 12%.", "As discussed, plain.", "It must cost 5 million.", "Rose 12%, see https://e.org/x."])
     actors = spark.createDataFrame([(i, False, True) for i in range(5)], "doc_id long, single_actor boolean, has_identity boolean")
     got = {r["doc_id"]: r["verdict"] for r in verdict.check(drafts, actors=actors).collect()}
     assert got == {0: "PASS", 1: "HOLD", 2: "BLOCK", 3: "HOLD", 4: "PASS"}

@@ -8,7 +8,6 @@ straight to the library's model as its two pre-tokens; any other new chunk goes
 
 from __future__ import annotations
 
-import json
 import re
 from array import array
 
@@ -44,8 +43,7 @@ class ChunkEncoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        spec = json.loads(self.tokenizer.to_str())
-        stages = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        stages = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
         self.drops_space, self.lowers = "Removed" in stages, "Lowercase" in stages
         self.letters = dict(enumerate(byte_alphabet()))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -138,8 +136,9 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, limit: int = 1_000_000) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file, kept from task to task."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]

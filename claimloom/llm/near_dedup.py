@@ -57,7 +57,7 @@ def _weights(n: int) -> np.ndarray:
     """The first ``n`` powers of an odd base, modulo 2 ** 64."""
     global _powers
     if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
+        grown = np.full(1 << n.bit_length(), _BASE, np.uint64)
         grown[0] = 1
         _powers = np.multiply.accumulate(grown)
     return _powers[:n]
@@ -70,7 +70,7 @@ _inverses = np.ones(1, np.uint64)
 def _inverse_weights(n: int) -> np.ndarray:
     global _inverses
     if len(_inverses) < n:
-        grown = np.full(max(n, 2 * len(_inverses)), _INVERSE, np.uint64)
+        grown = np.full(1 << n.bit_length(), _INVERSE, np.uint64)
         grown[0] = 1
         _inverses = np.multiply.accumulate(grown)
     return _inverses[:n]
@@ -175,7 +175,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set size, digest of the set, odd sketch and band keys of each row; the last two are null of an empty set."""
 
     def sign(batches):
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             sets = shingle_sets(batch.column("text"), width)
             full = np.array([len(s) > 0 for s in sets], bool)
             sample = np.array([samples(s) for s in sets if len(s)], np.uint32).reshape(-1, BANDS * ROWS)
@@ -202,7 +202,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     some = texts.join(F.broadcast(slots), "slot", "left_semi").select("node", "text")
 
     def build(batches):
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             sets = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 

@@ -29,8 +29,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int = 2048, with
     """Cut each document's ids, and the end id, into pieces of ``most`` ids and a rest."""
 
     def cut(batches):
-        coder = encoder(vocabulary)
-        for batch in slices(batches):
+        coder = encoder(vocabulary, limit=500_000)
+        for batch in slices(batches, most=3 << 20):
             rows, held = [], []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 wide = np.append(ids.astype("<u4"), np.uint32(end_id))

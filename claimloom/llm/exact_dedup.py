@@ -82,10 +82,13 @@ def group(docs: DataFrame, capacity: int = 1 << 20, max_depth: int = 12, hash_of
     owned = entries.withColumn("owner", owner).repartition(owners, "owner", "h").sortWithinPartitions("bucket", "h", "digest")
     index = materialize(owned.select("bucket", "depth", "h", "digest", "keep_id", "group_size"), "exact-index")
 
-    looked = index.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size"))
-    clash = looked.where("texts > 1").select("h", "digest")
-    found = prints.join(looked.where("texts = 1").drop("texts"), ["h", "digest"])
-    if not clash.isEmpty():  # one slot and digest, several texts: compare the texts themselves
+    entry = index.select("h", "digest", "keep_id", "group_size")
+    clash = entry.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h", "digest")
+    if clash.isEmpty():  # both sides are plain tables, so that Spark can split the partition of a large group
+        found = prints.join(entry, ["h", "digest"])
+    else:  # one slot and digest, several texts: compare the texts themselves
+        clash = materialize(clash, "exact-clashes")
+        found = prints.join(entry.join(clash, ["h", "digest"], "left_anti"), ["h", "digest"])
         unlike = hashed.join(clash, ["h", "digest"], "left_semi")
         found = found.unionByName(unlike.join(chains, ["h", "digest", "norm"]).drop("norm"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -49,7 +49,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col(m)
     base_failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     digest = [m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return found.select("doc_id", *digest, base_failed.alias("base_failed"), (~base_failed & (F.size(bad) == 0)).alias("kept"), F.col(bad).alias("failed_rules"))
+    return found.select("doc_id", *digest, base_failed.alias("base_failed"), (~base_failed & (F.size(bad) == 0)).alias("kept"), F.array_join(bad, ",").alias("failed_rules"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,67 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
+def _quality_sql() -> str:
+    """The base counts by lists and windows, and the rule table as conditions."""
+    stops = sorted({form for w in quality.STOP_WORDS for form in (w, w.capitalize(), w.upper())})
+    fails = []
+    for rule in quality.RULES:
+        tests = [f"{rule.measure} {op} {bound}::DOUBLE" for op, bound in (("<", rule.low), (">", rule.high)) if bound is not None]
+        fails.append(f"(({' or '.join(tests)}) and n_words >= {rule.from_words})")
+    names = ", ".join(f"case when {x} then '{r.name}' end" for x, r in zip(fails, quality.RULES))
+    of = lambda part, whole: f"case when {whole} > 0 then {part}::DOUBLE / {whole} else 0 end"
+    return rf"""
+        with d as (
+            select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+            from documents
+        ), starts as (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) > 7),
+        win as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i : i + 7], ' ')) as n from starts),
+        cover as (select doc_id, count(distinct i + o) as n_repeat_words from win, (select unnest(range(8)) as o) where n > 1 group by doc_id),
+        c as (
+            select d.doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+                len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(l) as n_lines, length(t) - length(replace(t, '!', '')) as n_exclamations,
+                len(list_filter(w, lambda x: list_contains([{", ".join(repr(x) for x in stops)}], x))) as n_stop_words,
+                len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\t]*[-*•‣]'))) as n_bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\t\r]*$'))) as n_ellipses
+            from d left join cover using (doc_id)
+        ), m as (
+            select *, {of("word_chars", "n_words")} as mean_word_chars, {of("n_symbols", "n_words")} as symbols_a_word, {of("n_exclamations", "n_words")} as exclamations_a_word, {of("n_stop_words", "n_words")} as stop_words_a_word,
+                {of("n_dup_lines", "n_lines")} as repeated_line_share, {of("n_repeat_words", "n_words")} as repeated_word_share, {of("n_bullets", "n_lines")} as bullet_line_share, {of("n_ellipses", "n_lines")} as ellipsis_line_share from c
+        ), v as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, list_filter([{names}], lambda x: x is not null) as failed_rules from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(failed_rules) = 0 as kept, array_to_string(failed_rules, ',') as failed_rules from v
+    """
+
+
+#: Escapes, and what a turn's marks add, as in ``chat.render``.
+_ESCAPES = r"length(regexp_replace({0}, '[^\\<>]', '', 'g'))"
+_CHAT_SQL = rf"""
+    with t as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    )
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+        sum(17 + length(role) + {_ESCAPES.format('role')} + length(role) - length(replace(role, chr(10), '')) + length(text) + {_ESCAPES.format('text')}) as formatted_chars
+    from t group by conv_id
+"""
+#: All pairs that share a shingle, and what can be reached over links.
+_NEAR_SQL = r"""
+    with recursive d as (
+        select doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents
+    ), p as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0),
+    s as (select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') || chr(10) else array_to_string(w[i : i + 3], ' ') end as g from p),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    links as (
+        select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.doc_id <> y.doc_id join n as nx on nx.doc_id = x.doc_id join n as ny on ny.doc_id = y.doc_id
+        group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 80 * (nx.n + ny.n - count(*))
+    ), reach as (select doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on reach.b = links.a)
+    select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id, d.doc_id = c as kept from d left join n on n.doc_id = d.doc_id join (select a, min(b) as c from reach group by a) on a = d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat": _CHAT_SQL,
+    "op7_quality": _quality_sql(),
+    "op10_near_dedup": _NEAR_SQL,
     "op9_exact_dedup": r"""
         with n as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents

@@ -156,6 +156,11 @@ class Shard:
             yield key, start, data[at : at + n]
             at += n
 
+    def bounds(self) -> tuple[int | None, int | None]:
+        """The first and the last identifier."""
+        *_, (last, _, _) = self._block(len(self.places) - 1)
+        return decode_key(self.firsts[0]), decode_key(last)
+
     def scan(self) -> Iterator[tuple[bytes, int, bytes]]:
         """Key, ids of the shard before this entry, and id bytes, of each entry."""
         for i in range(len(self.places)):
@@ -236,23 +241,28 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ids of the wanted identifiers (column doc_id): each shard is asked for those within its own key range."""
-    spans = manifest.select("path")
+    """The ids of the wanted identifiers (column doc_id).
+
+    The identifiers are written sorted, in files of disjoint ranges; each shard reads those row groups of them that meet its
+    own range, and asks its filter and index for them.
+    """
     keys = wanted.select(F.col("doc_id").cast("long")).distinct()
-    asked = materialize(keys.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "sstable-wanted")
-    path = asked.inputFiles()
+    parts = materialize(keys.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "sstable-wanted").inputFiles()
 
     def find(batches):
-        import pyarrow.parquet as pq
+        import pyarrow.dataset as ds
 
         for batch in batches:
             for uri in batch.column("path").to_pylist():
                 shard, rows = Shard(uri), []
-                for part in path:
+                low, high = shard.bounds()
+                at = ds.field("doc_id")
+                inside = at.is_null() if high is None else (at <= high) & (at >= low) if low is not None else (at <= high) | at.is_null()
+                for part in parts:
                     filesys, inner = filesystem(part)
-                    for doc_id in pq.read_table(inner, filesystem=filesys).column("doc_id").to_pylist():
-                        rows += [(doc_id, ids.tolist()) for ids in shard.get(doc_id)]
+                    for piece in ds.dataset(inner, filesystem=filesys, format="parquet").to_batches(columns=["doc_id"], filter=inside):
+                        rows += [(doc_id, ids.tolist()) for doc_id in piece.column("doc_id").to_pylist() for ids in shard.get(doc_id)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return spans.mapInArrow(find, "doc_id long, ids array<long>")
+    return manifest.select("path").mapInArrow(find, "doc_id long, ids array<long>")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom.functions import claims as C
 from claimloom.functions import rules as R
 from claimloom.functions.text import density_score, fence_mask, html_to_text, lines, sentences
 from claimloom.operators import claims, context, evaluate, integrity, ledger, monitor, review, scan
+from claimloom.plans import conformance as probes
 from claimloom.plans import fixtures as X
 from claimloom.plans import verdict
 from claimloom.sources import readers, sinks
@@ -465,7 +467,7 @@ def _verdict(spark, sf_dir, profile):
     return found.select("doc_id", "violations", "claims", "unsupported", "verdict")
 
 
-@query(verdict_sql("final-prose") if R.BOUNDARY_PROFILES["final-prose"] else None)
+@query(verdict_sql("final-prose"))
 def verdict_final_prose(spark, sf_dir):
     return _verdict(spark, sf_dir, "final-prose")
 
@@ -550,8 +552,6 @@ HASH_SQL = "'sha256:' || sha256('{\"file_path\":\"' || file_path || '\",\"mode\"
 )
 def hash_chain_verify(spark, sf_dir):
     """A chain in which some rows were changed after hashing and some links were cut."""
-    from pyspark.sql.window import Window
-
     rows = X.load(spark, sf_dir, CHAIN).withColumn("run_content_hash", ledger.content_hash())
     linked = rows.withColumn("prev_run_hash", F.lag("run_content_hash").over(Window.orderBy("id")))
     spoilt = linked.withColumn("prev_run_hash", F.when(F.col("o_custkey") % 103 == 9, "cut").otherwise(F.col("prev_run_hash")))
@@ -818,6 +818,4 @@ def cbom_inputs(spark, sf_dir):
 @query("select 'ENFORCED' as status, 9 as n")
 def conformance(spark, sf_dir):
     """Self-checks by status."""
-    from claimloom.plans import conformance as probes
-
     return probes.run(spark).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -194,9 +194,7 @@ def test_mixing_budgets(spark, tokens):
     assert abs(sum(share.values()) - 1) < 1e-9
     least = min(share[s] / total[s] for s in share)
     for s in share:
-        budget = share[s] * tokens if tokens else share[s] / least
-        want = budget if tokens else budget * 1.0 * total["big"] / total["big"]
-        passes = want / total[s] if tokens else share[s] / total[s] / least
+        passes = share[s] * tokens / total[s] if tokens else share[s] / total[s] / least
         assert passes * total[s] - 6 <= used[s] <= passes * total[s] + 1e-6
         times = Counter(r["doc_id"] for r in got if r["source"] == s)
         assert max(times.values()) - min([times.get(r[0], 0) for r in rows if r[3] == s]) <= 1

@@ -124,7 +124,7 @@ _CHAT_SQL = rf"""
 #: All pairs that share a shingle, and what can be reached over links.
 _NEAR_SQL = r"""
     with recursive d as (
-        select doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents
+        select doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents
     ), p as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0),
     s as (select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') || chr(10) else array_to_string(w[i : i + 3], ' ') end as g from p),
     n as (select doc_id, count(*) as n from s group by doc_id),

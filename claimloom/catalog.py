@@ -560,6 +560,7 @@ def hash_chain_verify(spark, sf_dir):
 
 # --- integrity ------------------------------------------------------------------------------------------------------------
 
+#: Of the SQL only, which has a fixed number of levels; the operators take theirs from the data.
 MOST_ENTRIES = 32
 
 
@@ -576,19 +577,20 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(merkle_sql())
 def merkle_root(spark, sf_dir):
-    return integrity.roots(entries(spark, sf_dir), "key", MOST_ENTRIES)
+    return integrity.roots(entries(spark, sf_dir), "key")
 
 
 @query(f"select key, idx, true as holds from ({rel(X.ENTRIES)})")
 def inclusion_proof(spark, sf_dir):
     rows = entries(spark, sf_dir)
-    proven = integrity.proofs(rows, "key", MOST_ENTRIES).join(rows, ["key", "idx"]).join(integrity.roots(rows, "key", MOST_ENTRIES), "key")
+    most = integrity.largest(rows)
+    proven = integrity.proofs(rows, "key", most).join(rows, ["key", "idx"]).join(integrity.roots(rows, "key", most), "key")
     return proven.select("key", "idx", integrity.proof_holds(F.col("data"), F.col("steps"), F.col("root")).alias("holds"))
 
 
 @query(f"with r as ({merkle_sql()}) select key, true as prose_ok, key % 5 <> 0 as root_ok, case when key % 5 = 0 then 'INVALID' when key % 3 = 0 then 'UNSIGNED' else 'UNVERIFIED' end as status from r")
 def bundle_verify(spark, sf_dir):
-    rows = integrity.checkpoints(entries(spark, sf_dir), "key", MOST_ENTRIES)
+    rows = integrity.checkpoints(entries(spark, sf_dir), "key")
     prose = F.concat(F.lit("prose "), F.col("key"))
     bundles = rows.select("key", prose.alias("prose"), F.concat(F.lit("sha256:"), F.sha2(prose, 256)).alias("prose_sha256"), F.when(F.col("key") % 5 == 0, "0").otherwise(F.col("root")).alias("root"), F.when(F.col("key") % 3 != 0, "signed").alias("signature"))
     return integrity.bundle_status(bundles, rows)

@@ -16,6 +16,11 @@ def node_hash(left: Column, right: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), left, right), 256))
 
 
+def largest(entries: DataFrame) -> int:
+    """The number of entries of the largest tree, from the data."""
+    return (entries.agg(F.max("idx").cast("long").alias("last")).first()["last"] or 0) + 1
+
+
 def leaves(entries: DataFrame, key: str) -> DataFrame:
     """Level 0 of each key's tree, of entries (key, idx from 0, data binary)."""
     return entries.select(key, F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("data")).alias("hash"))
@@ -27,20 +32,26 @@ def parents(level: DataFrame, key: str) -> DataFrame:
     return pair.select(key, "idx", F.when(F.col("n") == 1, F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("hash"))
 
 
-def levels(entries: DataFrame, key: str, most: int) -> list[DataFrame]:
-    """All levels of trees of up to ``most`` entries; once a tree is one node, it stays that node."""
-    out = [leaves(entries, key)]
+def levels(entries: DataFrame, key: str, most: int | None = None) -> list[DataFrame]:
+    """All levels up to the root of the largest tree; once a tree is one node, it stays that node.
+
+    ``most`` is the number of entries of the largest tree where that is known, else it is taken from the data; a tree that
+    has more fails the job.
+    """
+    most = largest(entries) if most is None else most
+    within = F.when(F.col("idx") < most, F.col("hash")).otherwise(F.raise_error(F.lit(f"a tree has more than {most} entries")).cast("binary"))
+    out = [leaves(entries, key).withColumn("hash", within)]
     for _ in range(max(0, most - 1).bit_length()):
         out.append(parents(out[-1], key))
     return out
 
 
-def roots(entries: DataFrame, key: str, most: int) -> DataFrame:
+def roots(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """Key and root (hex) of each tree."""
     return levels(entries, key, most)[-1].select(key, F.lower(F.hex("hash")).alias("root"))
 
 
-def proofs(entries: DataFrame, key: str, most: int) -> DataFrame:
+def proofs(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """Per entry the siblings on its way to the root, from the leaf up: (key, idx, steps of side and hash)."""
     every = levels(entries, key, most)
     walk = every[0].select(key, F.col("idx").alias("entry"), F.array().cast("array<struct<side:string,hash:binary>>").alias("steps"))
@@ -60,7 +71,7 @@ def proof_holds(data: Column, steps: Column, root: Column) -> Column:
     return F.lower(F.hex(end)) == root
 
 
-def checkpoints(entries: DataFrame, key: str, most: int) -> DataFrame:
+def checkpoints(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """Key, number of entries and root."""
     return roots(entries, key, most).join(entries.groupBy(key).agg(F.count(F.lit(1)).alias("size")), key)
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,6 +64,19 @@ def test_merkle(spark):
     assert proven.where("key > 1").where(integrity.proof_holds(F.encode(F.lit("x"), "UTF-8"), F.col("steps"), F.col("root"))).count() == 0
 
 
+def test_merkle_of_any_size(spark):
+    trees = {n: [f"{n}/{i}".encode() for i in range(n)] for n in (1, 7, 32, 33, 1000)}
+    rows = spark.createDataFrame([(n, i, bytearray(x)) for n, t in trees.items() for i, x in enumerate(t)], "key int, idx long, data binary")
+    assert sorted((r["key"], r["root"]) for r in integrity.roots(rows, "key").collect()) == [(n, py_root(t)) for n, t in trees.items()]
+    assert sorted((r["key"], r["size"]) for r in integrity.checkpoints(rows, "key").collect()) == [(n, n) for n in trees]
+    proven = integrity.proofs(rows, "key").join(rows, ["key", "idx"]).join(integrity.roots(rows, "key"), "key")
+    holds = [r["holds"] for r in proven.select(integrity.proof_holds(F.col("data"), F.col("steps"), F.col("root")).alias("holds")).collect()]
+    assert len(holds) == 1073 and all(holds)
+    with pytest.raises(Exception, match="more than 32 entries"):
+        integrity.roots(rows, "key", 32).collect()
+    assert integrity.roots(rows.where("false"), "key").count() == 0
+
+
 def test_review(spark):
     rows = [(1, "a", "t1", "d1", "P2", "l1", "k", False), (2, "b", "t2", "d2", "P0", "l2", "k", False), (3, "c", "t3", "d3", "odd", "l1", "", False), (4, "d", "t4", "d4", "P1", "l1", "k", True)]
     found = review.consolidate(spark.createDataFrame(rows, "seq long, finding_id string, title string, detail string, severity string, location string, issue_key string, deferred boolean"))

@@ -266,6 +266,22 @@ def boundary_by_profile(spark, sf_dir):
     return dim.join(pairs, "profile", "left").join(every, "rule", "left").groupBy("profile").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+@query()
+def document_boundary(spark, sf_dir):
+    """Whole natural texts, with whatever line ends they have."""
+    return scan.boundary(table(spark, sf_dir, "documents")).select("doc_id", "line", "rule", F.col("tag").alias("severity"), "match")
+
+
+@query()
+def document_residue(spark, sf_dir):
+    return scan.residue(table(spark, sf_dir, "documents")).select("doc_id", "line", "rule", "category", "match")
+
+
+@query()
+def document_contamination(spark, sf_dir):
+    return scan.contamination_verdict(table(spark, sf_dir, "documents"))
+
+
 RESIDUE_SQL = findings_sql(rel(X.DRAFTS), R.RESIDUE, False, "category", 60)
 TELLS_SQL = findings_sql(rel(X.DRAFTS), R.TELLS, False, "category", 60)
 

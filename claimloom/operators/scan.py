@@ -1,7 +1,7 @@
 """Rule scans over lines: boundary, residue, style tells, contamination; and sensitivity of whole texts.
 
 All rules of a scan are evaluated in one projection per line, whose matches are exploded once. Documents in which no rule
-matches anywhere are dropped before their lines are exploded.
+matches in any line are dropped before their lines are exploded.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def findings(docs: DataFrame, rules: Sequence[R.Rule], key: str = "doc_id", fenc
     """A row per match: key, line, seq, rule, tag, match; ``cut`` shortens the match, with dots if ``fences`` are left out."""
     if not rules:
         return docs.select(key, F.lit(0).alias("line"), F.lit(0).alias("seq"), F.lit("").alias("rule"), F.lit("").alias("tag"), F.lit("").alias("match")).where("false")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.where(C.any_of(text, rules, "m"))
+    # line by line, as rules are searched: in a whole text, anchors and lookaheads would see other lines
+    some = docs.where(F.exists(lines(F.coalesce(F.col("text"), F.lit(""))), lambda line: C.any_of(line, rules)))
     rows = line_rows(some, key, fences).select(key, "line", F.posexplode(matches_of(F.col("content"), rules)).alias("seq", "_m"))
     match = F.col("_m.match")
     if cut:

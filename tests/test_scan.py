@@ -45,6 +45,14 @@ def test_residue_skips_fences_and_boundary_does_not(spark):
     assert scan.score(docs, scan.residue(docs)).first().asDict() == {"files": 3, "findings": 2, "score": 4.0}
 
 
+def test_rules_after_every_line_end(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    found = scan.residue(frame(spark, [f"Intro.{end}Certainly! It is done.{end}" for end in ends])).where("rule = 'assistant_opener'")
+    assert sorted((r["doc_id"], r["line"]) for r in found.collect()) == [(i, 2) for i in range(len(ends))]
+    docs = frame(spark, [f"x{end}system: y" for end in ends] + ["x system: y"])
+    assert [r["verdict"] for r in scan.contamination_verdict(docs).orderBy("doc_id").collect()] == ["blocked"] * len(ends) + ["pass"]
+
+
 @pytest.mark.parametrize("line,rule", [
     ("not only fast but cheap", "contrastive_not_x_but"), ("it is not a bug; it is a feature", "contrastive_it_is_not"), ("it’s not the end, it's a start", "contrastive_its_not"),
     ("this isn't it, it's that", "contrastive_isnt"), ("less about size and more about speed", "contrastive_less_more"), ("this is not x. This is y", "contrastive_this_is_not"), ("a — b", "dash_em"), ("a – b", "dash_en_spaced"),

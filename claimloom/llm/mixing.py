@@ -1,5 +1,8 @@
 """Mixing sources by temperature: exponentiated token shares, realised as budgeted block permutations.
 
+Tokens are those of a vocabulary, counted over every whole text by the encoder that packing uses, without the end id. Where
+a caller names no vocabulary, words stand for them.
+
 A source with a share p of all tokens gets a weight in proportion to p ** a. The exponent a is bisected, many points at a
 time, each round being one aggregate over the table of sources: the largest a in [0, 1] whose weights reach a target entropy
 (a share of the largest possible), but no smaller than the least a at which no source is repeated more than a limit allows.
@@ -12,8 +15,8 @@ and a source of any size is spread over all tasks.
 
 Without a budget the mix is as large as it must be for every source to be used at least once; then no document is lost.
 
-Defined results: a null source is a source of its own; null texts and those without words have no tokens and, like sources
-of no tokens at all, are used once per whole pass (at least once); repeated rows are mixed one by one, those of one doc_id
+Defined results: a null source is a source of its own; null and empty texts have no tokens (nor have, where words stand for
+them, texts without words) and, like sources of no tokens at all, are used once per whole pass (at least once); repeated rows are mixed one by one, those of one doc_id
 alike; an empty table gives an empty result; columns of the input stay, and new ones get names distinct from them.
 """
 
@@ -21,11 +24,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.llm.shared import WHITE_CLASS, fresh, materialize, text_column
+from claimloom.llm.encoding import encoder
+from claimloom.llm.shared import WHITE_CLASS, fresh, materialize, slices, text_column
 
 #: Documents of a block, about.
 BLOCK_DOCS = 4096
@@ -45,6 +50,21 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, WHITE_CLASS + "+"), "")).cast("long")
 
 
+def token_counts(docs: DataFrame, vocabulary: str | None) -> DataFrame:
+    """doc_id, key of the source and tokens of each document."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("key"), text_column().alias("text"))
+    if vocabulary is None:
+        return keyed.select("doc_id", "key", word_count(F.col("text")).alias("tokens"))
+
+    def count(batches):
+        coder = encoder(vocabulary, limit=500_000)
+        for batch in slices(batches, most=3 << 20):
+            n = pa.array(list(map(len, coder.encode(batch.column("text")))), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), n], names=["doc_id", "key", "tokens"])
+
+    return keyed.mapInArrow(count, "doc_id long, key string, tokens long")
+
+
 def source_key(source: Column) -> Column:
     """Tells a null source from any name."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
@@ -85,10 +105,9 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
     return max(_largest(sources, even), _least(sources, seldom))
 
 
-def plan(docs: DataFrame, mix: Mix) -> DataFrame:
+def plan(docs: DataFrame, mix: Mix, vocabulary: str | None = None) -> DataFrame:
     """A row per source: key, tokens, weight, whole passes, and the last block and document hash of the part (null: none)."""
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("key"), word_count(text_column()).alias("tokens"))
-    counted = materialize(counted, "mixing-counts")
+    counted = materialize(token_counts(docs, vocabulary), "mixing-counts")
     totals = materialize(counted.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-sources")
     every = totals.agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).first()
     tokens, bits = every["tokens"] or 0, max(0, (int(every["docs"] or 0) // BLOCK_DOCS).bit_length())
@@ -130,12 +149,12 @@ def order(mix: Mix, turn: Column, doc_id: Column) -> Column:
     return F.xxhash64(F.lit(mix.seed + 2), turn, doc_id)
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, list[str]]:
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), vocabulary: str | None = None) -> tuple[DataFrame, list[str]]:
     """A row per use of a document, with its columns and four more: pass, block place, place in the block, source weight.
 
     The second value has the new columns' names. Sorting by the first three gives a source's order in the mix.
     """
-    found = plan(docs, mix)
+    found = plan(docs, mix, vocabulary)
     names = docs.columns
     key, turn, place, within, weight = (fresh(names, n) for n in ("_key", "_pass", "_block", "_order", "_weight"))
     whole, last, end, bits, uses = (fresh(names, n) for n in ("_p_whole", "_p_block", "_p_order", "_p_bits", "_p_uses"))

@@ -39,7 +39,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed, (turn, place, within, weight) = mixing.mix_sources(docs)
+    mixed, (turn, place, within, weight) = mixing.mix_sources(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
     return mixed.select("doc_id", "source", F.col(turn).alias("pass"), F.col(place).alias("block"), F.col(within).alias("place"), F.col(weight).alias("weight"))
 
 

@@ -30,7 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to one and a half times on average."""
-    return mixing.mix_sources(docs)[0].select(*docs.columns)
+    return mixing.mix_sources(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"))[0].select(*docs.columns)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,6 +214,34 @@ def test_mixing_odd_tables(spark):
     assert mixing.mix_sources(frame(spark, blank))[0].count() == 2
 
 
+def test_mixing_counts_tokens_of_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [*documents(), (2001, "数据处理" * 300, "zh", "cjk", 0), (2002, "https://e.org/" + "aZ9_" * 200, "en", "urls", 0)]
+    plain = Tokenizer.from_file(path)
+    want = {r[0]: len(plain.encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
+    assert by_id(mixing.token_counts(frame(spark, rows), path), "tokens") == {i: (n,) for i, n in want.items()}
+    total = Counter()
+    for r in rows:
+        total["" if r[3] is None else f"={r[3]}"] += want[r[0]]
+    p = np.array([n for n in total.values() if n]) / sum(total.values())
+    a = mixing.exponent(spark.createDataFrame([(float(x),) for x in p], "p double"), mixing.Mix())
+    weights = {r["key"]: r["weight"] for r in mixing.plan(frame(spark, rows), mixing.Mix(), path).collect()}
+    share = {k: (n / sum(total.values())) ** a / (p**a).sum() for k, n in total.items() if n}
+    assert weights.keys() == total.keys() and all(abs(weights[k] - share[k]) < 1e-9 for k in share)
+
+
+def test_mixing_query_weighs_by_tokens(spark, tmp_path):
+    from claimloom.llm import queries
+
+    rows = [(i, "one two three", "en", "en", 0) for i in range(40)] + [(100 + i, "数据处理" * 30, "zh", "cjk", 0) for i in range(40)]
+    frame(spark, rows, clashes=False).write.parquet(str(tmp_path / "documents.parquet"))
+    weights = {r["source"]: r["weight"] for r in queries.op6_mixing(spark, str(tmp_path)).select("source", "weight").distinct().collect()}
+    assert weights["cjk"] > weights["en"]
+
+
 # --- WARC ---
 
 

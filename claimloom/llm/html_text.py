@@ -5,11 +5,15 @@ and lays the rest out as text: white space collapses as on screen, blocks start
 stand apart by an empty line, list items get a bullet or number and are indented by nesting, and the cells of a table line up
 in columns.
 
-Hidden are: comments, head, script, style, template and other content that isn't rendered; elements with ``hidden``,
-``display:none`` or ``visibility:hidden``; closed details but for their summary; closed dialogs.
+Hidden are: comments, head, script, style, template and other content that isn't rendered; elements with ``hidden`` or
+``display:none``; closed details but for their summary; closed dialogs; the fallback of an object that names data. Visibility is
+inherited by itself, so that a visible element in one of ``visibility:hidden`` is shown.
 
-Defined results: null or empty html gives empty text; rows are read each by itself; elements nested deeper than ``DEEPEST``
-are taken as children of the last that is not; an empty table gives an empty result; columns of the input stay, and the text
+Of svg, the text elements and foreign objects are shown, of math all but annotations, the parts of fractions, scripts and
+matrices apart by spaces. Text that svg draws only by ``use`` isn't.
+
+Defined results: null or empty html gives empty text; rows are read each by itself; elements may be
+nested to any depth; an empty table gives an empty result; columns of the input stay, and the text
 goes to a column whose name is made distinct from theirs.
 """
 
@@ -24,12 +28,23 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.shared import fresh, slices
 
-DEEPEST = 200
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("title textarea".split())
-UNSEEN = frozenset("head script style template title iframe object audio video canvas noembed noframes datalist svg math".split())
+UNSEEN = frozenset("head script style template title iframe audio video canvas noembed noframes datalist".split())
+#: What svg and math don't draw.
+UNDRAWN = {
+    "svg": frozenset("title desc metadata style script defs symbol clippath mask marker pattern filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml style script".split()),
+}
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of svg and math with HTML in them, and HTML tags that end svg and math elsewhere.
+INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements of math whose children stand beside or above each other.
+LAYOUTS = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mlabeledtr mtd".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu dir".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main nav option optgroup search section summary tr caption thead tbody tfoot".split()
@@ -55,7 +70,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.S)
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!|;|$)", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!|;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse|inherit|unset|revert)\s*(!\s*important)?\s*(?=;|$)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -73,27 +89,33 @@ def attributes(text: str) -> dict[str, str]:
 def build(source: str) -> Node:
     """The tree of a page; text is kept as it is written, entities decoded."""
     root = Node("#root", {})
-    stack = [root]
+    stack, places = [root], {}  # open elements, and where in the stack those of each tag are
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags, stop) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                close(tags, stop)
-                return
-            if stack[i].tag in stop:
-                return
-
-    def open_(tag: str, attrs: dict[str, str]) -> None:
+        while (i := last(tags)) and i >= last(stop):
+            cut(i)
+
+    def foreign() -> bool:
+        return (i := last(FOREIGN)) > 0 and i > last(INTEGRATION)
+
+    def open_(tag: str, attrs: dict[str, str], empty: bool = False) -> None:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEEPEST:
+        if tag not in VOID and not empty:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
     def text(data: str) -> None:
         if data:
             if data.strip() and stack[-1].tag == "head":
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(entities.unescape(data) if "&" in data else data)
 
     at = 0
@@ -104,6 +126,11 @@ def build(source: str) -> Node:
             break
         text(source[at : found.start()])
         at = found.end()
+        if source.startswith("<![CDATA[", found.start()) and foreign():
+            end = source.find("]]>", found.start())
+            stack[-1].children.append(source[found.start() + 9 : end if end >= 0 else len(source)])
+            at = end + 3 if end >= 0 else len(source)
+            continue
         tag = found["tag"] or (found["loose"] or "").lstrip("/")
         if not tag:
             continue
@@ -111,47 +138,61 @@ def build(source: str) -> Node:
         if found["close"] or (found["loose"] or "").startswith("/"):
             if tag == "br":
                 open_("br", {})
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
-                open_("p", {})
-                stack.pop()
+            elif tag == "p" and not places.get("p"):
+                open_("p", {}, True)
             elif tag not in ("body", "html"):
                 stop = SCOPES - {tag} if tag not in ("tr", "tbody", "thead", "tfoot", "table") else {"table"} - {tag}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in stop:
-                        break
+                if (i := last((tag,))) and i >= last(stop):
+                    cut(i)
             continue
         attrs = attributes(found["attrs"] or "")
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if stack[-1].tag == "head" and tag not in HEAD_TAGS:
-            stack.pop()
-        if tag in CLOSES:
+            cut(len(stack) - 1)
+        while tag in BREAKOUT and foreign():
+            cut(last(FOREIGN))
+        if foreign() or tag in FOREIGN:
+            written = found["attrs"] or ""
+            empty = written.endswith("/") and not re.search(r"=[^\s\"'=]+/\Z", written)
+            open_(tag, attrs, empty)
+            if empty or tag not in RAW and tag not in ESCAPABLE:
+                continue
+        elif tag in CLOSES:
             close(*CLOSES[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             open_("tr", {})
-        if tag in BLOCKS and tag not in ("li", "dt", "dd", "option"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES or stack[i].tag in BLOCKS:
-                    break
-        open_(tag, attrs)
+        if tag in BLOCKS and tag not in ("li", "dt", "dd", "option") and places.get("p") and last(("p",)) >= max(last(SCOPES), last(BLOCKS)):
+            cut(last(("p",)))
+        if stack[-1].attrs is not attrs:
+            open_(tag, attrs)
         if tag in RAW or tag in ESCAPABLE:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             inner = source[at : end.start() if end else len(source)]
             if stack[-1].tag == tag:
                 stack[-1].children.append(entities.unescape(inner) if tag in ESCAPABLE else inner)
-                stack.pop()
+                cut(len(stack) - 1)
             at = (source.find(">", end.start()) + 1 or len(source)) if end else len(source)
     return root
 
 
-def hidden(node: Node) -> bool:
-    if node.tag in UNSEEN:
+def visibility(node: Node, mode: str = "") -> str:
+    """The element's own value, that of its style before that of its attribute in svg; else empty."""
+    found = _VISIBILITY.findall(node.attrs.get("style", ""))
+    if found:
+        return ([x for x in found if x[1]] or found)[-1][0].lower()
+    return node.attrs.get("visibility", "").lower() if mode[:3] == "svg" else "hidden" if mode == "math" and node.tag == "mphantom" else ""
+
+
+def visible(node: Node, shown: bool, mode: str = "") -> bool:
+    """Whether the element's text is seen, within one whose text is or isn't."""
+    value = visibility(node, mode)
+    return True if value in ("visible", "initial") else False if value in ("hidden", "collapse") else shown
+
+
+def hidden(node: Node, mode: str = "") -> bool:
+    """Not rendered, nor anything in it."""
+    if node.tag in UNSEEN or node.tag in UNDRAWN.get(mode[:3] if mode[:3] == "svg" else mode, ()):
         return True
     attrs = node.attrs
     if not attrs:
@@ -161,6 +202,9 @@ def hidden(node: Node) -> bool:
         or ("style" in attrs and bool(_HIDING.search(attrs["style"])))
         or (node.tag == "input")
         or (node.tag == "dialog" and "open" not in attrs)
+        or (node.tag == "object" and "data" in attrs)
+        or (mode[:3] == "svg" and attrs.get("display") == "none")
+        or (node.tag in ("tr", "thead", "tbody", "tfoot") and visibility(node) == "collapse")
     )
 
 
@@ -231,13 +275,26 @@ class Page:
         return lines
 
 
-def _inside(node: Node, pre: bool = False) -> list[str]:
+def _run(task):
+    """The result of a generator that yields the generators it waits for; they are kept in a list, so depth has no limit."""
+    waiting, value = [task], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+    return value
+
+
+def _inside(node: Node, shown: bool):
     page = Page()
-    _walk(node, page, pre)
+    yield _walk(node, page, False, shown)
     return page.done()
 
 
-def _walk(node: Node, page: Page, pre: bool) -> None:
+def _walk(node: Node, page: Page, pre: bool, shown: bool, mode: str = ""):
     number = None
     if node.tag == "ol":
         start = node.attrs.get("start", "1")
@@ -245,48 +302,63 @@ def _walk(node: Node, page: Page, pre: bool) -> None:
     closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
-            if not closed:
-                page.verbatim(child) if pre else page.say(child)
+            if shown and not closed and mode != "svg":
+                page.say(child.strip(" \t\n\r\f")) if mode == "math" else page.verbatim(child) if pre else page.say(child)
             continue
-        if hidden(child) or closed and child.tag != "summary":
+        if hidden(child, mode) or closed and child.tag != "summary":
             continue
-        tag = child.tag
-        if tag == "br":
-            page.end_line()
+        tag, seen = child.tag, visible(child, shown, mode)
+        if tag in FOREIGN or mode and tag != "foreignobject":
+            inner = tag if tag in FOREIGN else "svg text" if mode == "svg" and tag == "text" else mode
+            apart = inner != mode and tag == "text" or mode == "math" and node.tag in LAYOUTS
+            block = tag == "math" and child.attrs.get("display") == "block"
+            page.apart(1) if block else None
+            page.space = page.space or apart
+            yield _walk(child, page, pre and inner != "math", seen, inner)
+            page.space = page.space or apart
+            page.apart(1) if block else None
+        elif tag == "foreignobject" and mode:
+            page.apart(1)
+            yield _walk(child, page, False, seen)
+            page.apart(1)
+        elif tag == "br":
+            page.end_line() if seen else page.apart(1)
         elif tag == "li":
             mark = "- "
             if number is not None:
                 value = child.attrs.get("value", "")
                 number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
                 mark, number = f"{number}. ", number + 1
-            lines = _inside(child)
-            page.insert([mark + (lines[0] if lines else "")] + [" " * len(mark) + x if x else "" for x in lines[1:]])
+            lines = yield _inside(child, seen)
+            if seen or lines:
+                first = mark if seen else " " * len(mark)
+                page.insert([first + (lines[0] if lines else "")] + [" " * len(mark) + x if x else "" for x in lines[1:]])
             page.apart(1)
         elif tag in ("dd", "blockquote"):
             page.apart(1 if tag == "dd" else 2)
-            page.insert(["  " + x if x else "" for x in _inside(child)])
+            page.insert(["  " + x if x else "" for x in (yield _inside(child, seen))])
             page.apart(1 if tag == "dd" else 2)
         elif tag == "table":
             page.apart(2)
-            page.insert(_table(child))
+            page.insert((yield _table(child, seen)))
             page.apart(2)
         elif tag == "hr":
             page.apart(2)
         elif tag in ("td", "th"):  # outside any table
             page.space = True
-            _walk(child, page, pre)
+            yield _walk(child, page, pre, seen)
             page.space = True
         elif tag in ("ul", "ol", "menu", "dir") and node.tag == "li":  # a list within an item needs no empty lines
             page.apart(1)
-            _walk(child, page, False)
+            yield _walk(child, page, False, seen)
             page.apart(1)
         elif tag in BLOCKS:
             gap = 2 if tag in PARAGRAPHS else 1
             page.apart(gap)
-            _walk(child, page, pre or tag == "pre")
+            yield _walk(child, page, pre or tag == "pre", seen)
             page.apart(gap)
         else:
-            _walk(child, page, pre or tag in ("textarea", "listing"))
+            yield _walk(child, page, pre or tag in ("textarea", "listing"), seen)
 
 
 def _span(cell: Node, name: str) -> int:
@@ -294,39 +366,46 @@ def _span(cell: Node, name: str) -> int:
     return min(max(int(value), 1), 1000) if re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def _rows(node: Node, rows: list, captions: list) -> None:
+def _rows(node: Node, rows: list, captions: list, shown: bool) -> None:
+    """Rows of (cell, whether it is seen), and other content with the same."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
-                captions.append(child)
+                captions.append((child, shown))
         elif hidden(child):
             continue
         elif child.tag == "tr":
-            rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)])
-            captions += [c for c in child.children if (c.strip() if isinstance(c, str) else c.tag not in ("td", "th") and not hidden(c))]
+            seen = visible(child, shown)
+            rows.append([(c, visible(c, seen)) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)])
+            captions += [(c, seen) for c in child.children if (c.strip() if isinstance(c, str) else c.tag not in ("td", "th") and not hidden(c))]
         elif child.tag in ("thead", "tbody", "tfoot"):
-            _rows(child, rows, captions)
+            _rows(child, rows, captions, visible(child, shown))
         elif child.tag not in ("colgroup", "col"):
-            captions.append(child)
+            captions.append((child, shown))
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, shown: bool):
     """Caption and other content, then rows; the columns of a row line up, two spaces apart."""
     rows, loose = [], []
-    _rows(node, rows, loose)
+    _rows(node, rows, loose, shown)
     page = Page()
     holder = Node("div", {})
-    holder.children = loose
-    _walk(holder, page, False)
+    for child, seen in loose:
+        if seen != shown:
+            within = Node("span", {"style": f"visibility:{'visible' if seen else 'hidden'}"})
+            within.children.append(child)
+            child = within
+        holder.children.append(child)
+    yield _walk(holder, page, False, shown)
     out = page.done()
     grid, taken = [], {}  # (column, columns, lines) of each cell by row; rows that a cell above still fills, by column
     for cells in rows:
         placed, column = [], 0
-        for cell in cells:
+        for cell, seen in cells:
             while taken.get(column, 0) > 0:
                 column += 1
             width, height = _span(cell, "colspan"), _span(cell, "rowspan")
-            placed.append((column, width, _inside(cell)))
+            placed.append((column, width, (yield _inside(cell, seen))))
             for c in range(column, column + width):
                 taken[c] = height
             column += width
@@ -356,7 +435,7 @@ def _table(node: Node) -> list[str]:
 
 def render(source: str) -> str:
     """The visible text of a page."""
-    return "\n".join(_inside(build(source)))
+    return "\n".join(_run(_inside(build(source), True)))
 
 
 def extract(pages: DataFrame, column: str = "html") -> tuple[DataFrame, str]:

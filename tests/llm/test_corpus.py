@@ -304,6 +304,19 @@ def test_html_deep_and_long():
     assert html_text.render("<p>" + "word " * 200_000).count("word") == 200_000
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<p>E<math><mi>x</mi><mo>=</mo><mn>2</mn></math>!", "Ex=2!"), ("<math><semantics><mfrac><mn>1</mn><mi>n</mi></mfrac><annotation>tex</annotation></semantics></math>", "1 n"),
+    ("<svg><title>t</title><desc>d</desc><style>s</style><g/><path d='M0'/><text>a<tspan>b</tspan></text><text>c</text></svg> e", "ab c e"), ("<svg><title/><text>a</text></svg>b", "a b"),
+    ("<svg><g><p>out</p>", "out"), ("<svg><text><![CDATA[a > b]]></text></svg>", "a > b"), ("<svg><foreignObject><p>f</p></foreignObject></svg>", "f"),
+    ("<object>fallback</object>", "fallback"), ("<object data=x>fallback</object>", ""), ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+    ("<div style='display:none'>a<b style='visibility:visible'>b</b></div>d", "d"), ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>", "b"),
+    ("<i>" * 300 + "<div hidden>no</div><details><summary>s</summary>no</details>yes", "s\nyes"), ("<div hidden>" + "<b>" * 300 + "<i>x</i></b>no</div>", ""),
+    ("<blockquote>" * 300 + "x", "  " * 300 + "x"), ("<table><tr><td>" * 2000 + "x", "x"), ("<b>" * 100_000 + "x" + "</i>" * 100_000, "x"),
+])
+def test_html_all_visible_text(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_of_a_table(spark):
     rows = [(1, None), (2, ""), (3, "<p>a"), (3, "<p>a"), (None, "b")]
     table = spark.createDataFrame(rows, "page_id long, html string").withColumn("Text", F.lit("other"))

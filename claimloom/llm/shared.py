@@ -1,11 +1,12 @@
 """Folders, written tables and files that the driver and all executors see.
 
 Intermediate results are cut from their lineage by writing them below the folder in
-``spark.checkpoint.dir``; nothing is kept on a machine's own disk.
+``spark.checkpoint.dir``; nothing is kept on a machine's own disk. Without that setting only a local master works.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,12 @@ WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the cluster's shared folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own(spark)
+    """A new folder's full URI below the cluster's shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own(spark)
+    if "://" not in root:  # a plain path means Spark's default file system, for the files that tasks write, too
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = found if "://" in found else "file://" + found.removeprefix("file:")
     return f"{root.rstrip('/')}/claimloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -31,7 +36,10 @@ _own_root: list[str] = []
 
 
 def _own(spark: SparkSession) -> str:
-    """A folder of this process, only where the cluster names none."""
+    """A folder of this process, only for a local master: executors elsewhere wouldn't see it."""
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="claimloom-"))
     return _own_root[0]

@@ -1,15 +1,20 @@
 """Exact deduplication by an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Every document's normalised text gets a 64-bit slot hash and a SHA-256; these fingerprints are written to the shared
-   folder.
-2. The directory starts with one bucket. While a bucket has more distinct keys than ``capacity``, it splits on the next bit
-   of the hash, and the directory doubles when a bucket's depth passes the directory's. The counts per prefix that this
-   needs are at most ``2 ** max_depth`` rows. Copies share a key, so a group of copies never overfills a bucket.
-3. Owner tasks take contiguous ranges of buckets and write the index: per slot hash a chain of the distinct texts that have
-   it. Bytes are compared where the chain is made: the grouping key holds the whole normalised text, pre-aggregated where it
-   is read, so that of a large group of copies each task sends one row.
-4. Each fingerprint looks its chain up. Where a slot and digest stand for one text, as they all but surely do, that decides;
-   for the others, if there are any, whole texts are compared again.
+1. Every document's normalised text gets a 64-bit hash and a SHA-256; these fingerprints are written to the shared folder.
+2. The directory is built from the exact number of distinct hashes per prefix: it starts with few slots, and while a bucket
+   holds more than ``capacity`` hashes it splits on the next bit; when a bucket is deeper than the directory, the directory
+   doubles. All of that is grouping and joining of tables of counts; nothing of it goes to the driver but the number of
+   hashes and the depth. Copies share a hash, so a group of copies never overfills a bucket.
+3. Chains: equal hashes are chained, a link per text. Bytes are compared here, as the grouping key holds the whole normalised
+   text, pre-aggregated where it is read, so that of a large group of copies each task sends one row.
+4. Each link finds its bucket through the directory, and owner tasks take contiguous ranges of buckets, as large as each
+   other, and write them to the index, ordered by bucket and hash.
+5. Each fingerprint is looked up: its hash's first bits are its slot, the directory has the slot's bucket, and the bucket's
+   chain has the link of its digest. Where a hash and digest stand for one text, as they all but surely do, that decides; for
+   the others, if there are any, whole texts are compared again.
+
+The directory has at most ``16 * n / capacity`` slots for n hashes (and at least one). A bucket that is overfull even then,
+as its hashes agree in more bits than that, isn't split any more: it keeps all of its links as an overflow chain.
 
 Defined results: null counts as empty; texts are equal when identical after each run of white space became one space; of
 equal texts the smallest doc_id stays, nulls last; repeated rows are copies of each other and all carry the same keep_id; an
@@ -23,6 +28,11 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.shared import fresh, materialize, text_column
 
+#: Hashes of a bucket.
+CAPACITY = 512
+#: Levels that the directory may grow by beyond where it starts.
+LEVELS = 4
+
 
 def normalised(text: Column) -> Column:
     """Each run of white space as one space."""
@@ -38,59 +48,72 @@ def prefix(h: Column, depth: int) -> Column:
     return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(counts: dict[int, int], max_depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """Per directory slot: slot, bucket, local depth; counts are of distinct keys by their first ``max_depth`` bits.
+def directory(hashes: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """The directory over distinct hashes (column h) and its depth: a row per slot, with slot, bucket and the bucket's depth.
 
-    Buckets split until none is overfull or the last bit is used; beyond that a bucket's chains just grow.
+    A bucket is named by its first slot. A slot without hashes has a row only if its bucket has some.
     """
-    total = {(0, 0): sum(counts.values())}
-    for depth in range(1, max_depth + 1):
-        for key, n in counts.items():
-            at = (depth, key >> (max_depth - depth))
-            total[at] = total.get(at, 0) + n
-    leaves, todo, global_depth = [], [(0, 0)], 0
-    while todo:
-        depth, bits = todo.pop()
-        if total.get((depth, bits), 0) > capacity and depth < max_depth:
-            global_depth = max(global_depth, depth + 1)
-            todo += [(depth + 1, bits * 2 + 1), (depth + 1, bits * 2)]
-        else:
-            leaves.append((depth, bits))
-    rows = []
-    for bucket, (depth, bits) in enumerate(leaves):
-        spread = global_depth - depth
-        rows += [((bits << spread) + i, bucket, depth) for i in range(1 << spread)]
-    return rows
-
-
-def group(docs: DataFrame, capacity: int = 1 << 20, max_depth: int = 12, hash_of=slot_hash) -> DataFrame:
-    """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
+    n = hashes.count()
+    start = max(0, (n // capacity).bit_length() - 2)  # buckets hold at least twice the capacity, on average
+    deepest = start + LEVELS
+    counts = materialize(hashes.groupBy(prefix(F.col("h"), deepest).alias("bits")).agg(F.count(F.lit(1)).alias("n")), "exact-counts")
+    buckets, parents = None, None  # of a level, and the overfull ones of the level above
+    for depth in range(start, deepest + 1):
+        nodes = counts.groupBy(F.shiftrightunsigned("bits", deepest - depth).alias("bits")).agg(F.sum("n").alias("n"))
+        if parents is not None:
+            nodes = nodes.join(parents, F.shiftrightunsigned(nodes["bits"], 1) == parents["parent"], "left_semi")
+        full = (F.col("n") > capacity) & F.lit(depth < deepest)
+        settled = nodes.where(~full).select(F.lit(depth).alias("depth"), "bits", "n")
+        buckets = settled if buckets is None else buckets.union(settled)
+        parents = nodes.where(full).select(F.col("bits").alias("parent"))
+    buckets = materialize(buckets, "exact-buckets")
+    depth = buckets.agg(F.max("depth")).first()[0] or 0
+    spread = F.lit(depth) - F.col("depth")
+    first = F.call_function("shiftleft", F.col("bits"), spread)
+    last = first + F.call_function("shiftleft", F.lit(1).cast("long"), spread) - 1
+    slots = buckets.select(first.alias("bucket"), "depth", F.explode(F.sequence(first, last)).alias("slot"))
+    return materialize(slots.select("slot", "bucket", "depth"), "exact-directory"), depth
+
+
+def fingerprints(docs: DataFrame, hash_of=slot_hash) -> DataFrame:
+    """doc_id, normalised text, hash and digest of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_column()).alias("norm"))
-    hashed = texts.select("doc_id", "norm", hash_of(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("digest"))
-    prints = materialize(hashed.select("doc_id", "h", "digest"), "exact-prints")
+    return texts.select("doc_id", "norm", hash_of(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("digest"))
+
+
+def placed(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """Rows with a hash and the bucket that the directory has for it."""
+    return rows.withColumn("slot", prefix(F.col("h"), depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
 
-    keys = prints.select("h", prefix(F.col("h"), max_depth).alias("p")).groupBy("p").agg(F.approx_count_distinct("h", 0.02).alias("n"))
-    rows = directory({r["p"]: r["n"] for r in keys.collect()}, max_depth, capacity)  # at most 2 ** max_depth rows
-    depth = (len(rows) - 1).bit_length()
-    slots = spark.createDataFrame(rows, "slot long, bucket int, depth int")
+
+def index(chains: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """The written index: a row per link, in ranges of buckets, one owner task a range, ordered by bucket and hash."""
+    owners = max(1, int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    owned = placed(chains, slots, depth).repartitionByRange(owners, "bucket").sortWithinPartitions("bucket", "h", "digest")
+    return materialize(owned, "exact-index")
+
+
+def group(docs: DataFrame, capacity: int = CAPACITY, hash_of=slot_hash) -> DataFrame:
+    """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    hashed = fingerprints(docs, hash_of)
+    prints = materialize(hashed.select("doc_id", "h", "digest"), "exact-prints")
+    slots, depth = directory(materialize(prints.select("h").distinct(), "exact-hashes"), capacity)
 
     chains = hashed.groupBy("h", "digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = chains.select("h", "digest", "keep_id", "group_size", prefix(F.col("h"), depth).alias("slot")).join(F.broadcast(slots), ["slot"])
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    owner = F.floor(F.col("bucket") * owners / (1 + max((b for _, b, _ in rows), default=0))).cast("int")
-    owned = entries.withColumn("owner", owner).repartition(owners, "owner", "h").sortWithinPartitions("bucket", "h", "digest")
-    index = materialize(owned.select("bucket", "depth", "h", "digest", "keep_id", "group_size"), "exact-index")
-
-    entry = index.select("h", "digest", "keep_id", "group_size")
-    clash = entry.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h", "digest")
-    if clash.isEmpty():  # both sides are plain tables, so that Spark can split the partition of a large group
-        found = prints.join(entry, ["h", "digest"])
-    else:  # one slot and digest, several texts: compare the texts themselves
+    # written before it is dealt by range, which reads it twice
+    links = index(materialize(chains.drop("norm"), "exact-chains"), slots, depth)
+
+    # no side is an aggregate, so that Spark can split the partition of a large group
+    wanted = placed(prints, slots, depth)
+    link = ["bucket", "h", "digest"]
+    clash = links.groupBy(*link).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select(*link)
+    if clash.isEmpty():
+        found = wanted.join(links, link)
+    else:  # one hash and digest, several texts: compare the texts themselves
         clash = materialize(clash, "exact-clashes")
-        found = prints.join(entry.join(clash, ["h", "digest"], "left_anti"), ["h", "digest"])
+        found = wanted.join(links.join(clash, link, "left_anti"), link)
         unlike = hashed.join(clash, ["h", "digest"], "left_semi")
-        found = found.unionByName(unlike.join(chains, ["h", "digest", "norm"]).drop("norm"))
+        found = found.drop("bucket").unionByName(unlike.join(chains, ["h", "digest", "norm"]).drop("norm"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

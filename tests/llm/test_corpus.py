@@ -63,7 +63,7 @@ def py_groups(rows):
     return {i: (min(g), len(g), i == min(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 4, "max_depth": 6}, {"hash_of": lambda t: (F.length(t) % 3).cast("long")}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 4}, {"capacity": 1}, {"capacity": 2, "hash_of": lambda t: F.shiftrightunsigned(F.xxhash64(t), 40)}, {"hash_of": lambda t: (F.length(t) % 3).cast("long")}])
 def test_exact_groups(spark, options):
     rows = documents()
     assert by_id(exact_dedup.group(frame(spark, rows), **options), "keep_id", "group_size", "kept", "text_sha256") == py_groups(rows)
@@ -88,13 +88,42 @@ def test_exact_drop_copies(spark):
     assert exact_dedup.drop_copies(frame(spark, [])).count() == 0 and exact_dedup.group(frame(spark, [])).count() == 0
 
 
-def test_directory_splits_and_doubles():
-    counts = {k: 1 for k in range(16)} | {5: 40}
-    rows = exact_dedup.directory(counts, 4, 10)
-    slots = [s for s, _, _ in rows]
-    assert sorted(slots) == list(range(len(rows))) and len(rows) == 16  # doubled to the last bit for the overfull key
-    assert len({b for _, b, _ in rows}) < 16  # but only its buckets split that far
-    assert exact_dedup.directory({}, 4, 10) == [(0, 0, 0)]
+def hashes_of(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "h long")
+
+
+def test_directory_splits_and_doubles(spark):
+    rng = np.random.default_rng(1)
+    values = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 3000)]
+    crowd = [(5 << 56) + i for i in range(500)]  # agree in so many bits that no split parts them
+    slots, depth = exact_dedup.directory(hashes_of(spark, values + crowd), 100)
+    rows = {r["slot"]: (r["bucket"], r["depth"]) for r in slots.collect()}
+    held = Counter()
+    for v in values + crowd:
+        bucket, own = rows[(v & (1 << 64) - 1) >> (64 - depth)]
+        assert bucket >> (depth - own) == (v & (1 << 64) - 1) >> (64 - own)
+        held[bucket] += 1
+    assert depth > 3 and len({own for _, own in rows.values()}) > 1  # buckets of several depths
+    overfull = {b: n for b, n in held.items() if n > 100}
+    assert len(overfull) == 1 and min(overfull.values()) >= 500  # the overflow chain, whose links all stay
+    assert len(rows) <= 16 * 3500 / 100
+    slots, depth = exact_dedup.directory(hashes_of(spark, []), 100)
+    assert depth == 0 and slots.count() == 0
+    slots, depth = exact_dedup.directory(hashes_of(spark, [7]), 100)
+    assert [tuple(r) for r in slots.collect()] == [(0, 0, 0)]
+
+
+def test_index_of_the_query_splits(spark):
+    """With the query's own parameters, its table fills several buckets, none of them beyond capacity, in ranges of owners."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prints = exact_dedup.fingerprints(docs)
+    slots, depth = exact_dedup.directory(prints.select("h").distinct())
+    assert depth > 0
+    links = exact_dedup.index(prints.groupBy("h", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), slots, depth)
+    per = links.groupBy("bucket").agg(F.countDistinct("h").alias("n")).collect()
+    assert len(per) > 1 and max(r["n"] for r in per) <= exact_dedup.CAPACITY
+    owners = links.select("bucket", F.input_file_name().alias("f")).distinct().groupBy("bucket").count().where("count > 1")
+    assert owners.count() == 0
 
 
 # --- near dedup ---

@@ -30,7 +30,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest(chat.format_turns(turns, public_tokenizers.path("byte_bpe_50k.json")))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.digest(chat.format_turns(turns, vocabulary), vocabulary)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimloom.llm import chat, packing, sstable, token_counts
@@ -137,26 +138,55 @@ def test_chat(spark):
     rows = [(c, t, role, ODD[(c + t) % len(ODD)]) for c in range(12) for t, role in enumerate(["user", "assistant", "assistant", None, "sys\ntem>\n<\\", ""])]
     rows += [(3, 1, "assistant", "tie"), (3, 1, "assistant", "tie"), (None, 0, "assistant", "no id")]
     rows += [(99, t, "assistant" if t % 2 else "user", f"turn {t} " * 20) for t in range(900)]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("conv_id", "conv_id").repartition(5)
+    rows += [(50, 0, "assistant", "é " * 40_000), (51, 0, "assistant", " \n\n  led by white space")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    table = table.withColumns({c: F.lit("x") for c in ("ids", "part", "seq", "loss_mask", "n_turns", "Text_")})
     segments = chat.format_turns(table, BYTE, segment_chars=2000)
-    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digest(segments).collect()}
+    got = {r["conv_id"]: tuple(r)[1:6] for r in chat.digest(segments, BYTE).collect()}
     for conv in {r[0] for r in rows}:
         turns = sorted(((t, role or "", text or "") for c, t, role, text in rows if c == conv))
         said = "".join(x for _, role, x in turns if role == "assistant")
-        want = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+        size = sum(len(chat.render([(a, b)])[0]) for _, a, b in turns)
+        want = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), size)
         assert got[conv] == want, conv
     parts = segments.where("conv_id = 99").orderBy("part", "seq").collect()
     assert len(parts) > 3
-    whole = "".join(p["text"] for p in parts)
+    whole, begins, ends = chat.render([("assistant" if t % 2 else "user", f"turn {t} " * 20) for t in range(900)])
     assert [i for p in parts for i in p["ids"]] == ids_of(BYTE, whole)
     mask = [m for p in parts for m in p["loss_mask"]]
     offsets = Tokenizer.from_file(BYTE).encode(whole, add_special_tokens=False).offsets
-    _, begins, ends = chat.render([("assistant" if t % 2 else "user", f"turn {t} " * 20) for t in range(900)])
     assert mask == [any(b < e2 and e > b2 for b, e in zip(begins, ends)) for b2, e2 in offsets]
-    assert chat.digest(chat.format_turns(table.where("false"), BYTE)).count() == 0
+    assert chat.digest(chat.format_turns(table.where("false"), BYTE), BYTE).count() == 0
+
+
+def test_chat_digest_comes_from_ids_and_mask(spark):
+    """Whatever bit of the mask or id is changed, the loss text changes, or reading fails."""
+    turns = [("user", "a question <b>?"), ("assistant", "the answer, née x"), ("user", "more"), ("assistant", "\n tail")]
+    text, begins, ends = chat.render(turns)
+    found = Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False)
+    ids, offsets = np.array(found.ids), np.array(found.offsets)
+    mask, spelled = chat.token_mask(offsets, np.array(begins), np.array(ends)), chat.spellings(BYTE)
+    assert chat.read_segment(ids, mask, spelled) == (text, turns, ["", turns[1][1], "", turns[3][1]])
+    for k in range(len(ids)):
+        flipped = mask.copy()
+        flipped[k] = not mask[k]
+        try:
+            assert chat.read_segment(ids, flipped, spelled)[2] != ["", turns[1][1], "", turns[3][1]]
+        except ValueError as e:
+            assert "masked token" in str(e) and not mask[k]
+    with pytest.raises(ValueError):
+        chat.read_segment(ids, mask[:-1], spelled)
+    table = spark.createDataFrame([(1, t, role, said) for t, (role, said) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    segments = chat.format_turns(table, BYTE)
+    k = int(np.flatnonzero(mask)[2])
+    other = segments.withColumn("loss_mask", F.transform("loss_mask", lambda m, i: F.when(i == k, ~m).otherwise(m)))
+    assert chat.digest(segments, BYTE).first()["loss_sha256"] != chat.digest(other, BYTE).first()["loss_sha256"]
+    with pytest.raises(ValueError, match="byte by byte"):
+        chat.spellings(WORD)
 
 
 @pytest.mark.parametrize("role,text", [("user", t or "") for t in ODD] + [("a\nb<>\\n", "x")])
 def test_chat_escapes(role, text):
     rendered, _, _ = chat.render([(role, text), ("assistant", text)])
-    assert list(chat.parse(rendered)) == [(role, text), ("assistant", text)]
+    data = rendered.encode()
+    assert [(r, chat.unescape(data[a:b].decode())) for r, a, b in chat.parse(data)] == [(role, text), ("assistant", text)]

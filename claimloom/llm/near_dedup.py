@@ -1,18 +1,22 @@
 """MinHash near-deduplication with odd sketches.
 
-1. Each text becomes its set of distinct word shingles (64-bit hashes). From the set come a digest, ``BANDS x ROWS`` MinHash
-   samples as band keys, and an odd sketch: each of the ``BOTTOM`` smallest hashes, a MinHash sample of the whole set if that
-   is no larger, flips one bit of a bitmap, so that the XOR of two bitmaps has about a bit for each sample in which they differ.
+1. Each text becomes its set of distinct word shingles. Words are hashed to 128 bits (a keyed xxh3), and shingles to two
+   64-bit values made of the words' halves. From the first come ``BANDS x ROWS`` MinHash samples as band keys, and an odd
+   sketch: each of the ``BOTTOM`` smallest hashes, a MinHash sample of the whole set if that is no larger, flips one bit of a
+   bitmap, so that the XOR of two bitmaps has about a bit for each sample in which they differ.
 2. Equal sets are one node, the one of their smallest doc_id. Copies are never paired.
 3. In each band bucket every node is paired with the bucket's smallest node. A node's first check is with the hub it shares
-   most buckets with; checks compare whole sets. Links give components by repeated smallest-neighbour hooking.
+   most buckets with. Links give components by repeated smallest-neighbour hooking.
 4. Buckets that still hold several components are dealt to tiles of bounded size, in which sketches are compared as bitmaps,
-   without making pairs into rows. What comes out is first each node's most similar one of another component; these are
-   checked and components taken again. Then it is every pair across components that sizes and sketches don't rule out,
-   which is checked too. A pair inside a component needs no check.
+   without making pairs into rows. Blocks follow components: a large component has blocks of its own, which never meet each
+   other. What comes out is first each node's most similar one of another component; these are checked and components taken
+   again. Then it is every pair across components that sizes and sketches don't rule out, each in the first bucket that it
+   shares only. These are checked, too. A pair inside a component needs no check.
 
-Checks read the whole texts again, those of candidates only. Two sets of similarity 0.8 share no bucket with a probability
-of (1 - 0.8 ** ROWS) ** BANDS, 3e-6 with the defaults; the sketch's bound, at 6.5 standard deviations, adds less than 1e-9.
+Checks read whole texts again, those of nodes that share a bucket, written once. The texts of a hub's partners are dealt to
+groups of at most about ``FAN``; each group streams by one text of the hub, and both halves of the shingles' hashes are
+compared. Two sets of similarity 0.8 share no bucket with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3e-6 with the defaults
+and ideal samples; the sketch's bound, at 6.5 standard deviations, adds less than 1e-9.
 
 Defined results: a null text, or one without words, has no shingles, and is linked with nothing; one with fewer words than a
 shingle has its whole word sequence as the only one; the doc_id names a document, so rows that share one are one document
@@ -23,25 +27,29 @@ result; further columns play no part.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom.llm.shared import fresh, materialize, slices, text_column
 
 BANDS, ROWS = 42, 6
 SKETCH_BITS, BOTTOM = 2048, 1024
-#: Nodes of a block; two blocks of a bucket meet in a tile.
-BLOCK = 1024
-#: Slots of the prefilter that picks candidates' texts; its table is broadcast and has this many rows at most.
-SLOTS = 1 << 20
+#: Nodes of a block, about; two blocks of a bucket meet in a tile.
+BLOCK = 256
+#: Partners of a hub that are checked in one group, about.
+FAN = 256
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values of a known 64-bit mixer
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0x2545F4914F6CDD1D)
+_OTHER_STEP = np.uint64(0xD6E8FEB86659FD93)
+_word_hash = partial(xxhash.xxh3_128_digest, seed=20)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,41 +58,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
-
-
-def _weights(n: int) -> np.ndarray:
-    """The first ``n`` powers of an odd base, modulo 2 ** 64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(1 << n.bit_length(), _BASE, np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
-
-
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_inverses = np.ones(1, np.uint64)
-
+def _rolled(words: np.ndarray, width: int, step: np.uint64) -> np.ndarray:
+    """A hash of each run of ``width`` words."""
+    out = words[: max(0, len(words) - width + 1)].copy()
+    for k in range(1, width):
+        out = _mixed(out * step + words[k : k + len(out)])
+    return out
 
-def _inverse_weights(n: int) -> np.ndarray:
-    global _inverses
-    if len(_inverses) < n:
-        grown = np.full(1 << n.bit_length(), _INVERSE, np.uint64)
-        grown[0] = 1
-        _inverses = np.multiply.accumulate(grown)
-    return _inverses[:n]
 
+def shingle_sets(texts: pa.Array, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, A-Z lower-cased: their hashes, sorted, and a second hash of each.
 
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, A-Z lower-cased; all texts are hashed in one pass over their bytes."""
+    All words of all texts are found in one pass over their bytes, and each distinct word is hashed once.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     texts = pa.concat_arrays([texts])  # offsets from 0
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
     bounds = ends - ends[0]
-    upper = (raw >= 65) & (raw <= 90)
-    data = raw + (upper.astype(np.uint8) << 5)
+    data = raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
     white = (data == 32) | ((data >= 9) & (data <= 13))
     word = ~white
     cut = np.zeros(len(data) + 1, bool)  # a text's first byte begins a word whatever precedes it
@@ -92,27 +84,39 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     begins = word & (cut[:-1] | np.concatenate([[True], white[:-1]]))[: len(word)]
     finish = word & np.concatenate([white[1:], [True]])[: len(word)] | word & cut[1:]
     start, stop = np.flatnonzero(begins), np.flatnonzero(finish) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _weights(len(data)))])
-    words = _mixed((sums[stop] - sums[start]) * _inverse_weights(len(data) + 1)[start] + (stop - start).astype(np.uint64) * _STEP)
+    places = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(data[word])]).dictionary_encode()
+    table = np.frombuffer(b"".join(map(_word_hash, coded.dictionary.to_pylist())), "<u8").reshape(-1, 2)
+    words, others = table[coded.indices.to_numpy(zero_copy_only=False)].T
+    grams, seconds = _rolled(words, width, _STEP), _rolled(others, width, _OTHER_STEP)
     first = np.searchsorted(start, bounds)
     out = []
-    grams = words[: max(0, len(words) - width + 1)].copy()
-    for k in range(1, width):
-        grams = _mixed(grams * _STEP + words[k : k + len(grams)])
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         n = b - a
         if n >= width:
-            out.append(np.unique(grams[a : b - width + 1]))
+            found, at = np.unique(grams[a : b - width + 1], return_index=True)
+            out.append((found, seconds[a:][at]))
         elif n:
-            whole = np.array([n], np.uint64)
+            whole = np.array([[n], [n]], np.uint64)
             for k in range(a, b):
-                whole = _mixed(whole * _STEP + words[k : k + 1])
-            out.append(whole)
+                whole = np.array([_mixed(whole[0] * _STEP + words[k : k + 1]), _mixed(whole[1] * _OTHER_STEP + others[k : k + 1])])
+            out.append((whole[0], whole[1]))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     return out
 
 
+def similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sets, whose elements are equal if both hashes are."""
+    if len(x[0]) > len(y[0]):
+        x, y = y, x
+    if not len(x[0]) or 100 * len(x[0]) < percent * len(y[0]):
+        return False
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    same = int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum())
+    return 100 * same >= percent * (len(x[0]) + len(y[0]) - same)
+
+
 _rng = np.random.default_rng(20)  # the hash family is a fixed part of the method
 _FACTORS = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
@@ -176,7 +180,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def sign(batches):
         for batch in slices(batches, most=1 << 20):
-            sets = shingle_sets(batch.column("text"), width)
+            pairs = shingle_sets(batch.column("text"), width)
+            sets = [x for x, _ in pairs]
             full = np.array([len(s) > 0 for s in sets], bool)
             sample = np.array([samples(s) for s in sets if len(s)], np.uint32).reshape(-1, BANDS * ROWS)
             keys = iter(band_keys(sample))
@@ -184,7 +189,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if ok else None for s, ok in zip(sets, full)], pa.binary()),
+                    pa.array([hashlib.blake2b(x.tobytes() + y.tobytes(), digest_size=16).digest() if len(x) else None for x, y in pairs], pa.binary()),
                     pa.array([odd_sketch(s) if ok else None for s, ok in zip(sets, full)], pa.binary()),
                     pa.array([next(keys) if ok else None for ok in full], pa.list_(pa.int64())),
                 ],
@@ -194,43 +199,39 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(sign, SIGNATURE)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and its shingle set, for the wanted nodes (column node, distinct); any row of that doc_id stands for it."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS))
-    slots = wanted.select(slot.alias("slot")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_column().alias("text")).withColumn("slot", slot)
-    some = texts.join(F.broadcast(slots), "slot", "left_semi").select("node", "text")
+def texts_of(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """node and text, written, for the wanted nodes (column node, distinct); with ``repeats``, several rows may share both."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_column().alias("text")).join(wanted, "node", "left_semi")
+    return materialize(rows.distinct() if repeats else rows, "near-texts")
 
-    def build(batches):
-        for batch in slices(batches, most=1 << 20):
-            sets = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
-
-    return some.mapInArrow(build, "node long, shingles binary").join(wanted, "node", "left_semi")
 
+def verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose whole sets have 100 * intersection >= percent * union.
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), both nodes, those whose whole sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(_sets_of(docs, nodes, width), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    ``pairs`` must be a written table, as it is read several times. Partners are dealt to groups (a, part), each with a text
+    of ``a`` before them.
+    """
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAN).select("a", F.ceil(F.col("n") / FAN).alias("parts"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    hubs = dealt.select(F.col("a").alias("node"), "a", "part").distinct().select("node", "a", "part", F.lit(None).cast("long").alias("b"))
+    rows = dealt.select(F.col("b").alias("node"), "a", "part", "b").union(hubs).join(texts, "node").select("a", "part", "b", "text")
+    ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+        hub, held = None, []
+        for batch in slices(batches, most=1 << 20):
+            low, high = [], []
+            for a, part, b, found in zip(*(batch.column(k).to_pylist() for k in ("a", "part", "b")), shingle_sets(batch.column("text"), width)):
+                if (a, part) != hub:
+                    hub, held = (a, part), []
+                if b is None:
+                    held.append(found)
+                elif any(similar(x, found, percent) for x in held):
+                    low.append(a)
+                    high.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -262,27 +263,31 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = signed.where("doc_id is not null and digest is not null")
     classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "near-classes")
     # rows that share a doc_id but not a set are one document: their classes are linked
-    member = named.select("doc_id", "digest").join(classes, "digest")
+    again = materialize(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "near-again")
+    repeats = not again.isEmpty()
+    member = named.select("doc_id", "digest").join(again, "doc_id", "left_semi").join(classes, "digest")
     spread = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     split = member.join(spread, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     nodes = named.join(classes, (named["doc_id"] == classes["node"]) & (named["digest"] == classes["digest"]), "left_semi")
-    nodes = materialize(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands"), "near-nodes")
+    nodes = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
+    nodes = materialize(nodes.distinct() if repeats else nodes, "near-nodes")
 
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "hub")
     shared = materialize(banded.join(hubs, "band"), "near-buckets")  # rows of buckets with company
+    texts = texts_of(docs, materialize(shared.select("node").distinct(), "near-wanted"), repeats)
     stars = shared.where("node <> hub").groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.count(F.lit(1)).alias("bands"))
-    stars = materialize(stars, "near-hubs")
     best = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("back"))).alias("top")).select((-F.col("top")["back"]).alias("a"), "b")
-    links = materialize(verify(docs, best, width, percent), "near-links")
+    best = materialize(best, "near-hubs")
+    links = materialize(verify(texts, best, width, percent), "near-links")
     label = materialize(components(links), "near-labels")
 
     nearest = materialize(_across(shared, nodes, label, percent, every=False).distinct().join(best, ["a", "b"], "left_anti"), "near-nearest")
-    links = materialize(links.union(verify(docs, nearest, width, percent)), "near-links")
+    links = materialize(links.union(verify(texts, nearest, width, percent)), "near-links")
     label = materialize(components(links), "near-labels")
 
-    left = _across(shared, nodes, label, percent, every=True).distinct().join(best, ["a", "b"], "left_anti").join(nearest, ["a", "b"], "left_anti")
-    every = links.union(verify(docs, materialize(left, "near-left"), width, percent)).union(split)
+    left = _across(shared, nodes, label, percent, every=True).join(best.union(nearest), ["a", "b"], "left_anti")
+    every = links.union(verify(texts, materialize(left, "near-left"), width, percent)).union(split)
     label = materialize(components(every), "near-labels")
 
     known = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -291,16 +296,30 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
+def blocks(tagged: DataFrame) -> DataFrame:
+    """How the components (c) of each mixed bucket (band) are laid out in blocks: a written row per bucket and component.
+
+    A component of more than ``BLOCK`` nodes has ``own`` blocks from ``first`` on. The others share blocks from ``large`` on,
+    by hash. There are ``every`` blocks in the bucket.
+    """
+    sizes = materialize(tagged.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m")), "near-sizes")
+    mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("few"), F.sum(F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(0)).alias("large"))
+    mixed = mixed.where("parts > 1").select("band", "large", (F.col("large") + F.ceil(F.coalesce("few", F.lit(0)) / BLOCK)).alias("every"))
+    before = Window.partitionBy("band").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    own = sizes.where(F.col("m") > BLOCK).select("band", "c", F.ceil(F.col("m") / BLOCK).alias("own"))
+    own = own.withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    return materialize(sizes.select("band", "c").join(mixed, "band").join(own, ["band", "c"], "left"), "near-blocks")
+
+
 def _across(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs (a < b) of one bucket in different components that size and sketch allow: every one, or each node's best."""
     tagged = shared.join(label, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-    mixed = mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = tagged.join(mixed, "band").join(nodes.select("node", "sketch"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "c", "sketch")
-    tiles = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    rows = tagged.join(blocks(tagged), ["band", "c"])
+    block = F.when(F.col("own").isNotNull(), F.col("first") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.col("large") + F.pmod(F.xxhash64("c"), F.col("every") - F.col("large")))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("every") - 1)))
+    rows = rows.where(F.col("own").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("own")))
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "c")
+    tiles = rows.join(nodes.select("node", "n", "sketch", "bands"), ["node", "n"]).repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
 
     def compare(batches):
         key, held = None, []
@@ -323,7 +342,9 @@ def _across(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: int,
 def _tile(rows: pa.Table, percent: int, every: bool) -> pa.RecordBatch:
     """The pairs of one tile: of its two blocks, or within its only one."""
     block, node, n, c = (rows.column(k).to_numpy() for k in ("block", "node", "n", "c"))
+    band = rows.column("band")[0].as_py()
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     crossing = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
     low, high = [], []
     for i in range(len(node)):
@@ -338,7 +359,9 @@ def _tile(rows: pa.Table, percent: int, every: bool) -> pa.RecordBatch:
         bits = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         allowed = bits <= most_xor_bits(n[at], n[i], percent)
         at, bits = at[allowed], bits[allowed]
-        if len(at) and not every:
+        if len(at) and every:  # in the first bucket that both are in, and no other
+            at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == band]
+        elif len(at):
             at = at[[np.argmin(bits)]]
         low.append(np.minimum(node[at], node[i]))
         high.append(np.maximum(node[at], node[i]))

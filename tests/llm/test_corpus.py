@@ -145,8 +145,42 @@ def test_near_odd_tables(spark):
     assert left.columns == frame(spark, rows).columns and sorted(r["doc_id"] or -1 for r in left.collect()) == [-1, 1, 1, 8, 9]
 
 
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Texts of Thue-Morse words collide for every polynomial modulo 2 ** 64; they aren't copies."""
+    one = thue_morse(4096)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 3), None, None, 0), (2, " ".join([other] * 3), None, None, 0), (3, f"{one} x y z", None, None, 0), (4, f"{other} x y z", None, None, 0)]
+    assert by_id(near_dedup.group(frame(spark, rows), 4), "component_id") == {i: (i,) for i in range(1, 5)}
+
+
+def test_similar_compares_both_hashes():
+    x = np.arange(10, dtype=np.uint64)
+    assert near_dedup.similar((x, x), (x, x), 80) and not near_dedup.similar((x, x), (x, x + np.uint64(1)), 80)
+    assert near_dedup.similar((x, x), (x[:8], x[:8]), 80) and not near_dedup.similar((x, x), (x[:7], x[:7]), 80)
+    assert not near_dedup.similar((x[:0], x[:0]), (x, x), 80)
+
+
+def test_near_repeated_rows_and_hubs(spark, monkeypatch):
+    """Rows repeated often, a hub of many partners, and a component of many nodes that meets a few others in its buckets."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "FAN", 3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :]), None, None, 0) for k in range(60)]
+    rows += [(1000 + k, " ".join(base[:150] + [f"y{k}.{i}" for i in range(50)]), None, None, 0) for k in range(6)]
+    got = by_id(near_dedup.group(frame(spark, rows + rows[:5] * 40), 4), "component_id")
+    assert got == {i: (c,) for i, (_, c) in near_components(rows, 4).items()}
+
+
 def test_near_tiles_lose_no_link(spark, monkeypatch):
     """A group of near copies around the threshold, cut into blocks of a few nodes."""
+    monkeypatch.setattr(near_dedup, "FAN", 8)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(60)]
     rows = []

@@ -4,10 +4,13 @@ A text is cut before single spaces. A cut between a non-space and a space is alw
 chunk's ids don't depend on what surrounds it; where a run of white space spans chunks the cut is made at the run's start,
 and a text that has a special token's string is encoded whole. A new chunk of Latin letters and closing punctuation goes
 straight to the library's model as its two pre-tokens; any other new chunk goes through the library's whole pipeline.
+
+All of that holds for the two kinds of vocabulary in ``_kind``. Texts of any other go to the library as they are.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -31,6 +34,35 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+# fixed values: the components of the two kinds of vocabulary whose chunks stand alone
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_WORDS = (
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+)
+_LOWER = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+
+
+def _plain(component: dict | None) -> dict:
+    """A component without what matters to offsets only."""
+    return {k: v for k, v in (component or {}).items() if k != "trim_offsets"}
+
+
+def _kind(tokenizer: Tokenizer) -> str | None:
+    """``bytes`` or ``words`` of a vocabulary whose white-space chunks can be encoded one by one, else None."""
+    spec = json.loads(tokenizer.to_str())
+    model, before, normal = spec["model"], _plain(spec["pre_tokenizer"]), spec["normalizer"]
+    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    odd |= any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+    if model["type"] != "BPE" or odd:
+        return None
+    if before == _BYTES and normal is None and not model["end_of_word_suffix"]:
+        return "bytes"
+    if before.get("type") == "Sequence" and tuple(map(_plain, before["pretokenizers"])) == _WORDS and normal and tuple(normal.get("normalizers", ())) == _LOWER:
+        return "words"
+    return None
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian ids; ``limit`` bounds the words that it remembers, a quarter of it the chunks."""
 
@@ -43,8 +75,8 @@ class ChunkEncoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        stages = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
-        self.drops_space, self.lowers = "Removed" in stages, "Lowercase" in stages
+        self.kind = _kind(self.tokenizer)
+        self.drops_space = self.lowers = self.kind == "words"
         self.letters = dict(enumerate(byte_alphabet()))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.line_end = self._whole(["\n"])[0]
@@ -100,6 +132,8 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.kind is None:
+            return [np.frombuffer(x, self.dtype) for x in self._whole(texts.to_pylist())]
         if len(self.known) > self.limit // 4:
             self.known = {}
         if len(self.words) > self.limit:

@@ -1,5 +1,6 @@
 """Shards, counts, packing and chat formatting against the tokenizers library."""
 
+import functools
 import hashlib
 import zlib
 
@@ -21,8 +22,13 @@ HARD = [
 ]
 
 
+@functools.cache
+def plain_tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return plain_tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -112,6 +118,45 @@ def test_packing(spark, most):
     assert packing.pack_documents(frame(spark, []), WORD, 1, most).count() == 0
 
 
+def test_packing_in_lanes(spark):
+    """One length has most pieces, dealt to many lanes; every place of every sequence is taken once."""
+    rows = [(i, 0, 30 if i % 5 else 1 + i % 37, i, 0) for i in range(4000)]
+    parts = spark.createDataFrame(rows, packing.PIECES).repartition(7)
+    got = packing.pack(parts, 100, lane_rows=64).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(4000))
+    at = {}
+    for r in got:
+        at.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(at) == list(range(len(at)))
+    for parts in at.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 100
+
+
+def test_slots_stay_few():
+    """However many pieces there are and however often a length fits into a sequence."""
+    histogram = {n: 10 ** (n % 9) for n in range(1, 2049)} | {1: 10**9}
+    found = packing.patterns(histogram, 2048)
+    rows = packing.places(found)
+    assert len(found) <= 3 * 2048 and len(rows) <= 63 * len(found)
+    taken = {}
+    for length, _, _, count, _, times in rows:
+        taken[length] = taken.get(length, 0) + count * times
+    assert taken == histogram
+
+
+def test_other_vocabularies_go_to_the_library_whole(tmp_path):
+    import json
+
+    spec = json.load(open(BYTE))
+    for k, change in enumerate(({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}})):
+        path = str(tmp_path / f"other{k}.json")
+        json.dump(spec | change, open(path, "w"))
+        coder = ChunkEncoder(path)
+        assert coder.kind is None
+        assert [x.tolist() for x in coder.encode(pa.array(HARD, pa.string()))] == [ids_of(path, t) for t in HARD]
+
+
 def test_packing_keeps_ids(spark):
     rows = [(1, "some words here", None, None, 0), (2, None, None, None, 0)]
     got = {r["doc_id"]: r["ids"] for r in packing.pack_documents(frame(spark, rows), WORD, 1, with_ids=True).collect()}

@@ -15,15 +15,16 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +35,10 @@ MAGIC = b"CLMSST01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index at, index bytes, filter at, filter bytes, entries, tokens, id width, magic
 BITS_A_KEY, PROBES = 10, 7
 BLOCK_BYTES = 64 << 10
-MANIFEST = "shard int, part int, path string, n_docs long, n_tokens long, n_bytes long"
+#: Entries of a shard at most, whatever its size.
+MOST_ENTRIES = 1 << 21
+MANIFEST = "shard int, part int, path string, n_docs long, n_tokens long, n_bytes long, first_key binary, last_key binary"
+MANIFEST_NAMES = [f.split()[0] for f in MANIFEST.split(", ")]
 
 
 def encode_key(doc_id: int | None) -> bytes:
@@ -81,6 +85,7 @@ class ShardWriter:
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
         self.block, self.size, self.first, self.last, self.at, self.tokens = [], 0, b"", b"", 0, 0
+        self.raw = self.entries = 0  # bytes before they are compressed, entries
 
     def add(self, key: bytes, ids: bytes) -> None:
         if not self.block:
@@ -91,6 +96,8 @@ class ShardWriter:
         entry = _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(self.tokens) + _varint(len(ids))
         self.block += [entry, ids]
         self.size += len(entry) + len(ids)
+        self.raw += len(entry) + len(ids)
+        self.entries += 1
         self.tokens += len(ids) // self.width
         if key != (self.keys[-1] if self.keys else None):
             self.keys.append(key)
@@ -106,7 +113,7 @@ class ShardWriter:
             self.at += len(data)
             self.block, self.size = [], 0
 
-    def close(self, entries: int) -> int:
+    def close(self) -> int:
         """Write what closes the file; the file's size."""
         self.flush()
         index = b"".join(_varint(len(k)) + k + struct.pack("<QQ", at, n) for k, at, n in self.index)
@@ -115,7 +122,7 @@ class ShardWriter:
         for key in self.keys:
             field[_probes(key, bits)] = True
         filt = struct.pack("<Q", bits) + np.packbits(field, bitorder="little").tobytes()
-        self.out.write(index + filt + FOOTER.pack(self.at, len(index), self.at + len(index), len(filt), entries, self.tokens, self.width, MAGIC))
+        self.out.write(index + filt + FOOTER.pack(self.at, len(index), self.at + len(index), len(filt), self.entries, self.tokens, self.width, MAGIC))
         return self.at + len(index) + len(filt) + FOOTER.size
 
 
@@ -156,43 +163,47 @@ class Shard:
             yield key, start, data[at : at + n]
             at += n
 
-    def bounds(self) -> tuple[int | None, int | None]:
-        """The first and the last identifier."""
-        *_, (last, _, _) = self._block(len(self.places) - 1)
-        return decode_key(self.firsts[0]), decode_key(last)
-
     def scan(self) -> Iterator[tuple[bytes, int, bytes]]:
         """Key, ids of the shard before this entry, and id bytes, of each entry."""
         for i in range(len(self.places)):
             yield from self._block(i)
 
+    def find(self, keys: Iterator[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Key and ids of each entry of the keys, which must ascend. A block that several keys lie in is read once."""
+        held, rows = -1, []
+        for key in keys:
+            if not all(self.filter[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
+                continue
+            i = max(0, bisect_right(self.firsts, key) - 1)
+            while i > 0 and self.firsts[i] == key:  # entries of one key may begin in an earlier block
+                i -= 1
+            while i < len(self.places) and self.firsts[i] <= key:
+                if i != held:
+                    held, rows = i, list(self._block(i))
+                at = bisect_left(rows, key, key=lambda r: r[0])
+                while at < len(rows) and rows[at][0] == key:
+                    yield key, np.frombuffer(rows[at][2], self.dtype)
+                    at += 1
+                i += 1
+
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of each entry of an identifier."""
-        key, found = encode_key(doc_id), []
-        if not all(self.filter[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
-            return found
-        i = max(0, bisect_right(self.firsts, key) - 1)
-        while i > 0 and self.firsts[i] == key:  # entries of one key may begin in an earlier block
-            i -= 1
-        for i in range(i, len(self.places)):
-            if self.firsts[i] > key:
-                break
-            found += [np.frombuffer(ids, self.dtype) for k, _, ids in self._block(i) if k == key]
-        return found
+        return [ids for _, ids in self.find(iter([encode_key(doc_id)]))]
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, shard_bytes: int = 256 << 20) -> DataFrame:
     """Encode every text of ``docs`` (doc_id, text) and write it; returns the manifest, in shard order.
 
     The identifiers are dealt to tasks by range, each task sorts its range (spilling if need be) and writes it as it reads,
-    so no more than a slice of texts is in memory. A task begins another part at ``shard_bytes``.
+    so no more than a slice of texts is in memory. A task begins another part at ``shard_bytes``, before compression, or
+    ``MOST_ENTRIES``.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "sstable")
     ranged = docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
-        shard, part, writer, n_docs = TaskContext.get().partitionId(), 0, None, 0
+        shard, part, writer = TaskContext.get().partitionId(), 0, None
         filesys, root = filesystem(folder)
         filesys.create_dir(root, recursive=True)
         coder = encoder(vocabulary)
@@ -200,69 +211,86 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
         rows = []
 
         def close():
-            rows.append((shard, part, f"{folder}/{name}", n_docs, writer.tokens, writer.close(n_docs)))
+            rows.append((shard, part, f"{folder}/{name}", writer.entries, writer.tokens, writer.close(), writer.keys[0], writer.keys[-1]))
             writer.out.close()
 
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 if writer is None:
                     name = f"{shard:06d}-{part:04d}-{uuid.uuid4().hex}.sst"
-                    writer, n_docs = ShardWriter(filesys.open_output_stream(f"{root}/{name}"), coder.dtype.itemsize), 0
+                    writer = ShardWriter(filesys.open_output_stream(f"{root}/{name}"), coder.dtype.itemsize)
                 writer.add(encode_key(doc_id), ids.tobytes() + end)
-                n_docs += 1
-                if writer.at >= shard_bytes:
+                if writer.raw >= shard_bytes or writer.entries >= MOST_ENTRIES:
                     close()
                     writer, part = None, part + 1
         if writer is not None:
             close()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "part", "path", "n_docs", "n_tokens", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=MANIFEST_NAMES)
 
     return materialize(ranged.mapInArrow(write, MANIFEST), "sstable-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """Every entry read back: doc_id, start, n_tokens, ids_crc32. One row of the manifest stands for up to 256 MB."""
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    """Every entry read back: doc_id, start, n_tokens, ids_crc32. A shard is read by one task, a slice of entries at a time."""
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # of the manifest, a row per shard
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "base")
-    tasks = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def read(batches):
         for batch in batches:
             for path, base in zip(*(batch.column(c).to_pylist() for c in ("path", "base"))):
                 shard = Shard(path)
-                rows = []
-                for key, start, ids in shard.scan():
-                    wide = np.frombuffer(ids, shard.dtype).astype("<u4")
-                    rows.append((decode_key(key), base + start, len(wide), zlib.crc32(wide.tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                entries = shard.scan()
+                while some := list(islice(entries, 4096)):
+                    rows = []
+                    for key, start, ids in some:
+                        wide = np.frombuffer(ids, shard.dtype).astype("<u4")
+                        rows.append((decode_key(key), base + start, len(wide), zlib.crc32(wide.tobytes())))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return based.repartition(_tasks(manifest)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
 
-    return based.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def lookup(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ids of the wanted identifiers (column doc_id).
+def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ids of the wanted identifiers (column doc_id): doc_id and ids, a row per entry.
 
-    The identifiers are written sorted, in files of disjoint ranges; each shard reads those row groups of them that meet its
-    own range, and asks its filter and index for them.
+    The manifest says where each shard begins and ends; these bounds, some bytes for every 256 MB of entries, go to all
+    tasks, which send each identifier to the shards whose range it lies in, by binary search. A shard's identifiers come in
+    order, so that each of its blocks is read once at most.
     """
-    keys = wanted.select(F.col("doc_id").cast("long")).distinct()
-    parts = materialize(keys.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "sstable-wanted").inputFiles()
+    shards = sorted((bytes(r["first_key"]), bytes(r["last_key"]), r["path"]) for r in manifest.select("first_key", "last_key", "path").collect())
+    spark = manifest.sparkSession
+    bounds = spark.sparkContext.broadcast(([s[0] for s in shards], [s[1] for s in shards], [s[2] for s in shards]))
+    keys = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+    def route(batches):
+        firsts, lasts, paths = bounds.value
+        for batch in batches:
+            rows = []
+            for doc_id in batch.column("doc_id").to_pylist():
+                key = encode_key(doc_id)
+                rows += [(paths[i], key) for i in range(bisect_left(lasts, key), bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "key"])
 
     def find(batches):
-        import pyarrow.dataset as ds
+        path = shard = None
+
+        def rows_of(batch):
+            nonlocal path, shard
+            paths, keys = batch.column("path").to_pylist(), batch.column("key").to_pylist()
+            for at, group in groupby(range(len(paths)), key=paths.__getitem__):
+                if at != path:
+                    path, shard = at, Shard(at)
+                yield from shard.find(keys[i] for i in group)
 
         for batch in batches:
-            for uri in batch.column("path").to_pylist():
-                shard, rows = Shard(uri), []
-                low, high = shard.bounds()
-                at = ds.field("doc_id")
-                inside = at.is_null() if high is None else (at <= high) & (at >= low) if low is not None else (at <= high) | at.is_null()
-                for part in parts:
-                    filesys, inner = filesystem(part)
-                    for piece in ds.dataset(inner, filesystem=filesys, format="parquet").to_batches(columns=["doc_id"], filter=inside):
-                        rows += [(doc_id, ids.tolist()) for doc_id in piece.column("doc_id").to_pylist() for ids in shard.get(doc_id)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    return manifest.select("path").mapInArrow(find, "doc_id long, ids array<long>")
+            found = rows_of(batch)
+            while some := list(islice(found, 256)):
+                yield pa.RecordBatch.from_arrays([pa.array([decode_key(k) for k, _ in some], pa.int64()), pa.array([ids for _, ids in some], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    routed = keys.mapInArrow(route, "path string, key binary").repartition(_tasks(manifest), "path").sortWithinPartitions("path", "key")
+    return routed.mapInArrow(find, "doc_id long, ids array<long>")

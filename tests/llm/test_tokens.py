@@ -76,9 +76,23 @@ def test_shards_round_trip_and_lookup(spark, tmp_path):
         start += len(ids)
     assert got == want
     wanted = spark.createDataFrame([(14,), (-5,), (123456,), (rows[70][0],)], "doc_id long")
-    found = sorted((r["doc_id"], r["ids"]) for r in sstable.lookup(spark, manifest, wanted).collect())
+    found = sorted((r["doc_id"], r["ids"]) for r in sstable.lookup(manifest, wanted).collect())
     assert found == sorted([(14, ids_of(BYTE, r[1]) + [2]) for r in rows if r[0] == 14] + [(-5, ids_of(BYTE, "negative") + [2]), (rows[70][0], ids_of(BYTE, rows[70][1]) + [2])])
-    assert sstable.read_shards(sstable.write_shards(frame(spark, []), BYTE, 2)).count() == 0
+    every = spark.createDataFrame([(r[0],) for r in rows] * 2, "doc_id long").repartition(3)
+    found = sorted((r["doc_id"] or -1, r["ids"]) for r in sstable.lookup(manifest, every).collect())
+    assert found == sorted((r[0] or -1, ids_of(BYTE, r[1]) + [2]) for r in rows)
+    assert sstable.lookup(manifest, every.where("false")).count() == 0
+    nothing = sstable.write_shards(frame(spark, []), BYTE, 2)
+    assert sstable.read_shards(nothing).count() == 0 and sstable.lookup(nothing, every).count() == 0
+
+
+def test_shards_of_small_entries_are_cut_by_number(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "MOST_ENTRIES", 10)
+    manifest = sstable.write_shards(frame(spark, [(i, None, None, None, 0) for i in range(95)]), BYTE, end_id=2)
+    assert max(r["n_docs"] for r in manifest.collect()) <= 10
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in sstable.read_shards(manifest).orderBy("doc_id").collect()] == [(i, i, 1) for i in range(95)]
+    wanted = spark.range(-5, 200).withColumnRenamed("id", "doc_id")
+    assert sorted((r["doc_id"], r["ids"]) for r in sstable.lookup(manifest, wanted).collect()) == [(i, [2]) for i in range(95)]
 
 
 def test_shard_search_within_a_file(tmp_path):
@@ -87,9 +101,9 @@ def test_shard_search_within_a_file(tmp_path):
         writer = sstable.ShardWriter(out, 2, block_bytes=64)
         for k in [None, *range(-40, 400, 2), *[400] * 30]:
             writer.add(sstable.encode_key(k), np.array([k or 0, 2], "<i2").tobytes())
-        writer.close(252)
+        writer.close()
     shard = sstable.Shard(path)
-    assert len(shard.places) > 10 and shard.entries == 252
+    assert len(shard.places) > 10 and shard.entries == 251
     assert [len(shard.get(k)) for k in (None, -40, -39, 7, 398, 400, 401)] == [1, 1, 0, 0, 1, 30, 0]
 
 

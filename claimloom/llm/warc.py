@@ -7,7 +7,9 @@ identifier and the segment number, and the last one the total length. Records ar
 that Spark commits, names the files of the attempts that count.
 
 Reading: files are streamed record by record; segments are grouped by origin, ordered by number, checked against the total
-length, and the chunked framing is decoded. A record's identifier is made of page_id and payload digest.
+length, and the chunked framing is decoded. A record's identifier is made of page_id and payload digest; where rows are
+repeated in both, each record has a serial number besides, so that it is an origin of its own, and a revisit refers to them by
+what they have in common.
 
 Defined results: null html is an empty payload, a null url an empty one; a null page_id is written and read as such, and only
 stands as the response of a payload that no other page has; rows repeated in page_id and html are records of their own, all
@@ -69,29 +71,32 @@ def record(kind: str, identity: str, block: bytes, fields: dict[str, str]) -> by
     return packer.compress(lines.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def page_records(page_id: int | None, url: str, payload: bytes, keep_id: int | None, segment_bytes: int) -> Iterator[bytes]:
-    """The records of a page, which is a revisit of ``keep_id`` if that is another page."""
+def page_records(page_id: int | None, url: str, payload: bytes, keep_id: int | None, serial: str, segment_bytes: int) -> Iterator[bytes]:
+    """The records of a page, which is a revisit of ``keep_id`` if that is another page.
+
+    ``serial`` tells the records of repeated rows apart; it is empty of any other row.
+    """
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    name = lambda x: f"urn:page:{'' if x is None else x}:{digest}"
+    own = f"urn:page:{'' if page_id is None else page_id}:{digest}" + (f":{serial}" if serial else "")
     # a URL's line ends would end the header
     fields = {"WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{digest}"}
     if page_id != keep_id:
         block = HTTP + b"Content-Length: %d\r\n\r\n" % len(payload)
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record("revisit", name(page_id), block, fields | {"Content-Type": "application/http; msgtype=response", "WARC-Profile": profile, "WARC-Refers-To": f"<{name(keep_id)}>"})
+        yield record("revisit", own, block, fields | {"Content-Type": "application/http; msgtype=response", "WARC-Profile": profile, "WARC-Refers-To": f"<urn:page:{'' if keep_id is None else keep_id}:{digest}>"})
         return
     block = HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     fields["Content-Type"] = "application/http; msgtype=response"
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     if len(parts) == 1:
-        yield record("response", name(page_id), block, fields)
+        yield record("response", own, block, fields)
         return
-    yield record("response", name(page_id), parts[0], fields | {"WARC-Segment-Number": "1"})
+    yield record("response", own, parts[0], fields | {"WARC-Segment-Number": "1"})
     for i, part in enumerate(parts[1:], 2):
-        more = {"WARC-Segment-Origin-ID": f"<{name(page_id)}>", "WARC-Segment-Number": str(i)}
+        more = {"WARC-Segment-Origin-ID": f"<{own}>", "WARC-Segment-Number": str(i)}
         if i == len(parts):
             more["WARC-Segment-Total-Length"] = str(len(block))
-        yield record("continuation", f"{name(page_id)}:{i}", part, more)
+        yield record("continuation", f"{own}:{i}", part, more)
 
 
 def write_pages(pages: DataFrame, folder: str | None = None, segment_bytes: int = 16 << 10, file_bytes: int = 64 << 20) -> DataFrame:
@@ -99,16 +104,24 @@ def write_pages(pages: DataFrame, folder: str | None = None, segment_bytes: int
     folder = folder or scratch(pages.sparkSession, "warc")
     clean = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     clean = clean.withColumn("digest", F.unhex(F.sha1("html")))
-    keep = clean.groupBy("digest").agg(F.max("page_id").alias("keep_id"))
-    keyed = clean.join(keep, "digest").select("page_id", "url", "html", "keep_id")
+    # of payloads that several rows have, only identifiers and digests are grouped and joined; html goes by page_id
+    prints = materialize(clean.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows")), "warc-prints")
+    shared = prints.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.sum("rows").alias("all")).where(F.col("all") > 1)
+    shared = materialize(shared.select("digest", "keep_id"), "warc-shared")
+    more = prints.join(shared, "digest").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "keep_id", (F.col("rows") > 1).alias("again"))
+    more = materialize(more, "warc-repeats")
+    keyed = clean.join(more, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    keep = F.when(F.col("_digest").isNull(), F.col("page_id")).otherwise(F.col("keep_id"))
+    keyed = keyed.select("page_id", "url", "html", keep.alias("keep_id"), F.coalesce("again", F.lit(False)).alias("again"))
 
     def write(batches):
         filesys, root = filesystem(folder)
         filesys.create_dir(root, recursive=True)
-        task, out, rows = TaskContext.get().partitionId(), None, []
+        task, out, rows, seen = TaskContext.get().partitionId(), None, [], 0
         for batch in slices(batches, "html"):
-            for page_id, url, html, keep_id in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "keep_id"))):
-                for data in page_records(page_id, url, html.encode(), keep_id, segment_bytes):
+            for page_id, url, html, keep_id, again in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "keep_id", "again"))):
+                seen += again
+                for data in page_records(page_id, url, html.encode(), keep_id, f"{task}-{seen}" if again else "", segment_bytes):
                     if out is not None and size >= file_bytes:
                         out.close()
                         rows.append((f"{folder}/{name}", n, size))
@@ -196,13 +209,11 @@ def read_records(manifest: DataFrame) -> DataFrame:
     return manifest.select("path").repartition(tasks).mapInArrow(read, RAW)
 
 
-def assemble(origin: str, segments: list[tuple[int, str, int | None, int | None, bytes]]) -> list[tuple]:
-    """The records of one identifier, from its segments in order; ``n`` records that share it have ``n`` of each segment."""
-    numbers = [s[0] for s in segments]
-    copies, last = numbers.count(1), numbers[-1]
-    if not copies or numbers != [k for k in range(1, last + 1) for _ in range(copies)]:
-        raise ValueError(f"{origin}: segments {sorted(set(numbers))} are not complete")
-    parts = segments[::copies]
+def assemble(origin: str, parts: list[tuple[int, str, int | None, int | None, bytes]]) -> tuple:
+    """The record of one identifier, from its segments in order."""
+    numbers = [p[0] for p in parts]
+    if numbers != list(range(1, len(parts) + 1)):
+        raise ValueError(f"{origin}: segments {numbers} are not complete")
     block, total = b"".join(p[4] for p in parts), parts[-1][2]
     if total != len(block):
         raise ValueError(f"{origin}: {len(block)} bytes, {total} announced")
@@ -211,11 +222,9 @@ def assemble(origin: str, segments: list[tuple[int, str, int | None, int | None,
     head, body = block[:end].lower(), block[end + 4 :]
     if kind == "revisit":
         size = int(head.split(b"content-length:")[1].split(b"\r\n")[0])
-        row = (_page_of(origin), None, size, origin.strip("<>").split(":")[3], kind, refers)
-    else:
-        payload = dechunked(body) if b"transfer-encoding: chunked" in head else body
-        row = (_page_of(origin), payload, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), kind, None)
-    return [row] * copies
+        return _page_of(origin), None, size, origin.strip("<>").split(":")[3], kind, refers
+    payload = dechunked(body) if b"transfer-encoding: chunked" in head else body
+    return _page_of(origin), payload, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), kind, None
 
 
 def read_pages(manifest: DataFrame, payload: bool = True) -> DataFrame:
@@ -237,7 +246,7 @@ def read_pages(manifest: DataFrame, payload: bool = True) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in ("origin", "number", "kind", "total", "refers_to", "block"))):
                 if row[0] != origin:
                     if held:
-                        rows += assemble(origin, held)
+                        rows.append(assemble(origin, held))
                     origin, held = row[0], []
                 held.append(row[1:])
                 size += len(row[5])
@@ -245,7 +254,7 @@ def read_pages(manifest: DataFrame, payload: bool = True) -> DataFrame:
                 yield out(rows)
                 rows, size = [], 0
         if held:
-            rows += assemble(origin, held)
+            rows.append(assemble(origin, held))
         if rows:
             yield out(rows)
 

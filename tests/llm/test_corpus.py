@@ -330,13 +330,25 @@ def test_warc_round_trip(spark, tmp_path, segment, file):
     assert warc.read_pages(warc.write_pages(table.where("false"))).count() == 0
 
 
+def test_warc_common_and_repeated_payloads(spark):
+    """A payload of most pages, and one row repeated often: each is a record of its own, in segments of its own."""
+    rows = [(i, "u", "common " * 100 if i % 3 else f"own {i}") for i in range(300)] + [(7000, "u", "x" * 3000)] * 50 + [(None, "u", "null " * 300)] * 3
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    manifest = warc.write_pages(table, segment_bytes=500)
+    origins = warc.read_records(manifest).groupBy("origin", "number").count()
+    assert origins.where("count > 1").count() == 0
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_pages(manifest, payload=False).collect())
+    assert got == Counter((i, len(h), "revisit" if h[:6] == "common" and i != 299 else "response", 299 if h[:6] == "common" and i != 299 else None) for i, _, h in rows)
+
+
 def test_warc_checks_segments():
     block = warc.HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"abc" * 500, 7)
     parts = [(i + 1, "response", None, None, block[k : k + 400]) for i, k in enumerate(range(0, len(block), 400))]
     parts[-1] = (*parts[-1][:2], len(block), *parts[-1][3:])
     origin = "<urn:page:5:D>"
-    assert warc.assemble(origin, parts)[0][:3] == (5, b"abc" * 500, 1500)
-    assert len(warc.assemble(origin, [p for p in parts for _ in range(2)])) == 2
+    assert warc.assemble(origin, parts)[:3] == (5, b"abc" * 500, 1500)
+    with pytest.raises(ValueError, match="not complete"):
+        warc.assemble(origin, [p for p in parts for _ in range(2)])
     with pytest.raises(ValueError, match="not complete"):
         warc.assemble(origin, parts[:1] + parts[2:])
     with pytest.raises(ValueError, match="announced"):

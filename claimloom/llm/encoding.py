@@ -5,7 +5,7 @@ chunk's ids don't depend on what surrounds it; where a run of white space spans
 and a text that has a special token's string is encoded whole. A new chunk of Latin letters and closing punctuation goes
 straight to the library's model as its two pre-tokens; any other new chunk goes through the library's whole pipeline.
 
-All of that holds for the two kinds of vocabulary in ``_kind``. Texts of any other go to the library as they are.
+All of that holds for the two kinds of vocabulary in ``vocabulary_kind``. Texts of any other go to the library as they are.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def _plain(component: dict | None) -> dict:
     return {k: v for k, v in (component or {}).items() if k != "trim_offsets"}
 
 
-def _kind(tokenizer: Tokenizer) -> str | None:
+def vocabulary_kind(tokenizer: Tokenizer) -> str | None:
     """``bytes`` or ``words`` of a vocabulary whose white-space chunks can be encoded one by one, else None."""
     spec = json.loads(tokenizer.to_str())
     model, before, normal = spec["model"], _plain(spec["pre_tokenizer"]), spec["normalizer"]
@@ -75,7 +75,7 @@ class ChunkEncoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.kind = _kind(self.tokenizer)
+        self.kind = vocabulary_kind(self.tokenizer)
         self.drops_space = self.lowers = self.kind == "words"
         self.letters = dict(enumerate(byte_alphabet()))
         self.code = "H" if self.dtype.itemsize == 2 else "I"

@@ -6,11 +6,16 @@ The first reads code-point classes and marks where pre-tokens begin. It has elev
 entry state to exit state; all chunks of a batch of documents are mapped at once, the maps compose through a parallel prefix
 scan, and with its entry state each chunk emits its marks.
 
+Where a pre-token begins the second one is in its start state, whatever precedes. So the maps of chunks that are cut there
+have one entry state only, and a count: the tokens that are emitted from there on. The same scan composes these, and a text's
+tokens are the difference between the counts at its ends. Within a chunk each distinct pre-token is run once per worker.
+
 The second reads the bytes of a pre-token. Its transitions carry the change of the number of tokens of what has been read:
 the last token of a prefix is the one token that ends it and may follow the last token of what precedes it, so a state need
 hold only, for the places in the longest suffix that begins a token, the last token there and the count against the present
 one. States are made as they are met and dropped together when there are ``most_states``; so is the table of pre-tokens
-already counted. Neither changes a count.
+already counted. Neither changes a count. Both machines are those of one kind of vocabulary, a byte-level BPE with its usual
+pre-tokenizer and no normalizer; any other is refused.
 
 Defined results: a null text is an empty one with no tokens; strings of special tokens inside a text count as that token, as
 the library has it by default; repeated rows are counted each; a null doc_id is passed on; an empty table gives an empty
@@ -26,8 +31,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from claimloom.llm.encoding import byte_alphabet
+from claimloom.llm.encoding import byte_alphabet, vocabulary_kind
 from claimloom.llm.shared import slices, text_column
 
 # classes of code points
@@ -88,20 +94,43 @@ def classes() -> np.ndarray:
     return _classes[0]
 
 
+def scan(maps: np.ndarray, emitted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """The composition of each row with all rows before it, in a logarithmic number of steps.
+
+    A row of ``maps`` has the exit state by entry state, a row of ``emitted`` the count by entry state.
+    """
+    maps, shift = maps.copy(), 1
+    emitted = None if emitted is None else emitted.copy()
+    while shift < len(maps):
+        earlier = maps[:-shift].astype(np.intp)
+        if emitted is not None:
+            emitted[shift:] = emitted[:-shift] + np.take_along_axis(emitted[shift:], earlier, axis=1)
+        maps[shift:] = np.take_along_axis(maps[shift:], earlier, axis=1)
+        shift *= 2
+    return maps, emitted
+
+
 def entry_states(read: np.ndarray) -> np.ndarray:
     """The state before each chunk (a row of classes), by a prefix scan over the chunks' state maps."""
-    n = len(read)
-    maps = np.broadcast_to(np.arange(11, dtype=np.uint8), (n, 11)).copy()
+    maps = np.broadcast_to(np.arange(11, dtype=np.uint8), (len(read), 11)).copy()
     for k in range(read.shape[1]):
         maps = STEP[maps, read[:, k][:, None]]
-    shift = 1
-    while shift < n:
-        earlier = maps[:-shift]
-        maps[shift:] = np.take_along_axis(maps[shift:], earlier.astype(np.intp), axis=1)
-        shift *= 2
+    maps, _ = scan(maps)
     return np.concatenate([[START], maps[:-1, START]]).astype(np.uint8)
 
 
+def emitted_before(each: np.ndarray) -> np.ndarray:
+    """The tokens emitted before each pre-token, and after the last, by a prefix scan over chunks of pre-tokens."""
+    rows = -(-len(each) // CHUNK)
+    padded = np.zeros(rows * CHUNK, np.int64)
+    padded[: len(each)] = each
+    padded = padded.reshape(rows, CHUNK)
+    _, emitted = scan(np.zeros((rows, 1), np.uint8), padded.sum(axis=1, keepdims=True))
+    within = np.cumsum(padded, axis=1)
+    upto = within + np.concatenate([[[0]], emitted[:-1]])
+    return np.concatenate([[0], upto.ravel()[: len(each)]])
+
+
 def pretoken_starts(kinds: np.ndarray) -> np.ndarray:
     """True where a pre-token begins, for a sequence of classes whose texts each end with END."""
     n = len(kinds)
@@ -125,6 +154,8 @@ class Transducer:
     """Counts the tokens of pre-tokens (bytes) of a vocabulary file."""
 
     def __init__(self, path: str, most_states: int = 150_000, most_known: int = 500_000):
+        if vocabulary_kind(Tokenizer.from_file(path)) != "bytes":
+            raise ValueError(f"{path}: not a byte-level BPE with its usual pre-tokenizer and no normalizer")
         spec = json.load(open(path, encoding="utf-8"))
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         name = lambda s: bytes(byte_of[c] for c in s)
@@ -230,8 +261,9 @@ class Transducer:
         each = np.fromiter((known[x] for x in names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
         part = np.searchsorted(ends, starts)
         each[starts == ends[part]] = 0  # the ends themselves
-        per_part = np.bincount(part, weights=each, minlength=len(parts)).astype(np.int64)
-        np.add.at(total, np.array(owner, np.int64), per_part)
+        before = emitted_before(each)
+        last = np.searchsorted(part, np.arange(len(parts)), side="right")
+        np.add.at(total, np.array(owner, np.int64), np.diff(before[last], prepend=0))
         return total
 
 

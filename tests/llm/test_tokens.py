@@ -47,6 +47,26 @@ def test_transducer_equals_the_library():
     assert machine.counts([]).tolist() == []
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.Transducer(WORD)
+
+
+def test_scan_composes_states_and_counts():
+    rng = np.random.default_rng(6)
+    maps, emitted = rng.integers(0, 5, (37, 5)).astype(np.uint8), rng.integers(0, 9, (37, 5))
+    states, counts = token_counts.scan(maps, emitted)
+    for entry in range(5):
+        state, total = entry, 0
+        for k in range(37):
+            total += emitted[k, state]
+            state = maps[k, state]
+            assert (states[k, entry], counts[k, entry]) == (state, total)
+    each = rng.integers(0, 9, 1000)
+    assert token_counts.emitted_before(each).tolist() == [0, *np.cumsum(each).tolist()]
+    assert token_counts.emitted_before(each[:0]).tolist() == [0]
+
+
 def test_splitter_does_not_depend_on_chunks(monkeypatch):
     text = "it's  a 'test' \n\n of're  12's " * 30
     kinds = np.append(token_counts.classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], np.uint8(token_counts.END))

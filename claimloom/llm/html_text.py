@@ -25,6 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from claimloom.llm.shared import fresh, slices
 
@@ -362,8 +363,11 @@ def _walk(node: Node, page: Page, pre: bool, shown: bool, mode: str = ""):
 
 
 def _span(cell: Node, name: str) -> int:
-    value = cell.attrs.get(name, "1")
-    return min(max(int(value), 1), 1000) if re.fullmatch(r"\d{1,6}", value) else 1
+    """As the standard has it: columns up to 1000, rows up to 65534; no rows means all that are left."""
+    most = 1000 if name == "colspan" else 65534
+    found = re.match(r"[ \t\n\f\r]*\+?(\d+)", cell.attrs.get(name, "1"))
+    n = min(int(found[1][-9:] if len(found[1].lstrip("0")) < 9 else most), most) if found else 1
+    return n or (1 if name == "colspan" else most)
 
 
 def _rows(node: Node, rows: list, captions: list, shown: bool) -> None:
@@ -442,7 +446,7 @@ def extract(pages: DataFrame, column: str = "html") -> tuple[DataFrame, str]:
     """``pages`` with the text of ``column``; the name of the text's column."""
     name = fresh(pages.columns, "text")
     clean = pages.withColumn(column, F.coalesce(column, F.lit("")))
-    schema = pages.schema.add(name, "string")
+    schema = StructType([*clean.schema.fields, StructField(name, StringType())])
 
     def read(batches):
         for batch in slices(batches, column):

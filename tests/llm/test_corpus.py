@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -392,6 +393,61 @@ def test_html_all_visible_text(source, text):
     assert html_text.render(source) == text
 
 
+class PlainWords(HTMLParser):
+    """The words of the pages in the driver's tables, in order, with no layout: a second reader that shares nothing with the first."""
+
+    UNSEEN = {"head", "script", "style", "template", "title", "iframe"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "u", "small", "sub", "sup", "font", "abbr", "mark"}
+
+    def __init__(self, source):
+        super().__init__()
+        self.parts, self.unseen = [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.UNSEEN:
+            self.unseen.append(tag)
+        if tag not in self.INLINE:
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.unseen and self.unseen[-1] == tag:
+            self.unseen.pop()
+        if tag not in self.INLINE:
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.unseen:
+            self.parts.append(data)
+
+
+def test_html_words_of_all_pages():
+    """No word of any page is lost, added or moved but for list marks and the cells of a row."""
+    import pyarrow.parquet as pq
+
+    mark = re.compile(r"-|\d+\.")
+    for source in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        want = [w for w in "".join(PlainWords(source or "").parts).split() if not mark.fullmatch(w)]
+        got = [w for w in html_text.render(source or "").split() if not mark.fullmatch(w)]
+        assert Counter(got) == Counter(want)
+        if "<table" not in (source or ""):
+            assert got == want
+
+
+@pytest.mark.parametrize("value,rows,columns", [("0", 65534, 1), ("3", 3, 3), (" +2x", 2, 2), ("70000", 65534, 1000), ("9" * 40, 65534, 1000), ("-1", 1, 1), ("", 1, 1)])
+def test_spans(value, rows, columns):
+    cell = html_text.Node("td", {"rowspan": value, "colspan": value})
+    assert (html_text._span(cell, "rowspan"), html_text._span(cell, "colspan")) == (rows, columns)
+
+
+def test_html_leaves_the_input_as_it_is(spark):
+    table = spark.createDataFrame([(1, "<p>a")], "page_id long, html string")
+    for _ in range(2):
+        found, name = html_text.extract(table)
+        assert (name, table.columns, found.first()[name]) == ("text", ["page_id", "html"], "a")
+
+
 def test_html_of_a_table(spark):
     rows = [(1, None), (2, ""), (3, "<p>a"), (3, "<p>a"), (None, "b")]
     table = spark.createDataFrame(rows, "page_id long, html string").withColumn("Text", F.lit("other"))

@@ -268,6 +268,49 @@ def test_mixing_budgets(spark, tokens):
     assert len(set(order)) == len(order)
 
 
+@pytest.mark.parametrize("tokens", [None, 900.0, 5000.0])
+def test_mixing_takes_what_brute_force_takes(spark, monkeypatch, tokens):
+    """Whole passes, then whole blocks in their order, then documents of one block in theirs, as long as they fit."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 32)
+    rows, docs = sources(spark, {"big": 600, "mid": 100, "small": 20, None: 30})
+    mix = mixing.Mix(entropy=0.95, repeats=3.0, tokens=tokens)
+    mixed, _ = mixing.mix_sources(docs, mix)
+    got = Counter(r["doc_id"] for r in mixed.collect())
+    n, of = {r[0]: 1 + r[0] % 5 for r in rows}, {r[0]: r[3] for r in rows}
+    total = Counter()
+    for i, source in of.items():
+        total[source] += n[i]
+    p = {k: v / sum(total.values()) for k, v in total.items()}
+    a = mixing.exponent(spark.createDataFrame([(x,) for x in p.values()], "p double"), mix)
+    z, least = sum(x**a for x in p.values()), min(x ** (a - 1) for x in p.values())
+    want = Counter()
+    bits = {r["bits"] for r in mixing.plan(docs, mix).select("bits").collect()}.pop()
+    for source, share in p.items():
+        passes = share ** (a - 1) / least if tokens is None else share**a / z * tokens / total[source]
+        whole = int(passes)
+        rest = int((passes - whole) * total[source])
+        key = mixing.source_key(F.col("source"))
+        doc_id, turn = F.col("doc_id").cast("long"), F.lit(whole)
+        placed = docs.where(F.col("source").eqNullSafe(F.lit(source))).select("doc_id", mixing.block(bits, mix, turn, key, doc_id).alias("b"), mixing.order(mix, turn, doc_id).alias("o")).collect()
+        blocks = defaultdict(list)
+        for r in placed:
+            blocks[r["b"]].append((r["o"], r["doc_id"]))
+            want[r["doc_id"]] += whole
+        for b in sorted(blocks):
+            size = sum(n[i] for _, i in blocks[b])
+            if size > rest:
+                for _, i in sorted(blocks[b]):
+                    if n[i] > rest:
+                        break
+                    rest -= n[i]
+                    want[i] += 1
+                break
+            rest -= size
+            for _, i in blocks[b]:
+                want[i] += 1
+    assert got == +want
+
+
 def test_mixing_odd_tables(spark):
     rows = documents()
     mixed, _ = mixing.mix_sources(frame(spark, rows))

@@ -42,7 +42,7 @@ from claimloom.llm.shared import fresh, materialize, slices, text_column
 BANDS, ROWS = 42, 6
 SKETCH_BITS, BOTTOM = 2048, 1024
 #: Nodes of a block, about; two blocks of a bucket meet in a tile.
-BLOCK = 256
+BLOCK = 512
 #: Partners of a hub that are checked in one group, about.
 FAN = 256
 
@@ -316,8 +316,8 @@ def _across(shared: DataFrame, nodes: DataFrame, label: DataFrame, percent: int,
     tagged = shared.join(label, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("c"))
     rows = tagged.join(blocks(tagged), ["band", "c"])
     block = F.when(F.col("own").isNotNull(), F.col("first") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.col("large") + F.pmod(F.xxhash64("c"), F.col("every") - F.col("large")))
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("every") - 1)))
-    rows = rows.where(F.col("own").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("own")))
+    met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("every") - 1), lambda x: F.col("own").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("own")))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(met))
     rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "c")
     tiles = rows.join(nodes.select("node", "n", "sketch", "bands"), ["node", "n"]).repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
 

@@ -114,14 +114,18 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Remember the ids of literal chunks."""
-        odd = []
+        odd, known, words, skip = [], self.known, self.words, self.drops_space
         for chunk in chunks:
+            ids = words.get(chunk[1:] if skip and chunk[:1] == " " else chunk)
+            if ids is not None:  # a word met before, by itself
+                known[chunk] = ids
+                continue
             # a line end between two words is a pre-token of its own
             ids = [self._word(part) for part in chunk.split("\n")]
             if None in ids:
                 odd.append(chunk)
             else:
-                self.known[chunk] = self.line_end.join(ids)
+                known[chunk] = self.line_end.join(ids)
         self.known.update(zip(odd, self._whole(odd)))
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
@@ -131,9 +135,35 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
+        texts, alone, code, bounds, ids, sizes = self._chunks(texts)
+        table = np.frombuffer(b"".join(ids), self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[code]
+        ends = np.cumsum(n)
+        flat = table[np.repeat(starts[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[bounds].tolist()
+        out = [flat[a:b] for a, b in zip(edges, edges[1:])]
+        for i, found in alone:
+            out[i] = np.frombuffer(found, self.dtype)
+        return out
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text (null: 0), without making them."""
+        _, alone, code, bounds, _, sizes = self._chunks(texts)
+        n = np.diff(np.concatenate([[0], np.cumsum(sizes[code])])[bounds])
+        for i, found in alone:
+            n[i] = len(found) // self.dtype.itemsize
+        return n
+
+    def _chunks(self, texts: pa.Array):
+        """Texts cut into chunks: each chunk's code, where each text's chunks begin, and ids and their number by code.
+
+        ``alone`` has place and ids of texts that aren't cut at single spaces.
+        """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.kind is None:
-            return [np.frombuffer(x, self.dtype) for x in self._whole(texts.to_pylist())]
+            alone = enumerate(self._whole(texts.to_pylist()))
+            return texts, list(alone), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), [], np.zeros(0, np.int64)
         if len(self.known) > self.limit // 4:
             self.known = {}
         if len(self.words) > self.limit:
@@ -149,22 +179,15 @@ class ChunkEncoder:
         heads, place = np.unique(code[first], return_inverse=True)
         inner = np.ones(len(code), bool)
         inner[first] = False
-        bodies, inverse = np.unique(code[inner], return_inverse=True)
-        code[inner], code[first] = inverse, len(bodies) + place
+        seen = np.zeros(len(names), bool)
+        seen[code[inner]] = True
+        bodies = np.flatnonzero(seen)
+        code[inner], code[first] = (np.cumsum(seen) - 1)[code[inner]], len(bodies) + place
         ids = self._ids([" " + names[k] for k in bodies.tolist()] + [names[k] for k in heads.tolist()])
-        table = np.frombuffer(b"".join(ids), self.dtype)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[code]
-        ends = np.cumsum(n)
-        flat = table[np.repeat(starts[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[bounds].tolist()
-        out = [flat[a:b] for a, b in zip(edges, edges[1:])]
-        for i in np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist():
-            out[i] = np.frombuffer(b"".join(self._ids(_PIECES.findall(texts[i].as_py()))), self.dtype)
-        for i in np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist():
-            out[i] = np.frombuffer(self._whole([texts[i].as_py()])[0], self.dtype)
-        return out
+        alone = [(i, b"".join(self._ids(_PIECES.findall(texts[i].as_py())))) for i in np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist()]
+        alone += [(i, self._whole([texts[i].as_py()])[0]) for i in np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist()]
+        return texts, alone, code, bounds, ids, sizes
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -37,6 +37,8 @@ def test_chunk_encoder_equals_the_library(path):
     coder = ChunkEncoder(path, limit=50)  # so small that everything is forgotten in between
     got = [x.tolist() for part in (texts[:40], texts[40:], texts) for x in coder.encode(pa.array(part, pa.string()))]
     assert got == [ids_of(path, t) for t in texts + texts]
+    assert coder.counts(pa.array(texts, pa.string())).tolist() == [len(ids_of(path, t)) for t in texts]
+    assert coder.encode(pa.array([], pa.string())) == [] and coder.counts(pa.array([], pa.string())).tolist() == []
 
 
 def test_transducer_equals_the_library():
@@ -189,6 +191,7 @@ def test_other_vocabularies_go_to_the_library_whole(tmp_path):
         coder = ChunkEncoder(path)
         assert coder.kind is None
         assert [x.tolist() for x in coder.encode(pa.array(HARD, pa.string()))] == [ids_of(path, t) for t in HARD]
+        assert coder.counts(pa.array(HARD, pa.string())).tolist() == [len(ids_of(path, t)) for t in HARD]
 
 
 def test_packing_keeps_ids(spark):

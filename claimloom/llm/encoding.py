@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 #: White space of any kind.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -27,6 +28,10 @@ _PIECES = re.compile(r"\s*\S+|\s+\Z")
 _WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?|%*&$#]*)")
 
 
+#: Words that an encoder remembers where little else takes a worker's memory.
+WORDS = 500_000
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable Latin-1, else from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -50,13 +55,13 @@ def _plain(component: dict | None) -> dict:
 
 def vocabulary_kind(tokenizer: Tokenizer) -> str | None:
     """``bytes`` or ``words`` of a vocabulary whose white-space chunks can be encoded one by one, else None."""
-    spec = json.loads(tokenizer.to_str())
-    model, before, normal = spec["model"], _plain(spec["pre_tokenizer"]), spec["normalizer"]
-    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
-    odd |= any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
-    if model["type"] != "BPE" or odd:
+    spec = lambda part: None if part is None else json.loads(part.__getstate__())
+    model, before, normal = tokenizer.model, _plain(spec(tokenizer.pre_tokenizer)), spec(tokenizer.normalizer)
+    if not isinstance(model, BPE) or model.dropout or model.continuing_subword_prefix or model.byte_fallback or model.ignore_merges:
+        return None
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokenizer.get_added_tokens_decoder().values()):
         return None
-    if before == _BYTES and normal is None and not model["end_of_word_suffix"]:
+    if before == _BYTES and normal is None and not model.end_of_word_suffix:
         return "bytes"
     if before.get("type") == "Sequence" and tuple(map(_plain, before["pretokenizers"])) == _WORDS and normal and tuple(normal.get("normalizers", ())) == _LOWER:
         return "words"

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.llm.encoding import encoder
+from claimloom.llm.encoding import WORDS, encoder
 from claimloom.llm.shared import WHITE_CLASS, fresh, materialize, slices, text_column
 
 #: Documents of a block, about.
@@ -50,14 +50,14 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, WHITE_CLASS + "+"), "")).cast("long")
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str | None, words: int = WORDS) -> DataFrame:
     """doc_id, key of the source and tokens of each document."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("key"), text_column().alias("text"))
     if vocabulary is None:
         return keyed.select("doc_id", "key", word_count(F.col("text")).alias("tokens"))
 
     def count(batches):
-        coder = encoder(vocabulary, limit=500_000)
+        coder = encoder(vocabulary, limit=words)
         for batch in slices(batches, most=3 << 20):
             n = pa.array(coder.counts(batch.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), n], names=["doc_id", "key", "tokens"])
@@ -105,9 +105,9 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
     return max(_largest(sources, even), _least(sources, seldom))
 
 
-def plan(docs: DataFrame, mix: Mix, vocabulary: str | None = None) -> DataFrame:
+def plan(docs: DataFrame, mix: Mix, vocabulary: str | None = None, words: int = WORDS) -> DataFrame:
     """A row per source: key, tokens, weight, whole passes, and the last block and document hash of the part (null: none)."""
-    counted = materialize(token_counts(docs, vocabulary), "mixing-counts")
+    counted = materialize(token_counts(docs, vocabulary, words), "mixing-counts")
     totals = materialize(counted.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-sources")
     every = totals.agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).first()
     tokens, bits = every["tokens"] or 0, max(0, (int(every["docs"] or 0) // BLOCK_DOCS).bit_length())
@@ -149,12 +149,14 @@ def order(mix: Mix, turn: Column, doc_id: Column) -> Column:
     return F.xxhash64(F.lit(mix.seed + 2), turn, doc_id)
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix(), vocabulary: str | None = None) -> tuple[DataFrame, list[str]]:
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), vocabulary: str | None = None, words: int = WORDS) -> tuple[DataFrame, list[str]]:
     """A row per use of a document, with its columns and four more: pass, block place, place in the block, source weight.
 
+    ``words`` is how many words a worker's encoder remembers; it takes memory and saves time, and changes no result.
+
     The second value has the new columns' names. Sorting by the first three gives a source's order in the mix.
     """
-    found = plan(docs, mix, vocabulary)
+    found = plan(docs, mix, vocabulary, words)
     names = docs.columns
     key, turn, place, within, weight = (fresh(names, n) for n in ("_key", "_pass", "_block", "_order", "_weight"))
     whole, last, end, bits, uses = (fresh(names, n) for n in ("_p_whole", "_p_block", "_p_order", "_p_bits", "_p_uses"))

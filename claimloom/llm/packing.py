@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from claimloom.llm.encoding import encoder
+from claimloom.llm.encoding import WORDS, encoder
 from claimloom.llm.shared import materialize, slices, text_column
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int = 2048, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int = 2048, with_ids: bool = False, words: int = WORDS) -> DataFrame:
     """Cut each document's ids, and the end id, into pieces of ``most`` ids and a rest."""
 
     def cut(batches):
-        coder = encoder(vocabulary, limit=500_000)
+        coder = encoder(vocabulary, limit=words)
         for batch in slices(batches, most=3 << 20):
             rows, held = [], []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
@@ -149,6 +149,6 @@ def pack(parts: DataFrame, most: int = 2048, lane_rows: int = 1 << 10) -> DataFr
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, most: int = 2048, with_ids: bool = False) -> DataFrame:
-    """Tokenize, cut and pack whole documents: a row per piece."""
-    return pack(materialize(pieces(docs, vocabulary, end_id, most, with_ids), "packing-pieces"), most)
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, most: int = 2048, with_ids: bool = False, words: int = WORDS) -> DataFrame:
+    """Tokenize, cut and pack whole documents: a row per piece. ``words`` is how many of them a worker's encoder remembers."""
+    return pack(materialize(pieces(docs, vocabulary, end_id, most, with_ids, words), "packing-pieces"), most)

@@ -83,3 +83,4 @@ def slices(batches, column: str = "text", most: int = 8 << 20):
             total += n or 0
         if len(sizes) > start:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks

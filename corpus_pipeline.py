@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from claimloom.llm import exact_dedup, mixing, near_dedup, packing, quality
 from claimloom.llm.shared import materialize
 
+#: Words that encoders remember: fewer than by default, as workers have served other stages before.
+WORDS = 150_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule of the threshold table."""
@@ -30,12 +33,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to one and a half times on average."""
-    return mixing.mix_sources(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"))[0].select(*docs.columns)
+    return mixing.mix_sources(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"), words=WORDS)[0].select(*docs.columns)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, words=WORDS)
 
 
 STAGES = [

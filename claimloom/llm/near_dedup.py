@@ -44,7 +44,7 @@ SKETCH_BITS, BOTTOM = 2048, 1024
 #: Nodes of a block, about; two blocks of a bucket meet in a tile.
 BLOCK = 512
 #: Partners of a hub that are checked in one group, about.
-FAN = 256
+FAN = 64
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values of a known 64-bit mixer
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -152,8 +152,8 @@ def document_claims(spark, sf_dir):
 
 @query(sentence_sql(rel(X.DRAFTS)) + f"select doc_id, pos, array_to_string({names('sentence', R.CLAIM_TRIGGERS)}, ',') as triggers from s where {hits('sentence', R.CLAIM_TRIGGERS)}")
 def claim_triggers(spark, sf_dir):
-    rows = claims.sentence_rows(drafts(spark, sf_dir)).select("doc_id", "pos", F.array_join(C.triggers(F.col("sentence")), ",").alias("triggers"))
-    return rows.where("triggers <> ''")
+    rows = claims.sentence_rows(drafts(spark, sf_dir)).where(C.any_of(F.col("sentence"), R.CLAIM_TRIGGERS))
+    return rows.select("doc_id", "pos", F.array_join(C.triggers(F.col("sentence")), ",").alias("triggers"))
 
 
 @query(CLAIMS_SQL + "select doc_id, pos, trigger from c")

@@ -14,9 +14,50 @@ def matches(text: Column, rule: R.Rule) -> Column:
     return text.rlike(rule.java)
 
 
-def any_of(text: Column, rules: Sequence[R.Rule], flags: str = "") -> Column:
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, outside of all groups and classes."""
+    out, start, depth, i, in_class = [], 0, 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def combined(rules: Sequence[R.Rule]) -> str:
+    """One pattern that finds something where any rule does.
+
+    Alternatives that begin at a word boundary share one test for it, so that most places of a text are passed at once.
+    """
+    at_words: dict[str, list[str]] = {}
+    others: dict[str, list[str]] = {}
+    for r in rules:
+        flags = "".join(sorted(set(r.flags)))
+        for part in alternatives(r.pattern):
+            if part.startswith(r"\b"):
+                at_words.setdefault(flags, []).append(part[2:])
+            elif part.startswith(r"(?i:\b"):
+                at_words.setdefault(flags, []).append("(?i:" + part[6:])
+            else:
+                others.setdefault(flags, []).append(part)
+    joined = lambda groups: "|".join(f"(?{flags}:{'|'.join(parts)})" for flags, parts in groups.items())
+    words = [rf"\b(?:{joined(at_words)})"] if at_words else []
+    return "(?Ud)" + "|".join([*words, *([joined(others)] if others else [])])
+
+
+def any_of(text: Column, rules: Sequence[R.Rule]) -> Column:
     """Whether any rule matches: one search for all of them, so that the text is computed once."""
-    return text.rlike("(?Ud)" + "|".join(f"(?{''.join(sorted(set(r.flags + flags)))}:{r.pattern})" for r in rules))
+    return text.rlike(combined(rules))
 
 
 def names_of(text: Column, rules: Sequence[R.Rule]) -> Column:

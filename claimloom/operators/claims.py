@@ -22,7 +22,7 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def claim_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row per claim: key, pos, trigger, status and snippet."""
-    rows = sentence_rows(docs, key).withColumn("trigger", C.first_trigger(F.col("sentence"))).where("trigger is not null")
+    rows = sentence_rows(docs, key).where(C.any_of(F.col("sentence"), C.R.CLAIM_TRIGGERS)).withColumn("trigger", C.first_trigger(F.col("sentence")))
     status = C.claim_status(F.col("sentence"), F.col("following"))
     return rows.select(key, "pos", "trigger", status.alias("status"), truncate(F.col("sentence"), 220).alias("snippet"))
 

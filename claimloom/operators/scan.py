@@ -1,7 +1,7 @@
 """Rule scans over lines: boundary, residue, style tells, contamination; and sensitivity of whole texts.
 
-All rules of a scan are evaluated in one projection per line, whose matches are exploded once. Documents in which no rule
-matches in any line are dropped before their lines are exploded.
+A scan searches each line once, by one pattern made of all rules. Only in lines where that finds something, each rule is
+searched for, and only the rules that match are extracted.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from claimloom.functions import claims as C
 from claimloom.functions import rules as R
+from claimloom.functions.tables import join_left
 from claimloom.functions.text import density_score, fence_mask, lines, strip, truncate
 
 
@@ -29,8 +30,11 @@ def line_rows(docs: DataFrame, key: str = "doc_id", fences: bool = True) -> Data
 
 def matches_of(content: Column, rules: Sequence[R.Rule]) -> Column:
     """All matches of all rules in a line, as (rule, tag, match), in the order of rules and places."""
+    none = F.array().cast("array<struct<rule:string,tag:string,match:string>>")
+
     def of(rule: R.Rule) -> Column:
-        return F.transform(F.regexp_extract_all(content, F.lit(rule.java), F.lit(0)), lambda m: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.tag).alias("tag"), m.alias("match")))
+        every = F.transform(F.regexp_extract_all(content, F.lit(rule.java), F.lit(0)), lambda m: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.tag).alias("tag"), m.alias("match")))
+        return F.when(C.matches(content, rule), every).otherwise(none)
 
     return F.concat(*[of(r) for r in rules])
 
@@ -40,8 +44,7 @@ def findings(docs: DataFrame, rules: Sequence[R.Rule], key: str = "doc_id", fenc
     if not rules:
         return docs.select(key, F.lit(0).alias("line"), F.lit(0).alias("seq"), F.lit("").alias("rule"), F.lit("").alias("tag"), F.lit("").alias("match")).where("false")
     # line by line, as rules are searched: in a whole text, anchors and lookaheads would see other lines
-    some = docs.where(F.exists(lines(F.coalesce(F.col("text"), F.lit(""))), lambda line: C.any_of(line, rules)))
-    rows = line_rows(some, key, fences).select(key, "line", F.posexplode(matches_of(F.col("content"), rules)).alias("seq", "_m"))
+    rows = line_rows(docs, key, fences).where(C.any_of(F.col("content"), rules)).select(key, "line", F.posexplode(matches_of(F.col("content"), rules)).alias("seq", "_m"))
     match = F.col("_m.match")
     if cut:
         match = truncate(match, cut) if not fences else F.substring(match, 1, cut)
@@ -103,7 +106,7 @@ def contamination(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def contamination_verdict(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """blocked or pass, per document."""
     found = contamination(docs, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_matches"))
-    joined = docs.select(key).join(found, key, "left")
+    joined = join_left(docs.select(key), found, key)
     return joined.select(key, F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.when(F.col("n_matches") > 0, "blocked").otherwise("pass").alias("verdict"))
 
 

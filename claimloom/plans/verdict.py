@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import rules as R
+from claimloom.functions.tables import join_left
 from claimloom.operators import claims, scan
 
 
@@ -61,11 +62,11 @@ def check(drafts: DataFrame, profile: str = "final-prose", sources: DataFrame |
         parts.append(verifier_summary(claims.graded(found, sources)))
     summary = drafts.select("doc_id")
     for part in parts:
-        summary = summary.join(part, "doc_id", "left")
+        summary = join_left(summary, part, "doc_id")
     for column in ("violations", "claims", "unsupported", "load_bearing_unsupported", "contradicted", "unverifiable"):
         summary = summary.withColumn(column, F.coalesce(column, F.lit(0)) if column in summary.columns else F.lit(0))
     if actors is not None:
-        summary = summary.join(actors.select("doc_id", "single_actor", "has_identity"), "doc_id", "left").fillna(False, ["single_actor", "has_identity"])
+        summary = join_left(summary, actors.select("doc_id", "single_actor", "has_identity"), "doc_id").fillna(False, ["single_actor", "has_identity"])
     else:
         summary = summary.withColumns({"single_actor": F.lit(False), "has_identity": F.lit(False)})
     return consolidate(summary.withColumn("profile", F.lit(profile)))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from claimloom.functions import claims as C
 from claimloom.functions import rules as R
+from claimloom.functions.tables import spread
 from claimloom.functions.text import density_score, fence_mask, html_to_text, lines, sentences
 from claimloom.operators import claims, context, evaluate, integrity, ledger, monitor, review, scan
 from claimloom.plans import conformance as probes
@@ -36,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- SQL pieces -----------------------------------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Joins of tables by keys that may be null."""
+"""Joins of tables by keys that may be null, and small inputs on many cores."""
 
 from __future__ import annotations
 
@@ -10,3 +10,9 @@ def join_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     own = f"_{key}_right"
     renamed = right.withColumnRenamed(key, own)
     return left.join(renamed, left[key].eqNullSafe(renamed[own]), "left").drop(own)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """An input of fewer partitions than there are cores, as small files are, dealt to all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

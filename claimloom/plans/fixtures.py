@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.functions.tables import spread
+
 
 class Sql(str):
     """SQL rather than a text to quote."""
@@ -131,5 +133,5 @@ def sql(relation: str, engine: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", relation))}
+    tables = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in set(re.findall(r"\{(\w+)\}", relation))}
     return spark.sql(sql(relation, "spark"), **tables)

@@ -771,19 +771,31 @@ def ci_failures(spark, sf_dir):
     return counts.withColumn("fails", (F.col("contradicted") > 0) | (F.col("unsupported") > 0))
 
 
-@query(f"select id, verdict, case verdict when 'contradicted' then 0 when 'not_addressed' then 1 when 'unverifiable' then 2 when 'verified' then 3 else 4 end as rank from ({rel(X.VERIFICATIONS)}) order by rank, id limit 10")
+@query(f"select id, verdict, case verdict when 'contradicted' then 0 when 'unverifiable' then 1 when 'not_addressed' then 2 else 3 end as rank from ({rel(X.VERIFICATIONS)}) order by rank, id limit 10")
 def worst_verdicts(spark, sf_dir):
     """The ten worst verdicts, by severity and place; the limit is the report's."""
-    rank = F.when(F.col("verdict") == "contradicted", 0).when(F.col("verdict") == "not_addressed", 1).when(F.col("verdict") == "unverifiable", 2).when(F.col("verdict") == "verified", 3).otherwise(4)
-    return X.load(spark, sf_dir, X.VERIFICATIONS).select("id", "verdict", rank.alias("rank")).orderBy("rank", "id").limit(10)
+    return claims.worst(X.load(spark, sf_dir, X.VERIFICATIONS))
 
 
-@query(CLAIMS_SQL + "select doc_id, array_to_string(list_transform(list_sort(list(pos))[:3], lambda x: cast(x as string)), ',') || case when count(*) > 3 then ' and ' || (count(*) - 3) || ' more' else '' end as listed from c group by doc_id")
+@query(
+    CLAIMS_SQL + "select doc_id, array_to_string(list_transform(list_sort(list(pos))[:8], lambda x: cast(x as string)), ',') || case when count(*) > 8 then ' ... and ' || (count(*) - 8) || ' more.' else '' end as listed"
+    " from (select doc_id % 500 as doc_id, pos * 100000 + doc_id // 500 as pos from c) group by doc_id"
+)
 def capped_lists(spark, sf_dir):
-    """The places of a draft's first three claims, and how many more there are; the cap is the report's."""
-    rows = claims.claim_rows(drafts(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("p"), F.count(F.lit(1)).alias("n"))
-    first_three = F.array_join(F.transform(F.slice("p", 1, 3), lambda x: x.cast("string")), ",")
-    return rows.select("doc_id", F.concat(first_three, F.when(F.col("n") > 3, F.concat(F.lit(" and "), F.col("n") - 3, F.lit(" more"))).otherwise("")).alias("listed"))
+    """The places of the first eight claims of every five hundredth draft together, and how many more there are."""
+    rows = claims.claim_rows(drafts(spark, sf_dir))
+    return claims.listed(rows.select((F.col("doc_id") % 500).alias("doc_id"), (F.col("pos") * 100000 + F.expr("doc_id div 500")).alias("pos")))
+
+
+@query(
+    PIPELINE_SQL + ", k as (select doc_id, count(*) filter (salience < 0.3) as low, greatest(0, count(*) filter (salience >= 0.3) - 2) as over, list(substr(sentence, 1, 80) order by pos) filter (salience < 0.3) as e from p group by doc_id)"
+    " select doc_id, coalesce(nullif(concat_ws('; ', case when low > 0 then 'salience_min=0.30 (' || low || ' skipped)' end, case when over > 0 then 'max_verify_claims=2 (' || over || ' skipped)' end), ''), 'no_caps_applied') as reason,"
+    " low + over as count, coalesce(array_to_string(e[:3], ' / '), '') as examples from k"
+)
+def verifier_skipped(spark, sf_dir):
+    """What the verifier's budget leaves out."""
+    found = claims.skipped_summary(claims.pipeline_claims(drafts(spark, sf_dir)), 0.3, 2)
+    return found.withColumn("examples", F.array_join("examples", " / "))
 
 
 @query("select o_orderkey as id, regexp_matches(case o_orderkey % 3 when 0 then 'run-' || o_orderkey when 1 then 'run/' || o_orderkey else repeat('x', cast(o_custkey % 90 as int)) end, '^[A-Za-z0-9_-]{1,64}$') as valid from orders")
@@ -808,10 +820,17 @@ def single_actor_role(spark, sf_dir):
     return X.load(spark, sf_dir, X.OVERRIDES).select("id", ledger.single_actor_role(F.col("reviewer"), writer, role).alias("role"))
 
 
-@query(f"select run_id, '## Overrides applied' || chr(10) || chr(10) || string_agg('- **g** by ' || reviewer || ': r' || case when single_actor then ' (single actor)' else '' end, chr(10) order by id) as footer from ({rel(X.OVERRIDES)}) group by run_id")
+FOOTER_SQL = (
+    "'- **Override ovr_' || id || '** on gate **G' || (id % 4) || '** (failure: boundary)' || case when single_actor then ' (single-actor; artefact role downgraded)' else '' end || chr(10) || '  - Risk accepted: some risk' || chr(10)"
+    " || '  - Compensating control: a second look' || chr(10) || '  - Escalation: peer_review' || chr(10) || '  - Reviewer: ' || reviewer || chr(10) || '  - Recorded: 2024-01-01T00:00:00Z'"
+)
+
+
+@query(f"select run_id, chr(10) || '## Overrides applied' || chr(10) || chr(10) || {lit(R.OVERRIDE_LEAD)} || chr(10) || chr(10) || string_agg({FOOTER_SQL}, chr(10) || chr(10) order by id) || chr(10) || chr(10) as footer from ({rel(X.OVERRIDES)}) group by run_id")
 def override_footer(spark, sf_dir):
     """K14."""
-    return ledger.override_footer(X.load(spark, sf_dir, X.OVERRIDES).withColumns({"gate_id": F.lit("g"), "risk_accepted": F.lit("r")}))
+    said = {"gate_id": F.concat(F.lit("G"), F.col("id") % 4), "failure_class": F.lit("boundary"), "risk_accepted": F.lit("some\n  risk"), "compensating_control": F.lit("a second look "), "escalation_path_taken": F.lit("peer_review"), "ts": F.lit("2024-01-01T00:00:00Z")}
+    return ledger.override_footer(X.load(spark, sf_dir, X.OVERRIDES).withColumns(said))
 
 
 @query(
@@ -826,12 +845,12 @@ def run_artefacts(spark, sf_dir):
 
 
 @query(
-    f"select context_id, writer_admitted as admitted, case when writer_admitted then '' when ledger_bucket = 'excluded' then 'excluded' when audit_status = 'audit_only' then 'audit only' else 'not for the writer' end as reason from ({CLASSIFIED_SQL})"
+    "select context_id, can_appear_in_final_prose or allowed_transformation <> 'none' as admitted, case when audit_status = 'audit_only' then 'audit-only material' when audit_status = 'excluded' then 'excluded class; cannot influence output'"
+    f" when not can_appear_in_final_prose then 'process material; cannot appear in final prose' else '' end as reason from ({CLASSIFIED_SQL})"
 )
 def cbom_inputs(spark, sf_dir):
-    """Items as inputs of a bill of materials, with why one isn't admitted."""
-    reason = F.when(F.col("writer_admitted"), "").when(F.col("ledger_bucket") == "excluded", "excluded").when(F.col("audit_status") == "audit_only", "audit only").otherwise("not for the writer")
-    return classified(spark, sf_dir).select("context_id", F.col("writer_admitted").alias("admitted"), reason.alias("reason"))
+    """Items as inputs of a bill of materials, with why one isn't free."""
+    return context.bill_inputs(classified(spark, sf_dir))
 
 
 @query("select 'ENFORCED' as status, 9 as n")

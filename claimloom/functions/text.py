@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,14 +81,51 @@ def base64url(data: Column) -> Column:
 
 
 def canonical_json(struct: Column) -> Column:
-    """JSON of a struct whose fields are in alphabetical order, nulls kept; for ASCII text as canonical JSON has it."""
-    return F.to_json(struct, {"ignoreNullFields": "false"})
+    """JSON of a struct whose fields are in alphabetical order, nulls kept, everything but ASCII as ``\\uXXXX``."""
+    text = F.to_json(struct, {"ignoreNullFields": "false"})
+
+    def escaped(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))  # one or two of four digits
+        return F.when((F.octet_length(c) == 1) & (c != "\x7f"), c).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.when(text.rlike(r"[^\x00-\x7e]"), whole).otherwise(text)
+
+
+class _Text(HTMLParser):
+    """The data of a page outside of scripts and styles."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.unseen = False
+
+    def handle_starttag(self, tag, attrs):
+        self.unseen = self.unseen or tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.unseen = self.unseen and tag not in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.unseen and data.strip():
+            self.parts.append(data)
+
+
+def _page_text(html: str) -> str:
+    page = _Text()
+    page.feed(html)
+    page.close()
+    return " ".join(" ".join(page.parts).split())
 
 
 def html_to_text(html: Column) -> Column:
-    """Text of well-formed pages: scripts and styles dropped, tags as spaces, common entities decoded, space collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    """Text of a page: scripts and styles dropped, tags as spaces, all entities decoded, white space collapsed.
+
+    Names of entities and malformed markup are beyond SQL functions, so this is an Arrow-batched function.
+    """
+
+    @F.pandas_udf("string")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(_page_text, na_action="ignore")
+
+    return read(html)

@@ -60,9 +60,39 @@ def budgeted(claims: DataFrame, salience_min: float, max_claims: int, key: str =
     return ranked.where(F.col("rank") <= max_claims)
 
 
+def skipped_summary(claims: DataFrame, salience_min: float, max_claims: int, key: str = "doc_id") -> DataFrame:
+    """Per document how many claims ``budgeted`` leaves out, why, and the first three below the salience asked for."""
+    low = F.col("salience") < salience_min
+    counts = claims.groupBy(key).agg(F.count_if(low).alias("_low"), F.count_if(~low).alias("_fit"), F.array_sort(F.collect_list(F.when(low, F.struct("pos", F.substring("sentence", 1, 80).alias("s"))))).alias("_e"))
+    over = F.greatest(F.lit(0), F.col("_fit") - F.lit(max_claims)) if max_claims else F.lit(0)
+    reason = F.concat_ws(
+        "; ", F.when(F.col("_low") > 0, F.format_string(f"salience_min={salience_min:.2f} (%d skipped)", "_low")), F.when(over > 0, F.format_string(f"max_verify_claims={max_claims} (%d skipped)", over))
+    )
+    examples = F.transform(F.slice("_e", 1, 3), lambda x: x["s"])
+    return counts.select(key, F.when(reason == "", "no_caps_applied").otherwise(reason).alias("reason"), (F.col("_low") + over).cast("long").alias("count"), examples.alias("examples"))
+
+
+def worst(rows: DataFrame, limit: int = 10) -> DataFrame:
+    """The worst verdicts (id, verdict): contradicted, unverifiable, not addressed, then the others, by place."""
+    rank = F.coalesce(*[F.when(F.col("verdict") == v, i) for i, v in enumerate(C.R.WORST_ORDER)], F.lit(len(C.R.WORST_ORDER)))
+    return rows.select("id", "verdict", rank.alias("rank")).orderBy("rank", "id").limit(limit)
+
+
+def listed(rows: DataFrame, most: int = C.R.MOST_LISTED, key: str = "doc_id") -> DataFrame:
+    """The places of a document's first claims, and how many more there are."""
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    first = F.array_join(F.transform(F.slice("p", 1, most), lambda x: x.cast("string")), ",")
+    more = F.size("p") - most
+    return found.select(key, F.concat(first, F.when(more > 0, F.concat(F.lit(" ... and "), more, F.lit(" more."))).otherwise("")).alias("listed"))
+
+
 def graded(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each claim with the text of the source that it cites (columns url, source_text) and its grade."""
-    joined = claims.join(sources, claims["citation"] == sources["url"], "left")
+    """Each claim with the text of the source that it cites (columns url, source_text) and its grade.
+
+    A url that several rows have stands for the longest of their texts, the last in order of equally long ones.
+    """
+    one = sources.where("url is not null").groupBy("url").agg(F.max_by("source_text", F.struct(F.length("source_text"), "source_text")).alias("source_text"))
+    joined = claims.join(one, claims["citation"] == one["url"], "left")
     grade = C.heuristic_grade(F.col("sentence"), F.col("source_text"), F.col("citation"))
     return joined.select(*claims.columns, grade.alias("verdict"), F.when(grade == "not_addressed", C.missing_tokens(F.col("sentence"), F.col("source_text"))).alias("missing"))
 

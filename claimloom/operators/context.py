@@ -106,6 +106,14 @@ def reference_errors(inputs: DataFrame, references: DataFrame) -> DataFrame:
     return joined.withColumn("error", error).where("error is not null").select("owner", "kind", "context_id", "error")
 
 
+def bill_inputs(classified: DataFrame) -> DataFrame:
+    """Items as inputs of a bill of materials: admitted if they may appear or are to be transformed; why they aren't free."""
+    appears = F.col("can_appear_in_final_prose")
+    status = F.col("audit_status")
+    reason = F.when(status == "audit_only", R.INPUT_REASONS["audit_only"]).when(status == "excluded", R.INPUT_REASONS["excluded"]).when(~appears, R.INPUT_REASONS["process"]).otherwise("")
+    return classified.select("context_id", (appears | (F.col("allowed_transformation") != "none")).alias("admitted"), reason.alias("reason"))
+
+
 def identity_problems(actors: DataFrame) -> DataFrame:
     """F16: rows (key, roles map<string,string>) with the missing, unknown and empty roles of each, sorted."""
     names = F.map_keys("roles")

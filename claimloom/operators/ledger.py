@@ -133,12 +133,14 @@ def single_actor_role(reviewer: Column, writer: Column, role: Column) -> Column:
     return F.when(F.coalesce(same, F.lit(False)) & (role == "final-prose"), "draft").otherwise(role)
 
 
-def override_footer(overrides: DataFrame) -> DataFrame:
-    """Per run a Markdown list of its overrides in the order of id, white space squashed."""
+def override_footer(overrides: DataFrame, heading: str = R.OVERRIDE_HEADING) -> DataFrame:
+    """Per run the Markdown footer on its overrides in the order of id, white space squashed; none without overrides."""
     one = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
-    line = F.concat(F.lit("- **"), one("gate_id"), F.lit("** by "), one("reviewer"), F.lit(": "), one("risk_accepted"), F.when(F.col("single_actor"), " (single actor)").otherwise(""))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n")
-    return overrides.groupBy("run_id").agg(F.concat(F.lit("## Overrides applied\n\n"), body).alias("footer"))
+    head = F.concat(F.lit("- **Override ovr_"), "id", F.lit("** on gate **"), "gate_id", F.lit("** (failure: "), "failure_class", F.lit(")"), F.when(F.col("single_actor"), " (single-actor; artefact role downgraded)").otherwise(""))
+    rows = (("Risk accepted", "risk_accepted"), ("Compensating control", "compensating_control"), ("Escalation", "escalation_path_taken"), ("Reviewer", "reviewer"), ("Recorded", "ts"))
+    entry = F.concat_ws("\n", head, *[F.concat(F.lit(f"  - {label}: "), one(c)) for label, c in rows])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("entry")))), lambda x: x["entry"]), "\n\n")
+    return overrides.groupBy("run_id").agg(F.concat(F.lit(f"\n## {heading.strip()}\n\n{R.OVERRIDE_LEAD}\n\n"), body, F.lit("\n\n")).alias("footer"))
 
 
 #: Fields whose canonical JSON a run's hash covers, in alphabetical order.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import rules as R
 from claimloom.functions.tables import join_left
+from claimloom.functions.text import rounded
 from claimloom.operators import claims, scan
 
 
@@ -15,36 +16,72 @@ def threshold(profile: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for k, v in R.UNSUPPORTED_THRESHOLDS.items() for x in (k, v)])[profile], F.lit(1.0))
 
 
+def listed(when: Column, place: list, said: Column) -> Column:
+    """What is said of rows, in the order of their places; a list per document."""
+    rows = F.collect_list(F.when(when, F.struct(*place, said.alias("_said"))))
+    return F.transform(F.array_sort(rows), lambda x: x["_said"])
+
+
 def claim_summary(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Claims, those without citation, and those of them that are load-bearing, per document."""
+    """Claims, those without citation, those of them that are load-bearing, and what to say of these, per document."""
     uncited = F.col("citation").isNull()
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("claims"), F.count_if(uncited).alias("unsupported"), F.count_if(uncited & F.col("load_bearing")).alias("load_bearing_unsupported"))
+    said = F.format_string(R.REASONS["unsupported"], F.format_number("salience", 2), F.substring("sentence", 1, 80))
+    return rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("claims"), F.count_if(uncited).alias("unsupported"), F.count_if(uncited & F.col("load_bearing")).alias("load_bearing_unsupported"),
+        listed(uncited & F.col("load_bearing"), ["pos"], said).alias("said_unsupported"),
+    )
+
+
+def boundary_summary(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Violations, and what to say of each, per document."""
+    said = F.format_string(R.REASONS["violation"], "rule", "tag", "line", F.substring("match", 1, 60))
+    return found.groupBy(key).agg(F.count(F.lit(1)).alias("violations"), listed(F.lit(True), ["line", "seq"], said).alias("said_violations"))
 
 
 def verifier_summary(graded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Contradicted claims and load-bearing unverifiable ones, per document (columns verdict, load_bearing)."""
-    return graded.groupBy(key).agg(F.count_if(F.col("verdict") == "contradicted").alias("contradicted"), F.count_if((F.col("verdict") == "unverifiable") & F.col("load_bearing")).alias("unverifiable"))
+    """Contradicted claims, load-bearing unverifiable ones, and what to say of them, per document."""
+    contradicted, unverifiable = F.col("verdict") == "contradicted", (F.col("verdict") == "unverifiable") & F.col("load_bearing")
+    said = lambda name: F.format_string(R.REASONS[name], F.substring("sentence", 1, 80))
+    return graded.groupBy(key).agg(
+        F.count_if(contradicted).alias("contradicted"), F.count_if(unverifiable).alias("unverifiable"),
+        listed(contradicted, ["pos"], said("contradicted")).alias("said_contradicted"), listed(unverifiable, ["pos"], said("unverifiable")).alias("said_unverifiable"),
+    )
+
+
+#: Columns of a summary: counts, and lists of what to say of each one counted.
+COUNTS = ("violations", "claims", "unsupported", "load_bearing_unsupported", "contradicted", "unverifiable")
+SAID = ("said_violations", "said_unsupported", "said_contradicted", "said_unverifiable")
 
 
 def consolidate(summary: DataFrame) -> DataFrame:
-    """Verdict and reasons of each row.
+    """Verdict, reasons and the rule that fired of each row.
 
-    Columns: profile, violations, contradicted, unverifiable, claims, unsupported, load_bearing_unsupported,
-    single_actor, has_identity. The first stage with a reason decides: BLOCK, HOLD, NOT_ASSESSABLE, PASS.
+    Columns: profile, those of ``COUNTS`` and ``SAID``, single_actor, has_identity. The first stage with a reason decides:
+    BLOCK, HOLD, NOT_ASSESSABLE, PASS. A rule fires where a document on hold has more unsupported claims than its profile
+    lets pass.
     """
     p = F.lower(F.trim("profile"))
-    over = (F.col("claims") > 0) & (F.col("unsupported") / F.when(F.col("claims") > 0, F.col("claims")) > threshold(p))
+    share = F.col("unsupported") / F.when(F.col("claims") > 0, F.col("claims"))
+    over = F.coalesce(share > threshold(p), F.lit(False))
+    percent = lambda x: F.format_number(x * 100, 0)
+    one = lambda when, said: F.when(F.coalesce(when, F.lit(False)), F.array(said)).otherwise(F.array().cast("array<string>"))
+    fraction = F.format_string(R.REASONS["fraction"], "unsupported", "claims", percent(share), p, percent(threshold(p)))
     stages = (
-        ("BLOCK", (("contradicted claim", F.col("contradicted") > 0), ("boundary violation", F.col("violations") > 0), ("single actor", F.col("single_actor") & p.isin(list(R.STRICT_ARTEFACTS))))),
-        ("HOLD", (("unsupported load-bearing claim", F.col("load_bearing_unsupported") > 0), ("unverifiable load-bearing claim", F.col("unverifiable") > 0), ("unsupported fraction", over), ("single actor", F.col("single_actor") & p.isin(list(R.FINAL_ARTEFACTS))))),
-        ("NOT_ASSESSABLE", (("no actor identity", (p == "final-prose") & ~F.col("has_identity")),)),
+        ("BLOCK", (F.col("said_contradicted"), F.col("said_violations"), one(F.col("single_actor") & p.isin(list(R.STRICT_ARTEFACTS)), F.format_string(R.REASONS["single_actor_block"], p)))),
+        ("HOLD", (F.col("said_unsupported"), F.col("said_unverifiable"), one(over, fraction), one(F.col("single_actor") & p.isin(list(R.FINAL_ARTEFACTS)), F.lit(R.REASONS["single_actor_hold"])))),
+        ("NOT_ASSESSABLE", (one((p == "final-prose") & ~F.col("has_identity"), F.lit(R.REASONS["no_identity"])),)),
     )
     verdict, reasons = F.lit("PASS"), F.array().cast("array<string>")
-    for stage, tests in reversed(stages):
-        fired = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), f"{stage}: {said}") for said, test in tests]))
-        verdict = F.when(F.size(fired) > 0, stage).otherwise(verdict)
-        reasons = F.when(F.size(fired) > 0, fired).otherwise(reasons)
-    return summary.withColumns({"verdict": verdict, "reasons": reasons})
+    for stage, parts in reversed(stages):
+        said = F.concat(*parts)
+        verdict = F.when(F.size(said) > 0, stage).otherwise(verdict)
+        reasons = F.when(F.size(said) > 0, said).otherwise(reasons)
+    rule = F.struct(
+        F.lit("profile_unsupported_fraction").alias("rule"), p.alias("profile"), F.col("unsupported").alias("unsupported"), F.col("claims").alias("total"),
+        rounded(share, 4).alias("unsupported_fraction"), threshold(p).alias("threshold"),
+    )
+    done = summary.withColumns({"verdict": verdict, "reasons": reasons})
+    return done.withColumn("fired_rule", F.when((F.col("verdict") == "HOLD") & over, rule))
 
 
 def check(drafts: DataFrame, profile: str = "final-prose", sources: DataFrame | None = None, actors: DataFrame | None = None) -> DataFrame:
@@ -55,7 +92,7 @@ def check(drafts: DataFrame, profile: str = "final-prose", sources: DataFrame |
     """
     found = claims.pipeline_claims(drafts)
     parts = [
-        scan.boundary(drafts, profile).groupBy("doc_id").agg(F.count(F.lit(1)).alias("violations")),
+        boundary_summary(scan.boundary(drafts, profile)),
         claim_summary(found),
     ]
     if sources is not None:
@@ -63,10 +100,13 @@ def check(drafts: DataFrame, profile: str = "final-prose", sources: DataFrame |
     summary = drafts.select("doc_id")
     for part in parts:
         summary = join_left(summary, part, "doc_id")
-    for column in ("violations", "claims", "unsupported", "load_bearing_unsupported", "contradicted", "unverifiable"):
+    for column in COUNTS:
         summary = summary.withColumn(column, F.coalesce(column, F.lit(0)) if column in summary.columns else F.lit(0))
+    nothing = F.array().cast("array<string>")
+    for column in SAID:
+        summary = summary.withColumn(column, F.coalesce(column, nothing) if column in summary.columns else nothing)
     if actors is not None:
         summary = join_left(summary, actors.select("doc_id", "single_actor", "has_identity"), "doc_id").fillna(False, ["single_actor", "has_identity"])
     else:
         summary = summary.withColumns({"single_actor": F.lit(False), "has_identity": F.lit(False)})
-    return consolidate(summary.withColumn("profile", F.lit(profile)))
+    return consolidate(summary.withColumn("profile", F.lit(profile))).drop(*SAID)

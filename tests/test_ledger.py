@@ -25,7 +25,9 @@ def test_append_only_ledger_and_debt(spark, tmp_path):
     assert ledger.debt_trend(book.read("tombstones").select("id", F.lit(1).alias("total"), F.lit(0).alias("unsupported"))).first()["direction"] == "flat"
     book.append_overrides(spark.createDataFrame([("t", "r1", "ann", "g", "f", "risk", "ctl", "odd", True), ("t", "r1", " ", "g", "f", "risk", "ctl", None, False)], "ts string, run_id string, reviewer string, gate_id string, failure_class string, risk_accepted string, compensating_control string, escalation_path_taken string, single_actor boolean"))
     assert [r["escalation_path_taken"] for r in book.read("overrides").collect()] == ["custom:odd"]
-    assert "**g** by ann: risk (single actor)" in ledger.override_footer(book.read("overrides")).first()["footer"]
+    footer = ledger.override_footer(book.read("overrides")).first()["footer"]
+    assert footer.startswith("\n## Overrides applied\n\nThe following") and footer.endswith("  - Recorded: t\n\n")
+    assert "\n\n- **Override ovr_1** on gate **g** (failure: f) (single-actor; artefact role downgraded)\n  - Risk accepted: risk\n  - Compensating control: ctl\n  - Escalation: custom:odd\n  - Reviewer: ann\n" in footer
 
 
 def test_retention(spark):

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimloom.functions import claims as C
 from claimloom.functions import rules as R
@@ -399,17 +398,21 @@ def writer_admissible(spark, sf_dir):
     return classified(spark, sf_dir).groupBy("context_type").agg(F.count_if("writer_admitted").alias("admitted"), F.count_if(~F.col("writer_admitted")).alias("refused"))
 
 
-def pack_sql(kind: str, shown: str) -> str:
-    return f"coalesce(string_agg({shown}, ' / ' order by context_id) filter (writer_admitted and context_type = '{kind}'), '')"
+def pack_sql(shown: str, *kinds: str) -> str:
+    return f"coalesce(string_agg({shown}, ' / ' order by context_id) filter (writer_admitted and context_type in ({', '.join(map(lit, kinds))})), '')"
+
+
+PROCESS = ("user_feedback", "review_finding", "prior_artefact", "process_history", "synthesised_judgement")
 
 
 @query(
-    f"select run_id, {pack_sql('empirical_evidence', 'text')} as evidence, {pack_sql('style_signal', REQUIREMENT_SQL)} as style, {pack_sql('instruction', 'trim(text)')} as instructions,"
-    f" count(*) filter (not writer_admitted) as excluded from ({CLASSIFIED_SQL}) group by run_id"
+    f"select run_id, {pack_sql('text', 'empirical_evidence')} as evidence, {pack_sql(REQUIREMENT_SQL, 'style_signal')} as style, {pack_sql('trim(text)', 'instruction')} as instructions, {pack_sql(REQUIREMENT_SQL, *PROCESS)} as requirements,"
+    f" {pack_sql(f'case context_type when {lit("instruction")} then trim(text) else {REQUIREMENT_SQL} end', 'instruction', *PROCESS)} as brief, concat_ws(' / ', {lit(' / '.join(R.BANNED_RESIDUE))}, nullif({pack_sql(REQUIREMENT_SQL, 'validation_rule')}, '')) as banned,"
+    f" {lit(' / '.join(R.ACCEPTANCE_TESTS))} as acceptance, count(*) - count(*) filter (writer_admitted and context_type in ({', '.join(map(lit, ('empirical_evidence', 'style_signal', 'instruction', 'validation_rule', *PROCESS)))})) as excluded from ({CLASSIFIED_SQL}) group by run_id"
 )
 def writer_pack(spark, sf_dir):
     packs = context.writer_pack(classified(spark, sf_dir), "run_id")
-    return packs.select("run_id", *[F.array_join(c, " / ").alias(c) for c in ("evidence", "style", "instructions")], "excluded")
+    return packs.select("run_id", *[F.array_join(c, " / ").alias(c) for c in ("evidence", "style", "instructions", "requirements", "brief", "banned", "acceptance")], "excluded")
 
 
 @query(
@@ -494,6 +497,28 @@ def verdict_paper(spark, sf_dir):
     return _verdict(spark, sf_dir, "paper-full")
 
 
+def said_sql(profile: str) -> str:
+    """Reasons of a profile without verification, each sorted, one below the other."""
+    single, share = profile in R.STRICT_ARTEFACTS, f"unsupported::DOUBLE / claims > {THRESHOLD_SQL(lit(profile))}"
+    fraction = f"'HOLD: unsupported fraction ' || unsupported || '/' || claims || ' (' || printf('%.0f', unsupported::DOUBLE / claims * 100) || '%) exceeds the ''{profile}'' profile threshold of {R.UNSUPPORTED_THRESHOLDS[profile] * 100:.0f}%; verify the uncited claims or add sources.'"
+    return (
+        PIPELINE_SQL + f", c as (select doc_id, count(*) as claims, count(*) filter (citation is null) as unsupported, list('HOLD: unsupported load-bearing claim (salience=' || printf('%.2f', salience) || '): ' || substr(sentence, 1, 80)) filter (citation is null and salience >= 0.5) as heavy from p group by doc_id),"
+        f" b as (select doc_id, list('BLOCK: boundary violation [' || rule || ' severity=' || tag || '] line ' || line || ': ' || substr(match, 1, 60)) as violations from ({findings_sql(rel(X.DRAFTS), R.BOUNDARY_PROFILES[profile])}) group by doc_id),"
+        f" j as (select a.doc_id, single_actor, claims, unsupported, list_concat(coalesce(violations, []), case when single_actor and {str(single).lower()} then ['x'] else [] end) as block,"
+        f" list_concat(coalesce(heavy, []), case when claims > 0 and {share} then [{fraction}] else [] end, case when single_actor then [{lit(R.REASONS['single_actor_hold'])}] else [] end) as hold from ({rel(VERDICT_ACTORS)}) a left join c using (doc_id) left join b using (doc_id))"
+        f" select doc_id, array_to_string(list_sort(case when len(block) > 0 then block else hold end), chr(10)) as reasons, case when len(block) = 0 and claims > 0 and {share} then unsupported || '/' || claims || ' ' || printf('%.4f', unsupported::DOUBLE / claims) end as fired from j"
+    )
+
+
+@query(said_sql("paper-full"))
+def verdict_reasons(spark, sf_dir):
+    """What is said of each claim and violation, sorted, and the rule that fired."""
+    found = verdict.check(drafts(spark, sf_dir), "paper-full", actors=X.load(spark, sf_dir, VERDICT_ACTORS))
+    rule = F.col("fired_rule")
+    fired = F.when(rule.isNotNull(), F.concat(rule["unsupported"], F.lit("/"), rule["total"], F.lit(" "), F.format_number(rule["unsupported_fraction"], 4)))
+    return found.select("doc_id", F.array_join(F.array_sort("reasons"), "\n").alias("reasons"), fired.alias("fired"))
+
+
 @query()
 def verdict_verified(spark, sf_dir):
     """Verdicts with claims graded against the sources that they cite."""
@@ -570,7 +595,7 @@ HASH_SQL = "'sha256:' || sha256('{\"file_path\":\"' || file_path || '\",\"mode\"
 def hash_chain_verify(spark, sf_dir):
     """A chain in which some rows were changed after hashing and some links were cut."""
     rows = X.load(spark, sf_dir, CHAIN).withColumn("run_content_hash", ledger.content_hash())
-    linked = rows.withColumn("prev_run_hash", F.lag("run_content_hash").over(Window.orderBy("id")))
+    linked = ledger.previous(rows, "id", "run_content_hash").withColumnRenamed("_before", "prev_run_hash").drop("_first")
     spoilt = linked.withColumn("prev_run_hash", F.when(F.col("o_custkey") % 103 == 9, "cut").otherwise(F.col("prev_run_hash")))
     return ledger.chain_errors(spoilt.withColumn("total", F.when(F.col("o_custkey") % 101 == 7, F.col("total") + 1).otherwise(F.col("total"))))
 

@@ -71,7 +71,7 @@ PACK_SECTIONS = {
     "empirical_evidence": "evidence",
     "style_signal": "style",
     "instruction": "instructions",
-    "validation_rule": "acceptance",
+    "validation_rule": "banned",
     "user_feedback": "requirements",
     "review_finding": "requirements",
     "prior_artefact": "requirements",
@@ -80,14 +80,23 @@ PACK_SECTIONS = {
 }
 
 
-def writer_pack(classified: DataFrame, key: str) -> DataFrame:
-    """Per key the texts of admitted items by section, in the order of context_id, and the number of others."""
+def writer_pack(classified: DataFrame, key: str, acceptance: tuple[str, ...] = (), banned: tuple[str, ...] = ()) -> DataFrame:
+    """Per key the texts of admitted items by section, in the order of context_id, and the number of others.
+
+    ``brief`` has instructions and requirements together. Validation rules become banned expressions, after those that are
+    always banned; ``acceptance`` and ``banned`` add to what is always asked for and banned.
+    """
     section = F.create_map(*[F.lit(x) for pair in PACK_SECTIONS.items() for x in pair])[F.col("context_type")]
     rows = classified.withColumn("section", F.when(F.col("writer_admitted"), section))
     said = requirement(F.col("text"), F.col("allowed_transformation"), F.col("can_influence_output"))
     said = F.when(F.col("section") == "evidence", F.col("text")).when(F.col("context_type") == "instruction", F.trim("text")).otherwise(said)
-    texts = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("context_id", said.alias("text"))))), lambda x: x["text"]).alias(s)
-    return rows.groupBy(key).agg(texts("evidence"), texts("style"), texts("instructions"), F.count_if(~F.col("writer_admitted")).alias("excluded"))
+    texts = lambda *s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section").isin(*s), F.struct("context_id", said.alias("text"))))), lambda x: x["text"])
+    fixed = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return rows.groupBy(key).agg(
+        texts("evidence").alias("evidence"), texts("style").alias("style"), texts("instructions").alias("instructions"), texts("requirements").alias("requirements"),
+        texts("instructions", "requirements").alias("brief"), F.concat(fixed(R.BANNED_RESIDUE), texts("banned"), fixed(banned)).alias("banned"),
+        fixed((*R.ACCEPTANCE_TESTS, *acceptance)).alias("acceptance"), F.count_if(F.col("section").isNull()).alias("excluded"),
+    )
 
 
 def bill_summary(classified: DataFrame, claims: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +39,10 @@ ESCALATION_PATHS = (
 )
 
 
+#: Counts of a run, 0 where they aren't given.
+COUNTED = ("total", "supported", "tagged", "unsupported")
+
+
 class Ledger:
     """A folder with a Parquet table per name. Rows are only ever appended; there is no update or delete."""
 
@@ -51,13 +57,38 @@ class Ledger:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
 
+    def _numbered(self, rows: DataFrame, order: list[str] | None) -> DataFrame:
+        """Rows with a place ``_n`` from 1 in their order: sorted and written in ranges, whose sizes give the offsets."""
+        ranged = rows.orderBy(*order) if order else rows
+        path = f"{self.folder}/_staged/{uuid.uuid4().hex}"
+        ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+        staged = self.spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+        sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row per range
+        before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+        return staged.join(before, "_part").withColumn("_n", place).drop("_at", "_part", "_before")
+
     def append(self, name: str, rows: DataFrame, order: list[str] | None = None) -> None:
-        """Append rows; ids follow the largest there is, in the order of ``order``. Columns that are missing become null."""
+        """Append rows; ids follow the largest there is, in the order of ``order``. Columns that are missing become null.
+
+        One writer at a time: two that append at once would give the same ids.
+        """
         last = self.read(name).agg(F.max("id")).first()[0] or 0
         fields = [f for f in self.spark.createDataFrame([], SCHEMAS[name]).schema if f.name != "id"]
-        by = Window.orderBy(*(order or [F.monotonically_increasing_id()]))
-        filled = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-        filled.withColumn("id", F.row_number().over(by) + F.lit(last)).select("id", *[f.name for f in fields]).write.mode("append").parquet(f"{self.folder}/{name}")
+        filled = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], *[c for c in order or () if c not in SCHEMAS[name].split()])
+        numbered = self._numbered(filled, order).withColumn("id", F.col("_n") + F.lit(last))
+        numbered.select("id", *[f.name for f in fields]).write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def append_runs(self, rows: DataFrame, order: list[str]) -> None:
+        """K4: append runs, each linked to the one before it by that one's content hash, the first to the ledger's last run."""
+        last = self.read("runs").agg(F.max_by("run_content_hash", "id").alias("hash")).first()["hash"]
+        fields = {f.name: f.dataType for f in self.spark.createDataFrame([], SCHEMAS["runs"]).schema}
+        filled = rows.select(*[(F.col(c) if c in rows.columns else F.lit(0 if c in COUNTED else None)).cast(t).alias(c) for c, t in fields.items() if c not in ("id", "prev_run_hash", "run_content_hash")])
+        filled = filled.withColumn("mode", F.coalesce("mode", F.lit("default")))
+        numbered = self._numbered(filled.withColumn("run_content_hash", content_hash()), order).withColumnRenamed("_n", "_place")
+        linked = previous(numbered, "_place", "run_content_hash")
+        before = F.when(F.col("_first"), F.lit(last)).otherwise(F.col("_before"))
+        self.append("runs", linked.withColumn("prev_run_hash", before), ["_place"])
 
     def append_overrides(self, rows: DataFrame) -> None:
         """K6: overrides with every text filled in; unknown escalation paths are marked."""
@@ -152,15 +183,27 @@ def content_hash(**changed: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(canonical_json(F.struct(*[changed.get(c, F.col(c)).alias(c) for c in HASHED])), 256))
 
 
-def chain_errors(runs: DataFrame) -> DataFrame:
-    """Every break of the hash chain: id and kind.
+def previous(rows: DataFrame, place: str, value: str, span: int = 1 << 20) -> DataFrame:
+    """Rows with the value of the row before each in the order of ``place``, and whether a row is the first of all.
 
-    Only id and hashes are ordered in one place; a run's own hash is checked where the run is.
+    Rows are ordered within spans of places, each by itself; a row per span says what the next one begins after.
     """
+    spanned = rows.withColumn("_span", F.floor(F.col(place) / span))
+    within = Window.partitionBy("_span").orderBy(place)
+    seen = spanned.withColumns({"_lag": F.lag(value).over(within), "_nth": F.row_number().over(within)})
+    ends = spanned.groupBy("_span").agg(F.max_by(value, place).alias("_last"))
+    over = Window.orderBy("_span")
+    carried = ends.select("_span", F.lag("_last").over(over).alias("_carry"), (F.row_number().over(over) == 1).alias("_initial"))
+    joined = seen.join(carried, "_span")
+    begins = F.col("_nth") == 1
+    out = joined.withColumns({"_before": F.when(begins, F.col("_carry")).otherwise(F.col("_lag")), "_first": begins & F.col("_initial")})
+    return out.drop("_span", "_lag", "_nth", "_carry", "_initial")
+
+
+def chain_errors(runs: DataFrame) -> DataFrame:
+    """Every break of the hash chain: id and kind."""
     hashed = runs.select("id", "prev_run_hash", "run_content_hash", content_hash().alias("_again"))
-    before = F.lag("run_content_hash").over(Window.orderBy("id"))
-    first = F.row_number().over(Window.orderBy("id")) == 1
-    seen = hashed.withColumns({"_before": before, "_first": first})
+    seen = previous(hashed, "id", "run_content_hash")
     kinds = F.array_compact(F.array(
         F.when(F.col("_first") & F.col("prev_run_hash").isNotNull(), "first_has_predecessor"),
         F.when(~F.col("_first") & ~F.col("prev_run_hash").eqNullSafe(F.col("_before")), "broken_link"),

@@ -98,6 +98,11 @@ def formulaic(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("nth", nth).where("nth >= 2").select(key, "line", "rule", "nth")
 
 
+def in_order(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """T4: findings as reports list them, by document, line, rule and match."""
+    return found.orderBy(key, "line", "rule", "match")
+
+
 def contamination(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """prompt-like text, matches of at most 120 characters."""
     return findings(docs, R.CONTAMINATION, key, True, 120).drop("tag")

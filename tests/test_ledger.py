@@ -48,6 +48,31 @@ def test_hash_chain(spark):
     assert {(r["id"], r["kind"]) for r in ledger.chain_errors(bad).collect()} == {(3, "content_changed"), (1, "first_has_predecessor")}
 
 
+def test_chained_append(spark, tmp_path):
+    """Runs appended in batches form one chain, whose links and hashes plain Python agrees with."""
+    book = ledger.Ledger(spark, str(tmp_path / "chain"))
+    batch = lambda n, day: spark.createDataFrame([(f"2024-01-{day:02d}T00:00:{i:02d}Z", f"né{i}", i) for i in range(n)], "ts string, file_path string, total int").repartition(3)
+    for n, day in ((7, 1), (1, 2), (5, 3)):
+        book.append_runs(batch(n, day), ["ts"])
+    rows = book.read("runs").orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(1, 14)) and [r["ts"] for r in rows] == sorted(r["ts"] for r in rows)
+    before = None
+    for r in rows:
+        record = {k: r[k] for k in ("ts", "session_id", "source_event", "file_path", "mode", "total", "supported", "tagged", "unsupported")}
+        own = "sha256:" + hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert (r["run_content_hash"], r["prev_run_hash"], r["mode"], r["supported"]) == (own, before, "default", 0)
+        before = own
+    assert ledger.chain_errors(book.read("runs")).count() == 0
+    cut = book.read("runs").where("id <> 8")
+    assert [(r["id"], r["kind"]) for r in ledger.chain_errors(cut).collect()] == [(9, "broken_link")]
+
+
+def test_previous_across_spans(spark):
+    rows = spark.createDataFrame([(i * i, f"v{i}") for i in range(40)], "place long, v string")
+    got = {r["place"]: (r["_before"], r["_first"]) for r in ledger.previous(rows, "place", "v", span=50).collect()}
+    assert got == {i * i: (None if not i else f"v{i - 1}", i == 0) for i in range(40)}
+
+
 def py_root(leaves):
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
     while len(level) > 1:

@@ -95,6 +95,9 @@ def test_context_classes_and_pack(spark):
     assert {r["context_id"]: r["context_type"] for r in done.collect()} == {"a": "review_finding", "b": "private_reasoning", "c": "empirical_evidence", "d": "instruction", "e": "style_signal", "f": "synthesised_judgement"}
     packs = {r["run_id"]: r for r in context.writer_pack(done, "run_id").collect()}
     assert packs[1]["evidence"] == ["the report cites data"] and packs[1]["instructions"] == ["Goal: do"] and packs[1]["excluded"] == 2 and packs[2]["evidence"] == []
+    assert packs[1]["brief"] == ["Goal: do"] and packs[2]["brief"] == [] and packs[1]["banned"] == list(R.BANNED_RESIDUE) and packs[1]["acceptance"] == list(R.ACCEPTANCE_TESTS)
+    seen = {r["run_id"]: r for r in context.writer_pack(done.withColumn("writer_admitted", F.lit(True)), "run_id", banned=("x",)).collect()}  # where classes are shown to writers
+    assert len(seen[2]["requirements"]) == 1 and seen[2]["brief"] == seen[2]["requirements"] and len(seen[1]["brief"]) == 2 and seen[1]["banned"][-1] == "x" and seen[1]["excluded"] == 1
     over = spark.createDataFrame([("f", "o1", "operational_trace"), ("e", " ", "review_finding")], "context_id string, override_id string, target_class string")
     got = {r["context_id"]: (r["context_type"], r["override_error"]) for r in context.reclassify(done, over).collect()}
     assert got["f"] == ("operational_trace", None) and got["e"] == ("style_signal", "override id is empty") and got["d"] == ("instruction", None)

@@ -65,10 +65,26 @@ def proofs(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
     return walk.withColumnRenamed("entry", "idx")
 
 
-def proof_holds(data: Column, steps: Column, root: Column) -> Column:
-    """Whether the steps lead from the data to the root (hex)."""
+def sides(idx: Column, size: Column) -> Column:
+    """On which side the siblings of the entry at ``idx`` are, from the leaf up, in a tree of ``size`` entries."""
+
+    def side(level: Column) -> Column:
+        at, last = F.call_function("shiftright", idx, level), F.call_function("shiftright", size - 1, level)
+        return F.when((last > 0) & (at % 2 == 1), "left").when(at < last, "right")
+
+    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(62)), side))
+
+
+def proof_holds(data: Column, idx: Column, size: Column, steps: Column, root: Column) -> Column:
+    """Whether the steps lead from the data to the root (hex) of a tree of ``size`` entries, from the place ``idx``.
+
+    Which sibling is on which side follows from place and size; steps that say otherwise, or are more or fewer, don't hold,
+    so a proof can't be used for another place. Without one of the values nothing holds.
+    """
+    idx, size = idx.cast("long"), size.cast("long")
     end = F.aggregate(steps, leaf_hash(data), lambda h, s: F.when(s["side"] == "right", node_hash(h, s["hash"])).otherwise(node_hash(s["hash"], h)))
-    return F.lower(F.hex(end)) == root
+    placed = (idx >= 0) & (idx < size) & (F.transform(steps, lambda s: s["side"]) == sides(idx, size))
+    return F.coalesce(placed & (F.lower(F.hex(end)) == root), F.lit(False))
 
 
 def checkpoints(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:

@@ -39,6 +39,9 @@ ESCALATION_PATHS = (
 )
 
 
+# fixed value: the reason of a tombstone that gives none
+ELAPSED = "retention_window_elapsed"
+
 #: Counts of a run, 0 where they aren't given.
 COUNTED = ("total", "supported", "tagged", "unsupported")
 
@@ -95,6 +98,33 @@ class Ledger:
         path = F.coalesce("escalation_path_taken", F.lit("none recorded"))
         self.append("overrides", valid_overrides(rows).withColumn("escalation_path_taken", F.when(path.isin(list(ESCALATION_PATHS)), path).otherwise(F.concat(F.lit("custom:"), path))), ["ts", "run_id"])
 
+    def append_windows(self, rows: DataFrame) -> None:
+        """K7: set the retention windows of runs (ts, run_id, retention_window_days), null to keep a run; negative ones fail."""
+        days = F.col("retention_window_days")
+        kept = F.when(days < 0, F.raise_error(F.lit("a retention window is negative")).cast("int")).otherwise(days)
+        self.append("retention_windows", rows.withColumn("retention_window_days", kept), ["ts", "run_id"])
+
+    def append_tombstones(self, rows: DataFrame) -> None:
+        """K7: mark runs (ts, run_id, reason) as expired; window and end come from the run where the rows have none.
+
+        Without a reason it is that the window is over; an empty one fails. Nothing is deleted, and a run may have several.
+        """
+        has = lambda c, kind: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
+        reason = F.trim(F.coalesce(has("reason", "string"), F.lit(ELAPSED)))
+        given = rows.select(
+            "ts", F.col("run_id").cast("long").alias("run_id"), has("retention_window_days", "int").alias("_days"), has("expired_after", "string").alias("_after"),
+            F.when(reason == "", F.raise_error(F.lit("a tombstone has no reason")).cast("string")).otherwise(reason).alias("reason"),
+        )
+        own = effective_windows(self.read("runs"), self.read("retention_windows")).select(F.col("id").alias("run_id"), F.col("ts").alias("_ts"), "window_days")
+        filled = given.join(own, "run_id", "left").withColumn("retention_window_days", F.coalesce("_days", "window_days"))
+        after = F.coalesce(F.col("_after"), window_end(F.col("_ts"), F.col("retention_window_days")))
+        self.append("tombstones", filled.withColumn("expired_after", after), ["ts", "run_id"])
+
+
+def window_end(ts: Column, days: Column) -> Column:
+    """When a window of days that began at a time of ISO form is over, in that form."""
+    return F.date_format(F.timestamp_add("DAY", days, parse_timestamp(ts)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
 
 def valid_overrides(rows: DataFrame) -> DataFrame:
     """Override rows without an empty text."""
@@ -150,7 +180,7 @@ def expired_runs(runs: DataFrame, windows: DataFrame, tombstones: DataFrame, now
     """Runs without a tombstone whose window is over at ``now``, and since when."""
     live = effective_windows(runs, windows).join(tombstones.select(F.col("run_id").alias("id")).distinct(), "id", "left_anti")
     end = F.timestamp_add("DAY", F.col("window_days"), parse_timestamp(F.col("ts")))
-    return live.where(F.col("window_days").isNotNull()).withColumn("_end", end).where(now > F.col("_end")).select("id", "ts", "window_days", F.date_format("_end", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expired_after"))
+    return live.where(F.col("window_days").isNotNull()).withColumn("_end", end).where(now > F.col("_end")).select("id", "ts", "window_days", window_end(F.col("ts"), F.col("window_days")).alias("expired_after"))
 
 
 def overrides_by_run(overrides: DataFrame) -> DataFrame:

@@ -19,6 +19,16 @@ def documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = SUFF
     return files.where(~F.col("path").rlike(skipped)).dropDuplicates(["path"]).select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def display_path(path: Column, *folders: str) -> Column:
+    """S3: a file's path below the first of the folders that holds it (the working folder, then the one read), else in full."""
+    plain = F.regexp_replace(path, "^file:(//)?(?=/)", "")
+    below = []
+    for folder in folders:
+        head = folder.removeprefix("file://").rstrip("/") + "/"
+        below.append(F.when(F.startswith(plain, F.lit(head)), F.substr(plain, F.lit(len(head) + 1))))
+    return F.coalesce(*[F.nullif(b, F.lit("")) for b in below], plain)
+
+
 def latest_document(files: DataFrame) -> DataFrame:
     """The path that was modified last."""
     return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))

@@ -38,6 +38,27 @@ def test_retention(spark):
     assert got == {1: "2024-01-11T00:00:00Z", 3: "2024-01-02T00:00:00Z"}
 
 
+def test_windows_and_tombstones_of_a_ledger(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "kept"))
+    book.append_runs(spark.createDataFrame([("2024-01-01T00:00:00Z", 10), ("2024-01-02T00:00:00Z", 10), ("2024-01-03T00:00:00Z", None), ("bad", 1)], "ts string, retention_window_days int"), ["ts"])
+    book.append_windows(spark.createDataFrame([("t1", 1, 3), ("t2", 1, 5), ("t1", 2, None)], "ts string, run_id long, retention_window_days int"))
+    now = F.to_timestamp(F.lit("2024-03-01"))
+    expired = lambda: [r["id"] for r in ledger.expired_runs(*[book.read(t) for t in ("runs", "retention_windows", "tombstones")], now).collect()]
+    assert expired() == [1]
+    book.append_tombstones(spark.createDataFrame([("t3", 1, None, None), ("t3", 2, " asked for ", None), ("t3", 3, "x", 2), ("t3", 4, "x", None), ("t3", 9, "x", None), ("t4", 1, "again", None)], "ts string, run_id long, reason string, retention_window_days int"))
+    got = [(r["id"], r["run_id"], r["reason"], r["retention_window_days"], r["expired_after"]) for r in book.read("tombstones").orderBy("id").collect()]
+    assert got == [
+        (1, 1, "retention_window_elapsed", 5, "2024-01-06T00:00:00Z"), (2, 2, "asked for", None, None), (3, 3, "x", 2, "2024-01-05T00:00:00Z"),
+        (4, 4, "x", 1, None), (5, 9, "x", None, None), (6, 1, "again", 5, "2024-01-06T00:00:00Z"),
+    ]
+    assert expired() == []
+    with pytest.raises(Exception, match="negative"):
+        book.append_windows(spark.createDataFrame([("t", 1, -1)], "ts string, run_id long, retention_window_days int"))
+    with pytest.raises(Exception, match="no reason"):
+        book.append_tombstones(spark.createDataFrame([("t", 1, " ")], "ts string, run_id long, reason string"))
+    assert book.read("retention_windows").count() == 3 and book.read("tombstones").count() == 6
+
+
 def test_hash_chain(spark):
     base = spark.createDataFrame([(i, "f", "m", "s", "e", i, 0, i, "t", 0) for i in range(1, 5)], "id long, file_path string, mode string, session_id string, source_event string, supported int, tagged int, total int, ts string, unsupported int")
     rows = base.withColumn("run_content_hash", ledger.content_hash()).withColumn("prev_run_hash", F.lag("run_content_hash").over(Window.orderBy("id")))
@@ -85,10 +106,37 @@ def test_merkle(spark):
     rows = spark.createDataFrame([(n, i, bytearray(x)) for n, t in trees.items() for i, x in enumerate(t)], "key int, idx long, data binary")
     roots = {r["key"]: r["root"] for r in integrity.roots(rows, "key", 13).collect()}
     assert roots == {n: py_root(t) for n, t in trees.items()}
-    proven = integrity.proofs(rows, "key", 13).join(rows, ["key", "idx"]).join(integrity.roots(rows, "key", 13), "key")
-    holds = integrity.proof_holds(F.col("data"), F.col("steps"), F.col("root"))
-    assert proven.where(~holds).count() == 0 and proven.count() == 32
-    assert proven.where("key > 1").where(integrity.proof_holds(F.encode(F.lit("x"), "UTF-8"), F.col("steps"), F.col("root"))).count() == 0
+    proven = integrity.proofs(rows, "key", 13).join(rows, ["key", "idx"]).join(integrity.checkpoints(rows, "key", 13), "key")
+    cols = {c: F.col(c) for c in ("data", "idx", "size", "steps", "root")}
+    holds = lambda **other: integrity.proof_holds(**{**cols, **other})
+    assert proven.where(~holds()).count() == 0 and proven.count() == 32
+    assert proven.where(holds(data=F.encode(F.lit("x"), "UTF-8"))).count() == 0
+    # at every other place, in trees cut or grown so that the path changes, with a step too many or too few, or without one
+    places = proven.join(spark.range(16).withColumnRenamed("id", "other"))
+    assert places.where("other <> idx").where(holds(idx=F.col("other"))).count() == 0
+    assert proven.where(holds(idx=F.lit(-1))).count() == 0 and proven.where(holds(size=F.lit(0))).count() == 0
+    assert proven.where(holds(size=F.col("size") * 2)).count() == 0
+    step = F.array(F.struct(F.lit("right").alias("side"), F.unhex(F.lit("00")).alias("hash")))
+    assert proven.where(holds(steps=F.concat("steps", step))).count() == 0
+    assert proven.where("key > 1").where(holds(steps=F.slice("steps", 2, 9))).count() == 0
+    assert proven.where(holds(steps=F.lit(None).cast("array<struct<side:string,hash:binary>>"))).count() == 0
+
+
+def py_sides(idx, size):
+    out = []
+    while size > 1:
+        if idx % 2:
+            out.append("left")
+        elif idx + 1 < size:
+            out.append("right")
+        idx, size = idx // 2, (size + 1) // 2
+    return out
+
+
+def test_sides_of_proofs(spark):
+    rows = [(i, n) for n in (*range(1, 40), 2**40 + 3) for i in {0, n // 3, n // 2, n - 1}]
+    got = spark.createDataFrame(rows, "idx long, size long").select("idx", "size", integrity.sides(F.col("idx"), F.col("size")).alias("s")).collect()
+    assert [r["s"] for r in got] == [py_sides(r["idx"], r["size"]) for r in got] and len(got) == len(rows)
 
 
 def test_merkle_of_any_size(spark):
@@ -96,8 +144,8 @@ def test_merkle_of_any_size(spark):
     rows = spark.createDataFrame([(n, i, bytearray(x)) for n, t in trees.items() for i, x in enumerate(t)], "key int, idx long, data binary")
     assert sorted((r["key"], r["root"]) for r in integrity.roots(rows, "key").collect()) == [(n, py_root(t)) for n, t in trees.items()]
     assert sorted((r["key"], r["size"]) for r in integrity.checkpoints(rows, "key").collect()) == [(n, n) for n in trees]
-    proven = integrity.proofs(rows, "key").join(rows, ["key", "idx"]).join(integrity.roots(rows, "key"), "key")
-    holds = [r["holds"] for r in proven.select(integrity.proof_holds(F.col("data"), F.col("steps"), F.col("root")).alias("holds")).collect()]
+    proven = integrity.proofs(rows, "key").join(rows, ["key", "idx"]).join(integrity.checkpoints(rows, "key"), "key")
+    holds = [r["holds"] for r in proven.select(integrity.proof_holds(*[F.col(c) for c in ("data", "idx", "size", "steps", "root")]).alias("holds")).collect()]
     assert len(holds) == 1073 and all(holds)
     with pytest.raises(Exception, match="more than 32 entries"):
         integrity.roots(rows, "key", 32).collect()
@@ -143,6 +191,10 @@ def test_readers_and_sinks(spark, tmp_path):
     docs = readers.documents(spark, str(root))
     assert sorted(r["path"].rsplit("/")[-1] for r in docs.collect()) == ["a.md", "b.txt"]
     assert readers.latest_document(docs).count() == 1
+    shown = lambda *folders: sorted(r[0] for r in docs.select(readers.display_path(F.col("path"), *folders)).collect())
+    assert shown(str(tmp_path / "doc"), str(root)) == ["a.md", "b.txt"]
+    assert shown(f"file://{tmp_path}/", str(root)) == ["docs/a.md", "docs/b.txt"]
+    assert shown() == shown(str(root / "a.md" / "x")) == [f"{root}/a.md", f"{root}/b.txt"]
     (tmp_path / "items.json").write_text('[{"id":"x","text":"t"},{"text":"u","source_agent":"w"}]')
     assert [(r["context_id"], r["text"]) for r in readers.context_items(spark, str(tmp_path / "items.json")).collect()] == [("x", "t"), ("context_002", "u")]
     (tmp_path / "items.txt").write_text("one\n\n two \n")

@@ -93,9 +93,15 @@ def checkpoints(entries: DataFrame, key: str, most: int | None = None) -> DataFr
 
 
 def bundle_status(bundles: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Per bundle (key, prose, prose_sha256, root, signature) against recomputed roots; VALID only if all of it holds."""
+    """Per bundle (key, prose, prose_sha256, root, signature) against recomputed roots; VALID only if all of it holds.
+
+    A bundle may hold a bill of materials as text, too (cbom, cbom_sha256); both or neither.
+    """
     joined = bundles.join(recomputed.select(F.col("key"), F.col("root").alias("_root")), "key", "left")
-    prose_ok = F.coalesce(F.col("prose_sha256") == F.concat(F.lit("sha256:"), F.sha2("prose", 256)), F.lit(False))
+    sealed = lambda c: F.coalesce(F.col(f"{c}_sha256") == F.concat(F.lit("sha256:"), F.sha2(c, 256)), F.lit(False))
+    prose_ok = sealed("prose")
+    billed = "cbom" in bundles.columns
+    cbom_ok = sealed("cbom") | (F.col("cbom").isNull() & F.col("cbom_sha256").isNull()) if billed else F.lit(True)
     root_ok = F.coalesce(F.col("root") == F.col("_root"), F.lit(False))
-    status = F.when(F.col("prose_sha256").isNull() | F.col("root").isNull(), "MALFORMED").when(~prose_ok | ~root_ok, "INVALID").when(F.col("signature").isNull(), "UNSIGNED").otherwise("UNVERIFIED")
-    return joined.select("key", prose_ok.alias("prose_ok"), root_ok.alias("root_ok"), status.alias("status"))
+    status = F.when(F.col("prose_sha256").isNull() | F.col("root").isNull(), "MALFORMED").when(~prose_ok | ~root_ok | ~cbom_ok, "INVALID").when(F.col("signature").isNull(), "UNSIGNED").otherwise("UNVERIFIED")
+    return joined.select("key", prose_ok.alias("prose_ok"), root_ok.alias("root_ok"), *([cbom_ok.alias("cbom_ok")] if billed else []), status.alias("status"))

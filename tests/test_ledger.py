@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.operators import evaluate, integrity, ledger, monitor, review
+from claimloom.plans import conformance
 from claimloom.sources import readers, sinks
 from claimloom.streaming import watch
 
@@ -152,6 +153,21 @@ def test_merkle_of_any_size(spark):
     assert integrity.roots(rows.where("false"), "key").count() == 0
 
 
+def test_bundles_with_a_bill(spark):
+    seal = lambda text: "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    rows = [(i, "p", seal("p"), "r", None, *bill) for i, bill in enumerate((("b", seal("b")), ("x", seal("b")), (None, seal("b")), ("b", None), (None, None)))]
+    bundles = spark.createDataFrame(rows, "key int, prose string, prose_sha256 string, root string, signature string, cbom string, cbom_sha256 string")
+    points = spark.createDataFrame([(i, "r") for i in range(5)], "key int, root string")
+    got = {r["key"]: (r["cbom_ok"], r["status"]) for r in integrity.bundle_status(bundles, points).collect()}
+    assert got == {0: (True, "UNSIGNED"), 1: (False, "INVALID"), 2: (False, "INVALID"), 3: (False, "INVALID"), 4: (True, "UNSIGNED")}
+
+
+def test_self_checks(spark):
+    rows = conformance.run(spark).collect()
+    assert sorted(r["name"] for r in rows) == sorted(conformance.CHECKS)
+    assert {r["name"] for r in rows if r["status"] != "ENFORCED"} == set(conformance.NOT_BUILT)
+
+
 def test_review(spark):
     rows = [(1, "a", "t1", "d1", "P2", "l1", "k", False), (2, "b", "t2", "d2", "P0", "l2", "k", False), (3, "c", "t3", "d3", "odd", "l1", "", False), (4, "d", "t4", "d4", "P1", "l1", "k", True)]
     found = review.consolidate(spark.createDataFrame(rows, "seq long, finding_id string, title string, detail string, severity string, location string, issue_key string, deferred boolean"))

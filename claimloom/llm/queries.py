@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.tables import spread
-from claimloom.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, quality, sstable, token_counts, warc
+from claimloom.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, quality, repeats, sstable, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find(_table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_sstable": op1_sstable,
     "op2_warc": op2_warc,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 def _quality_sql() -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.tables import spread
-from claimloom.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, quality, repeats, sstable, token_counts, warc
+from claimloom.llm import chat, codes, exact_dedup, html_text, mixing, near_dedup, packing, quality, repeats, resampling, sstable, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,15 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.find(_table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return resampling.draw(rows, percent=5, least=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_sstable": op1_sstable,
     "op2_warc": op2_warc,
@@ -83,6 +92,8 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 def _quality_sql() -> str:

@@ -9,8 +9,9 @@ that comes before, or earlier in the same one. The first of all such strings sta
    are repeats as a whole. A run whose gram has other bytes around it elsewhere is kept for step 3; all other runs are done.
 3. The bytes of these runs are read from their texts. Runs of one gram meet in one group: its suffix order is built by
    prefix doubling, the previous and next smaller positions in that order and their common prefixes give each window's longest
-   previous factor, and those of at least ``length`` bytes are removed. A gram with more than ``LIMIT`` different runs has its
-   windows put into suffix order by a sort in ranges instead, where an earlier equal window is the row before.
+   previous factor, and those of at least ``length`` bytes are removed. The runs of a gram with more than ``LIMIT`` different ones
+   are cut by the distance of their windows from the gram. Windows of near distances have more than the gram in common, so the
+   pieces go through steps 2 and 3 with a longer gram each; at the last, a gram is a whole window.
 4. A document's removed spans are put together, and what is left is hashed.
 
 A run of bytes in a gram's group is told from another by 64 bits of hash besides those of its gram.
@@ -29,6 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,6 +45,8 @@ GRAM = 32
 LIMIT = 256
 #: Bytes of a text that are searched for anchors at once.
 PIECE = 1 << 20
+#: Pieces that a run of a frequent gram is cut into.
+WAYS = 4
 #: What a row is: a repeat, a run for step 3, a task's first row, its last row.
 REPEAT, OPEN, FIRST, LAST = range(4)
 
@@ -80,15 +84,21 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes (a power of two) from each place on, by doubling."""
+    x, size = _BYTES[data], 1
+    while size < gram:
+        x = _mixed(x[:-size] * _STEP + x[size:])
+        size *= 2
+    return x
+
+
 def runs_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor in neighbouring texts: text, first window's place, windows, gram hash, hash of the bytes."""
     gram, n = gram_bytes(length), len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 5
-    x, size = _BYTES[data], 1
-    while size < gram:
-        x = _mixed(x[:-size] * _STEP + x[size:])
-        size *= 2
+    x = gram_hashes(data, gram)
     least = window_least((x & ~_LOW) | np.arange(len(x), dtype=np.uint64), length - gram + 1)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     window = np.flatnonzero(text[:n] == text[length - 1 :])
@@ -105,7 +115,7 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes and the bounds of each."""
-    texts = pa.concat_arrays([texts.cast(pa.large_string())])
+    texts = pa.concat_arrays([texts.cast(pa.large_binary())])
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
     return np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held else np.zeros(0, np.uint8), bounds - bounds[0]
@@ -138,13 +148,13 @@ def _unlike(column: pa.Array) -> np.ndarray:
     return np.concatenate([[True], pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)])
 
 
-def sifted(rows: DataFrame, same: list[str], near: str | None) -> DataFrame:
-    """Rows in ranges of (``same``, doc, tie, start), written, with what each is (``kind``) and its task's number (``part``).
+def sifted(rows: DataFrame) -> DataFrame:
+    """Rows in ranges of (h, r, doc, tie, start), written, with what each is (``kind``) and its task's number (``part``).
 
-    A row that equals the row before in all of ``same`` is a repeat. One that doesn't is left out, unless it shares the column
-    ``near`` with a neighbour. What a task can't know of its first and last rows is left to ``_edges``.
+    A row that equals the row before in h and r is a repeat. One that doesn't is left out, unless it shares h with a neighbour.
+    What a task can't know of its first and last rows is left to ``_edges``.
     """
-    order = [*same, "doc", "tie", "start"]
+    order = ["h", "r", "doc", "tie", "start"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def sift(batches):
@@ -159,12 +169,11 @@ def sifted(rows: DataFrame, same: list[str], near: str | None) -> DataFrame:
                 continue
             table = pa.Table.from_batches([*([last] if last is not None else []), batch]).combine_chunks()
             skip = int(last is not None)
-            other = {k: _unlike(table.column(k).chunk(0))[skip:] for k in same}
-            begins = np.logical_or.reduce(list(other.values()))
-            at = np.flatnonzero(begins)
-            kind = np.where(begins, -1, REPEAT).astype(np.int32)
-            if near and len(at):
-                apart = other[near][at]
+            gram, run = (_unlike(table.column(k).chunk(0))[skip:] for k in ("h", "r"))
+            at = np.flatnonzero(gram | run)
+            kind = np.where(gram | run, -1, REPEAT).astype(np.int32)
+            if len(at):
+                apart = gram[at]
                 if open_ is not None and not apart[0]:
                     yield from told(open_, [OPEN])
                 open_ = None
@@ -187,13 +196,11 @@ def sifted(rows: DataFrame, same: list[str], near: str | None) -> DataFrame:
     return materialize(dealt.mapInArrow(sift, schema), "repeats-sifted")
 
 
-def _edges(rows: DataFrame, same: list[str]) -> DataFrame:
+def _edges(rows: DataFrame) -> DataFrame:
     """The sifted rows, the first of each task held against the last of the task before (two rows a task); kinds REPEAT and OPEN."""
     turn = Window.orderBy("part", "kind")  # two rows for each task, however many rows there are
-    equal = F.lit(True)
-    for k in same:
-        equal = equal & F.lag(k).over(turn).eqNullSafe(F.col(k))
-    edges = rows.where(F.col("kind") >= FIRST).withColumn("_again", equal).where(F.col("kind") == FIRST)
+    again = F.lag("h").over(turn).eqNullSafe(F.col("h")) & F.lag("r").over(turn).eqNullSafe(F.col("r"))
+    edges = rows.where(F.col("kind") >= FIRST).withColumn("_again", again).where(F.col("kind") == FIRST)
     edges = edges.withColumn("kind", F.when(F.col("_again"), F.lit(REPEAT)).otherwise(F.lit(OPEN))).drop("_again")
     return rows.where(F.col("kind") < FIRST).unionByName(edges)
 
@@ -217,36 +224,67 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
     return np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
 
 
-BODIES = "many boolean, h long, doc long, tie long, start int, n int, body binary"
+BODIES = "h long, doc long, tie long, start int, n int, many boolean, body binary"
 
 
 def bodies(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted runs (h, doc, tie, start, n, many), written; of runs with ``many`` a row per window."""
-    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n", "h", "many")).alias("runs"))
+    """The wanted runs (h, doc, tie, start, n, many) with their bytes (``body``), written."""
+    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "start", "n", "many")).alias("runs"))
     joined = packed(texts).select("doc", "tie", "blob").join(lists, ["doc", "tie"])
 
     def cut(batches):
         open_blob = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             bounds, runs = _lists(batch.column("runs"))
-            start, n, h, many = (runs.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "h", "many"))
+            start, n = (runs.field(k).to_numpy() for k in ("start", "n"))
             doc, tie = (batch.column(k).to_numpy() for k in ("doc", "tie"))
             for i, blob in enumerate(batch.column("blob")):
-                a, b = bounds[i], bounds[i + 1]
-                text, spread = open_blob(blob.as_py()), np.where(many[a:b], n[a:b], 1)
-                own = np.repeat(np.arange(a, b), spread)
-                within = np.arange(len(own)) - np.repeat(np.cumsum(spread) - spread, spread)
-                first, windows = start[own] + within.astype(np.int32), np.where(many[own], 1, n[own]).astype(np.int32)
-                for c in range(0, len(own), 16384):
-                    s = slice(c, c + 16384)
-                    found = [text[p : p + m + length - 1] for p, m in zip(first[s].tolist(), windows[s].tolist())]
-                    k = len(found)
-                    columns = [many[own[s]], h[own[s]], np.full(k, doc[i]), np.full(k, tie[i]), first[s], windows[s]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(found, pa.binary())], names=["many", "h", "doc", "tie", "start", "n", "body"])
+                text = open_blob(blob.as_py())
+                for a in range(bounds[i], bounds[i + 1], 16384):
+                    b = min(a + 16384, bounds[i + 1])
+                    body = [text[p : p + m + length - 1] for p, m in zip(start[a:b].tolist(), n[a:b].tolist())]
+                    h, first, windows, many = (runs.field(k).slice(a, b - a) for k in ("h", "start", "n", "many"))
+                    yield pa.RecordBatch.from_arrays([h, pa.array(np.full(b - a, doc[i])), pa.array(np.full(b - a, tie[i])), first, windows, many, pa.array(body, pa.binary())], names=["h", "doc", "tie", "start", "n", "many", "body"])
 
     return materialize(joined.mapInArrow(cut, BODIES), "repeats-bodies")
 
 
+PIECES = "h long, r long, doc long, tie long, start int, n int, body binary, low int, high int"
+
+
+def pieces(rows: DataFrame, length: int) -> DataFrame:
+    """Runs cut by their windows' distances from the gram, which lie from ``low`` to ``high``, into ``WAYS`` equal ranges.
+
+    All windows of a range hold the bytes from its least distance before the gram to ``length`` less its largest after it. The
+    hash of these stands for the gram from now on.
+    """
+    gram = gram_bytes(length)
+
+    def cut(batches):
+        for batch in batches:
+            data, bounds = _bytes_of(batch.column("body"))
+            if not batch.num_rows:
+                continue
+            hashes = gram_hashes(np.concatenate([data, np.zeros(gram, np.uint8)]), gram) & ~_LOW
+            before = hashes[bounds[:-1, None] + np.arange(length - gram + 1)].argmin(axis=1)  # the first window's distance
+            out = []
+            for doc, tie, start, n, low, high, body, far in zip(*(batch.column(k).to_pylist() for k in ("doc", "tie", "start", "n", "low", "high", "body")), before.tolist()):
+                step = -(-(high - low + 1) // WAYS)
+                for least in range(low, high + 1, step):
+                    most = min(high, least + step - 1)
+                    a, b = max(0, far - most), min(n - 1, far - least)
+                    if a <= b:
+                        piece = body[a : b + length]
+                        shared = piece[far - a - least : far - a + length - most]
+                        out.append((xxhash.xxh3_64_intdigest(shared, least), xxhash.xxh3_64_intdigest(piece, 11), doc, tie, start + a, b - a + 1, piece, least, most))
+            columns = list(zip(*out))
+            hashed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in columns[:2]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*hashed, *(pa.array(x, k) for x, k in zip(columns[2:], kinds))], names=["h", "r", "doc", "tie", "start", "n", "body", "low", "high"])
+
+    return rows.select("doc", "tie", "start", "n", "body", "low", "high").mapInArrow(cut, PIECES)
+
+
 def suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """All places of ``data`` (values under 512, fewer than 2 ** 21) in the order of their next 2 * ``length`` values, and the ranks by the first 4, 8, ... values."""
     n = len(data)
@@ -392,18 +430,26 @@ def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return every.dropDuplicates(["doc", "tie"]), every.select("doc_id", "doc", "tie")
 
 
+def _settled(marked: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of the runs that repeat others as a whole; and the runs to compare, with whether their gram has ``many``."""
+    spans = marked.where(F.col("kind") == REPEAT).select("doc", "tie", "start", (F.col("n") + length - 1).alias("size"))
+    unsure = marked.where(F.col("kind") == OPEN).drop("kind", "part", "r")
+    sizes = materialize(unsure.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", (F.col("m") > LIMIT).alias("many")), "repeats-grams")
+    return spans, unsure.join(sizes, "h")
+
+
 def repeated(rows: DataFrame, length: int) -> DataFrame:
     """Spans of bytes (doc, tie, start, size) that repeat earlier ones; they may overlap."""
-    runs = sifted(anchored(rows, length), ["h", "r"], near="h")
-    runs = _edges(runs, ["h", "r"])
-    copies = runs.where(F.col("kind") == REPEAT).select("doc", "tie", "start", (F.col("n") + length - 1).alias("size"))
-    unsure = runs.where(F.col("kind") == OPEN).select("h", "doc", "tie", "start", "n")
-    sizes = materialize(unsure.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", (F.col("m") > LIMIT).alias("many")), "repeats-grams")
-    found = bodies(rows, unsure.join(sizes, "h"), length)
-    factors = _factors(found.where("not many"), length)
-    windows = _edges(sifted(found.where("many").select("body", "doc", "tie", "start"), ["body"], near=None), ["body"])
-    windows = windows.where(F.col("kind") == REPEAT).select("doc", "tie", "start", F.lit(length).alias("size"))
-    return copies.unionByName(factors).unionByName(windows)
+    spans, unsure = _settled(_edges(sifted(anchored(rows, length))), length)
+    found = bodies(rows, unsure, length)
+    spans = spans.unionByName(_factors(found.where("not many"), length))
+    left = found.where("many").withColumns({"low": F.lit(0), "high": F.lit(length - gram_bytes(length))})
+    while not left.isEmpty():  # the ranges of distances come to one value in a few rounds
+        copies, unsure = _settled(_edges(sifted(pieces(left, length))), length)
+        found = materialize(unsure, "repeats-pieces")
+        spans = spans.unionByName(copies).unionByName(_factors(found.where("not many"), length))
+        left = found.where("many")
+    return spans
 
 
 FOUND = "doc_id long, doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept binary"

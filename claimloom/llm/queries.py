@@ -153,10 +153,54 @@ _NEAR_SQL = r"""
     select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id, d.doc_id = c as kept from d left join n on n.doc_id = d.doc_id join (select a, min(b) as c from reach group by a) on a = d.doc_id
 """
 
+#: Every string of 100 bytes, the spans of those that start earlier, and the gaps between them; bytes as two hex digits.
+_REPEATS_SQL = """
+    with d as materialized (select doc_id, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as hx from documents),
+    s as (select doc_id, unnest(range(0, greatest(n - 99, 0))) as i, hx from d),
+    w as (select doc_id, i, substr(hx, 2 * i + 1, 200) as g from s),
+    hit as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from w) where k > 1),
+    mark as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true) as fresh from hit),
+    island as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as k from mark),
+    span as (select doc_id, k, min(i) as a, max(i) + 100 as b from island group by doc_id, k),
+    gap as (
+        select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as p, a as q from span
+        union all select d.doc_id, coalesce(max(b), 0), max(n) from d left join span using (doc_id) group by d.doc_id
+    ), kept as (select doc_id, coalesce(string_agg(substr(hx, 2 * p + 1, 2 * (q - p)), '' order by p), '') as hx from gap join d using (doc_id) group by doc_id),
+    lost as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from span group by doc_id)
+    select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept.hx)) as kept_sha256
+    from d join kept on kept.doc_id = d.doc_id left join lost on lost.doc_id = d.doc_id
+"""
+
+
+def _codes_sql() -> str:
+    """Six rounds and a last assignment, all distances taken."""
+    near = """a{0} as (
+        select id, p, x, e, d from (
+            select v.id, v.p, x, e, d, row_number() over (partition by v.id, v.p order by d, e) as k
+            from (select v.id, v.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) as d from v join b{0} using (p)) as v
+        ) where k = 1)"""
+    mean = """s{0} as (select p, e, i, sum(x[i]) as s, count(*) as n from (select p, e, x, unnest(range(1, len(x) + 1)) as i from a{0}) group by p, e, i),
+        m{0} as (select p, e, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from s{0} group by p, e),
+        b{1} as (select b{0}.p, b{0}.e, coalesce(m{0}.c, b{0}.c) as c from b{0} left join m{0} on m{0}.p = b{0}.p and m{0}.e = b{0}.e)"""
+    rounds = ", ".join(f"{near.format(r)}, {mean.format(r, r + 1)}" for r in range(codes.ROUNDS))
+    return f"""
+        with kept as (
+            select vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::double)::bigint) as q, row_number() over (order by vec_id) as id from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        ), v as (select id, p, list_slice(q, p * len(q) // {codes.PARTS} + 1, (p + 1) * len(q) // {codes.PARTS}) as x from (select id, q, unnest(range(0, {codes.PARTS})) as p from kept)),
+        b0 as (select p, id - 1 as e, x as c from v where id <= {codes.ENTRIES}), {rounds}, {near.format(codes.ROUNDS)},
+        digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from b{codes.ROUNDS}),
+        coded as (select id, string_agg(lpad(to_hex(e), 2, '0'), '' order by p) as code, sum(d)::bigint as error from a{codes.ROUNDS} group by id)
+        select vec_id, lower(code) as code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join kept using (id) cross join digest
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_chat": _CHAT_SQL,
     "op7_quality": _quality_sql(),
     "op10_near_dedup": _NEAR_SQL,
+    "op11_suffix_dedup": _REPEATS_SQL,
+    "op13_vector_codes": _codes_sql(),
     "op9_exact_dedup": r"""
         with n as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from claimloom.functions import claims as C
 from claimloom.functions import rules as R
 from claimloom.functions.text import canonical_json, parse_timestamp
+from claimloom.operators.commits import CommitLog
 
 #: The tables of a ledger.
 SCHEMAS = {
@@ -46,65 +48,154 @@ ELAPSED = "retention_window_elapsed"
 COUNTED = ("total", "supported", "tagged", "unsupported")
 
 
+def fields_of(name: str) -> list[str]:
+    """A table's columns after its id."""
+    return [c.split()[0] for c in SCHEMAS[name].split(", ")][1:]
+
+
 class Ledger:
-    """A folder with a Parquet table per name. Rows are only ever appended; there is no update or delete."""
+    """A folder with a Parquet table per name and a log of commits. Rows are only ever appended.
+
+    A commit's rows are written first, with their places in the commit; its version in the log then says from which id they
+    count on, which hash the first run of it follows, and which runs its claims belong to. All that a reader sees is read through
+    the log: a commit's tables appear together, one that fails leaves nothing, and of two writers that meet the second
+    takes the ids after the first one's without writing its rows again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.log = CommitLog(spark, f"{self.folder}/_log")
 
-    def read(self, name: str) -> DataFrame:
-        """A table; one that was never written is empty."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        if not there:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
+    @staticmethod
+    def tables() -> list[str]:
+        """K3: the tables, all of which are append-only."""
+        return list(SCHEMAS)
 
-    def _numbered(self, rows: DataFrame, order: list[str] | None) -> DataFrame:
-        """Rows with a place ``_n`` from 1 in their order: sorted and written in ranges, whose sizes give the offsets."""
-        ranged = rows.orderBy(*order) if order else rows
-        path = f"{self.folder}/_staged/{uuid.uuid4().hex}"
-        ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
-        staged = self.spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
-        sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row per range
-        before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-        return staged.join(before, "_part").withColumn("_n", place).drop("_at", "_part", "_before")
+    def read(self, name: str, entries: list[dict] | None = None) -> DataFrame:
+        """A table as of the last commit (or of the given ones); one that was never written is empty."""
+        parts = [(e["tables"][name], e["version"]) for e in (self.log.entries() if entries is None else entries) if name in e["tables"]]
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        fields = [f for f in self.spark.createDataFrame([], SCHEMAS[name]).schema if f.name != "id"]
+        stored = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "_part int, _row long, commit string"])
+        rows = self.spark.read.schema(stored).option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/commit={t['commit']}" for t, _ in parts])
+        places = [(t["commit"], part, t["base"] + before, t.get("run_base", 0), bool(t.get("chained")) and before == 0, t.get("before")) for t, _ in parts for part, before in t["parts"]]
+        joined = rows.join(self.spark.createDataFrame(places, "commit string, _part int, _base long, _run_base long, _begins boolean, _hash string"), ["commit", "_part"])
+        out = joined.withColumn("id", F.col("_base") + F.col("_row") + 1)
+        if name == "claims":
+            out = out.withColumn("run_id", F.col("run_id") + F.col("_run_base"))
+        if name == "runs":
+            out = out.withColumn("prev_run_hash", F.when(F.col("_begins") & (F.col("_row") == 0), F.col("_hash")).otherwise(F.col("prev_run_hash")))
+        return out.select("id", *[f.name for f in fields])
+
+    def batches(self) -> DataFrame:
+        """The commits that came from streams: version, stream, batch, and what was noted of each (events, malformed, logged)."""
+        rows = [(e["version"], *e["stream"], {k: int(v) for k, v in e.get("notes", {}).items()}) for e in self.log.entries() if e.get("stream")]
+        return self.spark.createDataFrame(rows, "version long, stream string, batch long, notes map<string,long>")
+
+    def has_batch(self, stream: tuple[str, int] | None, entries: list[dict] | None = None) -> bool:
+        """Whether a stream's batch, or a later one, has been committed."""
+        found = self.log.entries() if entries is None else entries
+        return stream is not None and any(e.get("stream") and e["stream"][0] == stream[0] and e["stream"][1] >= stream[1] for e in found)
+
+    def commit(self, staged: dict[str, dict], stream: tuple[str, int] | None = None, notes: dict | None = None) -> int | None:
+        """Make staged rows part of the ledger: the version, or None if the stream's batch is there already."""
+        while True:
+            entries = self.log.entries()
+            if self.has_batch(stream, entries):
+                return None
+            tables = {}
+            for name, rows in staged.items():
+                before = [e["tables"][name] for e in entries if name in e["tables"]]
+                tables[name] = {**rows, "base": sum(t["count"] for t in before)}
+                if rows.get("chained"):
+                    tables[name]["before"] = next((t["last"] for t in reversed(before) if t["count"]), None)
+            if "runs" in tables and "claims" in tables:
+                tables["claims"]["run_base"] = tables["runs"]["base"]
+            version = len(entries) + 1
+            if self.log.put({"version": version, "tables": tables, "stream": list(stream) if stream else None, "notes": notes or {}}):
+                return version
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        at = F.monotonically_increasing_id()
+        return rows.withColumn("_at", at).withColumns({"_part": F.shiftright("_at", 33).cast("int"), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
+
+    def _sizes(self, path: str) -> list[tuple[int, int]]:
+        """Of a staged folder, each range's number and the rows before it (a row per range)."""
+        sizes = self.spark.read.parquet(path).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+        ends = list(accumulate((r["n"] for r in sizes), initial=0))
+        return [(r["_part"], before) for r, before in zip(sizes, ends)] + [(-1, ends[-1])]
+
+    def _stage(self, name: str, rows: DataFrame) -> dict:
+        """Write rows (in order, or with their places) for a commit to come."""
+        commit = uuid.uuid4().hex
+        path = f"{self.folder}/{name}/commit={commit}"
+        (rows if "_row" in rows.columns else self._placed(rows)).write.parquet(path)
+        *parts, (_, count) = self._sizes(path)
+        return {"commit": commit, "parts": parts, "count": count}
+
+    def _filled(self, name: str, rows: DataFrame, zero: tuple[str, ...] = ()) -> DataFrame:
+        """The table's columns, those that are missing null (or 0), and the others after them."""
+        fields = [f for f in self.spark.createDataFrame([], SCHEMAS[name]).schema if f.name != "id"]
+        more = [c for c in rows.columns if c not in {"id", *(f.name for f in fields)}]
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(0 if f.name in zero else None)).cast(f.dataType).alias(f.name) for f in fields], *more)
 
-    def append(self, name: str, rows: DataFrame, order: list[str] | None = None) -> None:
-        """Append rows; ids follow the largest there is, in the order of ``order``. Columns that are missing become null.
+    def _rows(self, name: str, rows: DataFrame, order: list[str] | None) -> DataFrame:
+        filled = self._filled(name, rows)
+        return (filled.orderBy(*order) if order else filled).select(*fields_of(name))
 
-        One writer at a time: two that append at once would give the same ids.
-        """
-        last = self.read(name).agg(F.max("id")).first()[0] or 0
-        fields = [f for f in self.spark.createDataFrame([], SCHEMAS[name]).schema if f.name != "id"]
-        filled = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], *[c for c in order or () if c not in SCHEMAS[name].split()])
-        numbered = self._numbered(filled, order).withColumn("id", F.col("_n") + F.lit(last))
-        numbered.select("id", *[f.name for f in fields]).write.mode("append").parquet(f"{self.folder}/{name}")
+    def append(self, name: str, rows: DataFrame, order: list[str] | None = None) -> int:
+        """K5: append rows in one commit; ids follow the largest there is, in the order of ``order``. Columns that are missing become null."""
+        return self.commit({name: self._stage(name, self._rows(name, rows, order))})
 
-    def append_runs(self, rows: DataFrame, order: list[str]) -> None:
+    def _chain(self, rows: DataFrame, order: list[str]) -> tuple[dict, DataFrame, str]:
+        """Staged runs, each with the hash of the one before it; the runs with their places (``_n``); and the folder that these are read from."""
+        filled = self._filled("runs", rows, COUNTED).withColumn("mode", F.coalesce("mode", F.lit("default"))).withColumn("run_content_hash", content_hash())
+        path = f"{self.folder}/_staged/{uuid.uuid4().hex}"
+        self._placed(filled.orderBy(*order)).write.parquet(path)
+        *parts, (_, count) = self._sizes(path)
+        before = self.spark.createDataFrame(parts, "_part int, _before long")
+        numbered = self.spark.read.parquet(path).join(before, "_part").withColumn("_n", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
+        linked = previous(numbered, "_n", "run_content_hash").withColumn("prev_run_hash", F.col("_before"))
+        staged = self._stage("runs", linked.select(*fields_of("runs"), F.lit(0).alias("_part"), (F.col("_n") - 1).alias("_row")))
+        last = numbered.agg(F.max_by("run_content_hash", "_n").alias("hash")).first()["hash"]
+        return {**staged, "chained": True, "last": last}, numbered, path
+
+    def drop_staged(self, path: str) -> None:
+        """Remove what was staged for a commit that is done."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def append_runs(self, rows: DataFrame, order: list[str]) -> int:
         """K4: append runs, each linked to the one before it by that one's content hash, the first to the ledger's last run."""
-        last = self.read("runs").agg(F.max_by("run_content_hash", "id").alias("hash")).first()["hash"]
-        fields = {f.name: f.dataType for f in self.spark.createDataFrame([], SCHEMAS["runs"]).schema}
-        filled = rows.select(*[(F.col(c) if c in rows.columns else F.lit(0 if c in COUNTED else None)).cast(t).alias(c) for c, t in fields.items() if c not in ("id", "prev_run_hash", "run_content_hash")])
-        filled = filled.withColumn("mode", F.coalesce("mode", F.lit("default")))
-        numbered = self._numbered(filled.withColumn("run_content_hash", content_hash()), order).withColumnRenamed("_n", "_place")
-        linked = previous(numbered, "_place", "run_content_hash")
-        before = F.when(F.col("_first"), F.lit(last)).otherwise(F.col("_before"))
-        self.append("runs", linked.withColumn("prev_run_hash", before), ["_place"])
-
-    def append_overrides(self, rows: DataFrame) -> None:
-        """K6: overrides with every text filled in; unknown escalation paths are marked."""
+        staged, _, path = self._chain(rows, order)
+        self.drop_staged(path)
+        return self.commit({"runs": staged})
+
+    def log_runs(self, runs: DataFrame, claims: DataFrame, key: str, order: list[str], stream: tuple[str, int] | None = None, notes: dict | None = None) -> int | None:
+        """K1: append runs and their claims, which name their run by ``key``, in one commit; a batch that is there already is left out."""
+        if self.has_batch(stream):
+            return None
+        staged, numbered, path = self._chain(runs, order)
+        own = numbered.select(key, F.col("_n").alias("run_id"), F.col("ts"), F.col("session_id"))
+        said = claims.drop("run_id", "ts", "session_id").join(own, key)
+        rows = self._stage("claims", self._rows("claims", said, ["run_id", *(c for c in ("pos",) if c in said.columns)]))
+        self.drop_staged(path)
+        return self.commit({"runs": staged, "claims": rows}, stream, notes)
+
+    def append_overrides(self, rows: DataFrame) -> int:
+        """K6: overrides with every text filled in, one with an empty text fails the commit; unknown escalation paths are marked."""
         path = F.coalesce("escalation_path_taken", F.lit("none recorded"))
-        self.append("overrides", valid_overrides(rows).withColumn("escalation_path_taken", F.when(path.isin(list(ESCALATION_PATHS)), path).otherwise(F.concat(F.lit("custom:"), path))), ["ts", "run_id"])
+        marked = checked_overrides(rows).withColumn("escalation_path_taken", F.when(path.isin(list(ESCALATION_PATHS)), path).otherwise(F.concat(F.lit("custom:"), path)))
+        return self.append("overrides", marked, ["ts", "run_id"])
 
-    def append_windows(self, rows: DataFrame) -> None:
+    def append_windows(self, rows: DataFrame) -> int:
         """K7: set the retention windows of runs (ts, run_id, retention_window_days), null to keep a run; negative ones fail."""
         days = F.col("retention_window_days")
         kept = F.when(days < 0, F.raise_error(F.lit("a retention window is negative")).cast("int")).otherwise(days)
-        self.append("retention_windows", rows.withColumn("retention_window_days", kept), ["ts", "run_id"])
+        return self.append("retention_windows", rows.withColumn("retention_window_days", kept), ["ts", "run_id"])
 
-    def append_tombstones(self, rows: DataFrame) -> None:
+    def append_tombstones(self, rows: DataFrame) -> int:
         """K7: mark runs (ts, run_id, reason) as expired; window and end come from the run where the rows have none.
 
         Without a reason it is that the window is over; an empty one fails. Nothing is deleted, and a run may have several.
@@ -118,7 +209,7 @@ class Ledger:
         own = effective_windows(self.read("runs"), self.read("retention_windows")).select(F.col("id").alias("run_id"), F.col("ts").alias("_ts"), "window_days")
         filled = given.join(own, "run_id", "left").withColumn("retention_window_days", F.coalesce("_days", "window_days"))
         after = F.coalesce(F.col("_after"), window_end(F.col("_ts"), F.col("retention_window_days")))
-        self.append("tombstones", filled.withColumn("expired_after", after), ["ts", "run_id"])
+        return self.append("tombstones", filled.withColumn("expired_after", after), ["ts", "run_id"])
 
 
 def window_end(ts: Column, days: Column) -> Column:
@@ -126,12 +217,12 @@ def window_end(ts: Column, days: Column) -> Column:
     return F.date_format(F.timestamp_add("DAY", days, parse_timestamp(ts)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def valid_overrides(rows: DataFrame) -> DataFrame:
-    """Override rows without an empty text."""
-    full = F.lit(True)
-    for c in ("run_id", "reviewer", "gate_id", "failure_class", "risk_accepted", "compensating_control"):
-        full = full & (F.trim(F.coalesce(c, F.lit(""))) != "")
-    return rows.where(full)
+def checked_overrides(rows: DataFrame) -> DataFrame:
+    """Override rows as they are; the first with an empty text raises an error that names the column."""
+    def filled(c: str) -> Column:
+        return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.raise_error(F.lit(f"an override's {c} is empty")).cast("string")).otherwise(F.col(c))
+
+    return rows.withColumns({c: filled(c) for c in ("run_id", "reviewer", "gate_id", "failure_class", "risk_accepted", "compensating_control")})
 
 
 def debt_totals(runs: DataFrame, claims: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from claimloom.functions.text import parse_timestamp
 from claimloom.operators import claims
@@ -36,3 +38,35 @@ def shadow_rates(spark: SparkSession, folder: str, late: str = "1 day", width: s
 def new_holds(holds: DataFrame, late: str = "1 day") -> DataFrame:
     """Hand-backs (run_id, hold_count, at) not seen before within the watermark."""
     return holds.withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "hold_count"])
+
+
+def handbacks(holds: DataFrame, forget: str = "7 days", late: str = "1 day") -> DataFrame:
+    """Of a stream of holds (run_id, hold_count, at) those to hand back, as ``operators.holds.handed_back`` has them of a table.
+
+    The state of a run is the count and time of its last hold. A timer drops it when the watermark has passed ``forget`` beyond
+    that time; a hold that comes later than that is handed back whether or not the timer has run. Within a batch holds
+    are taken in order of time; those older than the watermark are left out, and those older than the run's last are taken as they come.
+    """
+    span = pd.Timedelta(forget)
+
+    def each(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, when = state.get if state.exists else (None, None)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("at", kind="stable")
+        out = []
+        for at, held in zip(rows["at"], rows["hold_count"]):
+            now = at.value // 1000
+            if held > 0:
+                if held != count or now - when > span.value // 1000:
+                    out.append((key[0], int(held), at))
+                count, when = int(held), now
+        if count is not None:
+            state.update((count, when))
+            ends = (when + span.value // 1000) // 1000 + 1
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["run_id", "hold_count", "at"])
+
+    rows = holds.where("hold_count > 0").withWatermark("at", late).select(F.col("run_id").cast("string").alias("run_id"), F.col("hold_count").cast("long").alias("hold_count"), "at")
+    return rows.groupBy("run_id").applyInPandasWithState(each, "run_id string, hold_count long, at timestamp", "hold_count long, at long", "append", GroupStateTimeout.EventTimeTimeout)

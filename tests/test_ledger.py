@@ -24,7 +24,12 @@ def test_append_only_ledger_and_debt(spark, tmp_path):
     assert (row["runs"], row["claims"], row["supported"], row["tagged"], row["unsupported"], row["load_bearing_unsupported"], row["debt_per_1000"]) == (3, 4, 1, 1, 2, 1, 250.0)
     assert ledger.debt_trend(book.read("runs")).first()["direction"] == "up"
     assert ledger.debt_trend(book.read("tombstones").select("id", F.lit(1).alias("total"), F.lit(0).alias("unsupported"))).first()["direction"] == "flat"
-    book.append_overrides(spark.createDataFrame([("t", "r1", "ann", "g", "f", "risk", "ctl", "odd", True), ("t", "r1", " ", "g", "f", "risk", "ctl", None, False)], "ts string, run_id string, reviewer string, gate_id string, failure_class string, risk_accepted string, compensating_control string, escalation_path_taken string, single_actor boolean"))
+    said = "ts string, run_id string, reviewer string, gate_id string, failure_class string, risk_accepted string, compensating_control string, escalation_path_taken string, single_actor boolean"
+    good, bad = ("t", "r1", "ann", "g", "f", "risk", "ctl", "odd", True), ("t", "r1", " ", "g", "f", "risk", "ctl", None, False)
+    with pytest.raises(Exception, match="reviewer is empty"):
+        book.append_overrides(spark.createDataFrame([good, bad], said))
+    assert book.read("overrides").count() == 0
+    book.append_overrides(spark.createDataFrame([good], said))
     assert [r["escalation_path_taken"] for r in book.read("overrides").collect()] == ["custom:odd"]
     footer = ledger.override_footer(book.read("overrides")).first()["footer"]
     assert footer.startswith("\n## Overrides applied\n\nThe following") and footer.endswith("  - Recorded: t\n\n")

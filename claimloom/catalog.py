@@ -13,11 +13,12 @@ from claimloom.functions import claims as C
 from claimloom.functions import rules as R
 from claimloom.functions.tables import spread
 from claimloom.functions.text import density_score, fence_mask, html_to_text, lines, sentences
-from claimloom.operators import claims, context, evaluate, integrity, ledger, monitor, review, scan
+from claimloom.operators import claims, context, evaluate, holds, integrity, ledger, monitor, review, scan
 from claimloom.plans import conformance as probes
 from claimloom.plans import fixtures as X
 from claimloom.plans import verdict
 from claimloom.sources import readers, sinks
+from claimloom.streaming import events as hook_events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -764,7 +765,10 @@ def written_text(spark, sf_dir):
     return rows.select("event_id", readers.written_text(F.col("event")).alias("text"))
 
 
-@query(f"select id, '| ' || concat_ws(' | ', id, status, replace(claim_text, '|', '\\|'), '', coalesce(verdict, ''), printf('%.2f', {salience_sql('claim_text')})) || ' |' as line from ({rel(X.CLAIM_ROWS)}) c left join ({LATEST_SQL}) v on v.claim_id = c.id")
+@query(
+    f"select 2 as part, id, '| ' || concat_ws(' | ', id, status, '', printf('%.2f', {salience_sql('claim_text')}), coalesce(verdict, ''), '', replace(claim_text, '|', '\\|')) || ' |' as line from ({rel(X.CLAIM_ROWS)}) c left join ({LATEST_SQL}) v on v.claim_id = c.id"
+    " union all select 0, null, '| claim_id | status | trigger | salience | verdict | citation | claim_text |' union all select 1, null, '| --- | --- | --- | --- | --- | --- | --- |'"
+)
 def matrix_markdown(spark, sf_dir):
     rows = X.load(spark, sf_dir, X.CLAIM_ROWS).withColumn("trigger", F.lit(""))
     checks = X.load(spark, sf_dir, X.VERIFICATIONS).withColumns({"citation": F.lit(""), "grader": F.lit("")})
@@ -784,9 +788,50 @@ def density(spark, sf_dir):
 def hold_claims(spark, sf_dir):
     """of drafts on hold, the load-bearing claims without citation."""
     docs = drafts(spark, sf_dir)
-    held = _verdict(spark, sf_dir, "paper-full").where("verdict = 'HOLD'").select("doc_id")
-    rows = claims.pipeline_claims(docs).where("citation is null and load_bearing")
-    return rows.join(held, "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("holds"))
+    held = _verdict(spark, sf_dir, "paper-full").select("doc_id", "verdict")
+    return holds.hold_claims(claims.pipeline_claims(docs), held).groupBy("doc_id").agg(F.count(F.lit(1)).alias("holds"))
+
+
+@query(
+    PIPELINE_SQL + f", h as (select p.doc_id, count(*) as hold_count, list(printf('[salience=%.2f] ', salience) || sentence order by pos) as l from p where citation is null and salience >= 0.5 group by p.doc_id)"
+    " select doc_id, hold_count, 'CLAIMLOOM: ' || hold_count || ' unverified load-bearing claim(s) in run ' || doc_id || '.' || chr(10) || chr(10) || 'Please verify each claim below. For each one, either:' || chr(10)"
+    " || '  (a) Add a citation to the draft (URL or APA-style reference), OR' || chr(10) || '  (b) Provide a short verification rationale based on your own knowledge,' || chr(10) || '      explicitly flagging if you cannot verify it.' || chr(10) || chr(10)"
+    " || 'Unverified load-bearing claims:' || chr(10) || array_to_string(list_transform(l, lambda x, i: '  ' || i || '. ' || x), chr(10)) || chr(10) || chr(10)"
+    f" || 'After verifying, re-run `claimloom check` over the updated draft to confirm the HOLD has cleared.' as message from h join ({verdict_sql('paper-full')}) v using (doc_id) where v.verdict = 'HOLD'"
+)
+def handback_messages(spark, sf_dir):
+    """What the writers of drafts on hold read."""
+    held = _verdict(spark, sf_dir, "paper-full").select("doc_id", "verdict")
+    return holds.hold_messages(holds.hold_claims(claims.pipeline_claims(drafts(spark, sf_dir)), held))
+
+
+@query(
+    "with h as (select o_orderkey as id, o_custkey as run_id, o_orderkey % 3 as hold_count, o_orderdate::timestamp as held from orders where o_orderkey % 3 > 0),"
+    " b as (select *, lag(hold_count) over (partition by run_id order by held, id) as c, lag(held) over (partition by run_id order by held, id) as seen from h)"
+    " select id, run_id, hold_count from b where c is null or c <> hold_count or held > seen + interval 90 day"
+)
+def handbacks(spark, sf_dir):
+    """Orders as holds of their customers' runs: those that are handed back, quiet runs anew after 90 days."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("run_id"), (F.col("o_orderkey") % 3).alias("hold_count"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return holds.handed_back(rows, "90 days", ("at", "id")).select("id", "run_id", "hold_count")
+
+
+@query("select conv_id::varchar as session_id, 'Stop' as source_event, sha256(t) as text_sha256, false as malformed from (select conv_id, arg_max(coalesce(text, ''), (turn, coalesce(text, ''))) filter (role = 'assistant') as t from conversations group by conv_id) where t is not null")
+def hook_texts(spark, sf_dir):
+    """A stop event for each conversation, whose turns are the lines of its transcript: the texts that such events show."""
+    turns = table(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.coalesce("text", F.lit("")).alias("content")).alias("message")))
+    lines_ = turns.select(F.col("conv_id").cast("string").alias("path"), F.struct("turn", F.coalesce("text", F.lit(""))).alias("line"), line.alias("value"))
+    stops = turns.select("conv_id").distinct().select(F.to_json(F.struct(F.lit("Stop").alias("hook_event_name"), F.col("conv_id").cast("string").alias("session_id"), F.col("conv_id").cast("string").alias("transcript_path"))).alias("value"))
+    found = hook_events.read_events(stops, lines_).where("text is not null")
+    return found.select("session_id", "source_event", F.sha2("text", 256).alias("text_sha256"), "malformed")
+
+
+@query("select s_suppkey as id, case when s_suppkey % 4 = 0 then 'https://img.shields.io/badge/slop-free-brightgreen' else 'https://img.shields.io/badge/slop-' || printf('%.1f', 10.0::DOUBLE * (s_suppkey::DOUBLE / 3) / (s_suppkey::DOUBLE / 3 + 1)) || '%2F10-red' end as url from supplier")
+def badges(spark, sf_dir):
+    """Badges of suppliers with so many findings in three files."""
+    count = F.when(F.col("s_suppkey") % 4 == 0, F.lit(0)).otherwise(F.col("s_suppkey"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), sinks.badge_url("slop", "free", density_score(count.cast("double"), F.lit(3.0)), count).alias("url"))
 
 
 @query(f"with c as (select run_id, count(*) filter (status = 'unsupported') as unsupported, count(*) filter (verdict = 'contradicted') as contradicted from ({rel(X.CLAIM_ROWS)}) c left join ({LATEST_SQL}) v on v.claim_id = c.id group by run_id) select *, contradicted > 0 or unsupported > 0 as fails from c")
@@ -817,11 +862,12 @@ def capped_lists(spark, sf_dir):
 @query(
     PIPELINE_SQL + ", k as (select doc_id, count(*) filter (salience < 0.3) as low, greatest(0, count(*) filter (salience >= 0.3) - 2) as over, list(substr(sentence, 1, 80) order by pos) filter (salience < 0.3) as e from p group by doc_id)"
     " select doc_id, coalesce(nullif(concat_ws('; ', case when low > 0 then 'salience_min=0.30 (' || low || ' skipped)' end, case when over > 0 then 'max_verify_claims=2 (' || over || ' skipped)' end), ''), 'no_caps_applied') as reason,"
-    " low + over as count, coalesce(array_to_string(e[:3], ' / '), '') as examples from k"
+    f" low + over as count, coalesce(array_to_string(e[:3], ' / '), '') as examples from k union all select doc_id, 'no_claims_detected', 0, '' from ({rel(X.DRAFTS)}) where doc_id not in (select doc_id from k)"
 )
 def verifier_skipped(spark, sf_dir):
     """What the verifier's budget leaves out."""
-    found = claims.skipped_summary(claims.pipeline_claims(drafts(spark, sf_dir)), 0.3, 2)
+    docs = drafts(spark, sf_dir)
+    found = claims.skipped_summary(claims.pipeline_claims(docs), 0.3, 2, docs=docs)
     return found.withColumn("examples", F.array_join("examples", " / "))
 
 

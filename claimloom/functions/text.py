@@ -41,15 +41,10 @@ def fence_mask(found: Column) -> Column:
     lines count as inside, and a fence that isn't closed runs on to the end.
     """
     mark = lambda line: F.regexp_extract(line, r"^ {0,3}(```|~~~)", 1)
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        m = mark(line)
-        opened = F.when((acc["open"] == "") & (m != ""), m).when((acc["open"] != "") & (m == acc["open"]), F.lit("")).otherwise(acc["open"])
-        outside = (acc["open"] == "") & (m == "")
-        return F.struct(opened.alias("open"), F.concat(acc["out"], F.array(outside)).alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    letters = F.array_join(F.transform(found, lambda line: F.when(mark(line) == "```", "b").when(mark(line) == "~~~", "t").otherwise("-")), "")  # one for each line
+    blocks = F.regexp_extract_all(letters, F.lit("b[^b]*(?:b|$)|t[^t]*(?:t|$)|-+"), F.lit(0))
+    outside = F.array_join(F.transform(blocks, lambda x: F.repeat(F.when(F.startswith(x, F.lit("-")), "1").otherwise("0"), F.length(x))), "")
+    return F.transform(F.slice(F.split(outside, ""), F.lit(1), F.size(found)), lambda x: x == "1")
 
 
 def rounded(value: Column, digits: int) -> Column:
@@ -88,6 +83,10 @@ def canonical_json(struct: Column) -> Column:
         units = F.lower(F.hex(F.encode(c, "UTF-16BE")))  # one or two of four digits
         return F.when((F.octet_length(c) == 1) & (c != "\x7f"), c).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
+    low = text  # control characters come out of Spark with upper-case digits; a backslash of the text's own is doubled
+    for digit in "ABCDEF":
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    text = F.when(text.rlike(r"\\u00[01][A-F]"), low).otherwise(text)
     whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), escaped), "")
     return F.when(text.rlike(r"[^\x00-\x7e]"), whole).otherwise(text)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import claims as C
+from claimloom.functions.tables import join_left
 from claimloom.functions.text import sentences, truncate
 
 
@@ -60,8 +61,11 @@ def budgeted(claims: DataFrame, salience_min: float, max_claims: int, key: str =
     return ranked.where(F.col("rank") <= max_claims)
 
 
-def skipped_summary(claims: DataFrame, salience_min: float, max_claims: int, key: str = "doc_id") -> DataFrame:
-    """Per document how many claims ``budgeted`` leaves out, why, and the first three below the salience asked for."""
+def skipped_summary(claims: DataFrame, salience_min: float, max_claims: int, key: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
+    """Per document how many claims ``budgeted`` leaves out, why, and the first three below the salience asked for.
+
+    Documents (``docs``) without a claim get a row that says so.
+    """
     low = F.col("salience") < salience_min
     counts = claims.groupBy(key).agg(F.count_if(low).alias("_low"), F.count_if(~low).alias("_fit"), F.array_sort(F.collect_list(F.when(low, F.struct("pos", F.substring("sentence", 1, 80).alias("s"))))).alias("_e"))
     over = F.greatest(F.lit(0), F.col("_fit") - F.lit(max_claims)) if max_claims else F.lit(0)
@@ -69,7 +73,11 @@ def skipped_summary(claims: DataFrame, salience_min: float, max_claims: int, key
         "; ", F.when(F.col("_low") > 0, F.format_string(f"salience_min={salience_min:.2f} (%d skipped)", "_low")), F.when(over > 0, F.format_string(f"max_verify_claims={max_claims} (%d skipped)", over))
     )
     examples = F.transform(F.slice("_e", 1, 3), lambda x: x["s"])
-    return counts.select(key, F.when(reason == "", "no_caps_applied").otherwise(reason).alias("reason"), (F.col("_low") + over).cast("long").alias("count"), examples.alias("examples"))
+    found = counts.select(key, F.when(reason == "", "no_caps_applied").otherwise(reason).alias("reason"), (F.col("_low") + over).cast("long").alias("count"), examples.alias("examples"))
+    if docs is None:
+        return found
+    none = {"reason": F.lit("no_claims_detected"), "count": F.lit(0).cast("long"), "examples": F.array().cast("array<string>")}
+    return join_left(docs.select(key).distinct(), found, key).select(key, *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 
 
 def worst(rows: DataFrame, limit: int = 10) -> DataFrame:

@@ -37,13 +37,18 @@ def classify(items: DataFrame) -> DataFrame:
 
 
 def reclassify(classified: DataFrame, overrides: DataFrame) -> DataFrame:
-    """items with the class of a valid override (context_id, override_id, target_class), and what is wrong with others."""
+    """items with the class of a valid override (context_id, override_id, target_class), and what is wrong with others.
+
+    Of several overrides of one item the valid one of the largest id counts, or, if none is valid, the one of the largest id.
+    """
     targets = ("private_reasoning", "synthesised_judgement", "review_finding", "operational_trace")
-    named = overrides.select("context_id", F.col("override_id").alias("override_id"), "target_class")
-    problem = F.when(F.trim(F.coalesce("override_id", F.lit(""))) == "", "override id is empty").when(~F.col("target_class").isin(list(targets)), "target class is not allowed")
+    named = overrides.select("context_id", "override_id", "target_class")
+    problem = F.when(F.trim(F.coalesce("override_id", F.lit(""))) == "", "override id is empty").when(~F.coalesce(F.col("target_class").isin(list(targets)), F.lit(False)), "target class is not allowed")
+    each = F.struct(problem.isNull().alias("valid"), F.col("override_id"), F.col("target_class"))
+    named = named.groupBy("context_id").agg(F.max(each).alias("_o")).select("context_id", "_o.override_id", "_o.target_class", F.lit(True).alias("_said"))
     known = dimension(classified.sparkSession)
     base = classified.drop(*[c for c in known.columns if c != "context_type"])
-    joined = base.join(named, "context_id", "left").withColumn("override_error", F.when(F.col("target_class").isNotNull() | F.col("override_id").isNotNull(), problem))
+    joined = base.join(named, "context_id", "left").withColumn("override_error", F.when(F.col("_said"), problem)).drop("_said")
     kind = F.when(F.col("target_class").isNotNull() & F.col("override_error").isNull(), F.col("target_class")).otherwise(F.col("context_type"))
     return joined.withColumn("context_type", kind).join(F.broadcast(known), "context_type")
 
@@ -109,7 +114,7 @@ def bill_summary(classified: DataFrame, claims: DataFrame, key: str) -> DataFram
 
 def reference_errors(inputs: DataFrame, references: DataFrame) -> DataFrame:
     """References (owner, kind, context_id) to unknown inputs, or as support to inputs that aren't admitted."""
-    known = inputs.select("context_id", F.col("writer_admitted").alias("admitted"))
+    known = inputs.groupBy("context_id").agg(F.bool_or(F.coalesce("writer_admitted", F.lit(False))).alias("admitted"))  # an id may occur twice
     joined = references.join(known, "context_id", "left")
     error = F.when(F.col("admitted").isNull(), F.concat(F.lit("unknown_"), F.col("kind"))).when((F.col("kind") == "support") & ~F.col("admitted"), "blocked_support")
     return joined.withColumn("error", error).where("error is not null").select("owner", "kind", "context_id", "error")

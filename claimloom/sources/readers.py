@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import html_to_text
+from claimloom.functions.text import html_to_text, lines, strip
 
 # fixed values: suffixes that count as documents, folders that are passed over
 SUFFIXES = ("md", "rst", "txt")
@@ -35,13 +35,40 @@ def latest_document(files: DataFrame) -> DataFrame:
 
 
 def context_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a JSON array, of an object's ``items``, or of a text's lines, with ids by place where they have none."""
-    item = "struct<id:string,text:string,source:string,source_agent:string>"
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    array = F.when(F.startswith(F.col("v"), F.lit("[")), F.from_json("v", f"array<{item}>")).when(F.startswith(F.col("v"), F.lit("{")), F.from_json("v", f"struct<items:array<{item}>>")["items"])
-    plain = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(F.to_json(F.struct(F.trim(x).alias("text"))), item))
-    rows = raw.select(F.posexplode(F.coalesce(array, plain)).alias("pos", "i")).where("i is not null")
-    return rows.select(F.coalesce("i.id", F.format_string("context_%03d", F.col("pos") + 1)).alias("context_id"), F.coalesce("i.text", F.lit("")).alias("text"), "i.source", "i.source_agent")
+    """Items of a JSON array, of an object's ``items``, or of a text's lines, with ids by place where they have none.
+
+    An element that is no object is an item whose text it is. An object without ``items`` has none; JSON of any other form, and what
+    begins like JSON and is none, fail.
+    """
+    raw = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("v"))
+    whole = F.parse_json("v")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    listed = F.when(F.startswith(F.col("v"), F.lit("[")), whole).otherwise(F.variant_get(whole, "$.items", "variant"))
+    none = F.array().cast("array<variant>")
+    wrong = F.raise_error(F.lit("context JSON must be a list or an object with an items list")).cast("array<variant>")
+    there = F.when(listed.isNull(), none).when(F.startswith(kind(listed), F.lit("ARRAY")), F.variant_get(listed, "$", "array<variant>")).otherwise(wrong)
+    is_json = F.startswith(F.col("v"), F.lit("[")) | F.startswith(F.col("v"), F.lit("{"))
+
+    def given(v: Column, *names: str) -> Column:
+        """The first field that holds something."""
+        found = []
+        for name in names:
+            field = F.try_variant_get(v, f"$.{name}", "variant")
+            text = F.try_variant_get(v, f"$.{name}", "string")
+            empty = (text == "") | (kind(field) != "STRING") & text.isin("0", "0.0", "false")
+            found.append(F.when(~empty, text))
+        return F.coalesce(*found)
+
+    def item(v: Column) -> Column:
+        own = F.startswith(kind(v), F.lit("OBJECT"))
+        plain = F.when(kind(v) == "VOID", "None").when(kind(v) == "BOOLEAN", F.initcap(v.cast("string"))).when(kind(v) == "STRING", v.cast("string")).otherwise(F.to_json(v))
+        fields = {"context_id": given(v, "id", "context_id"), "text": given(v, "text", "raw_text"), "source": given(v, "source"), "source_agent": given(v, "source_agent")}
+        return F.struct(*[F.when(own, c).otherwise(plain if name == "text" else None).alias(name) for name, c in fields.items()])
+
+    text_lines = F.filter(F.transform(lines(F.col("v")), strip), lambda x: x != "")
+    line = lambda x: F.struct(F.lit(None).cast("string").alias("context_id"), x.alias("text"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("source_agent"))
+    rows = raw.where(is_json).select(F.posexplode(F.transform(there, item)).alias("pos", "i")).union(raw.where(~is_json).select(F.posexplode(F.transform(text_lines, line)).alias("pos", "i")))
+    return rows.select(F.coalesce("i.context_id", F.format_string("context_%03d", F.col("pos") + 1)).alias("context_id"), F.coalesce("i.text", F.lit("")).alias("text"), "i.source", "i.source_agent")
 
 
 def string_map(text: Column) -> Column:

@@ -220,6 +220,21 @@ def test_readers_and_sinks(spark, tmp_path):
     assert [(r["context_id"], r["text"]) for r in readers.context_items(spark, str(tmp_path / "items.json")).collect()] == [("x", "t"), ("context_002", "u")]
     (tmp_path / "items.txt").write_text("one\n\n two \n")
     assert [r["text"] for r in readers.context_items(spark, str(tmp_path / "items.txt")).collect()] == ["one", "two"]
+    items = lambda text: (tmp_path / "more.json").write_text(text) and [(r["context_id"], r["text"], r["source_agent"]) for r in readers.context_items(spark, str(tmp_path / "more.json")).collect()]
+    assert items(' [5, {"context_id": "a", "raw_text": "r", "source_agent": "w"}, "s", null, true, {"id": "", "text": ""}, {"id": 7}, [1]]\n') == [
+        ("context_001", "5", None), ("a", "r", "w"), ("context_003", "s", None), ("context_004", "None", None), ("context_005", "True", None), ("context_006", "", None), ("7", "", None), ("context_008", "[1]", None),
+    ]
+    assert items('{"items": [{"id": "i", "text": "x"}]}') == [("i", "x", None)] and items('{"other": 1}') == [] and items("[]") == []
+    for bad in ('{"items": 5}', "[1, "):
+        with pytest.raises(Exception):
+            items(bad)
+    matrix = spark.createDataFrame([(2, "tagged", None, "0.50", None, None, "a|b"), (1, "supported", "year", "0.10", "supported", "u", "c")], "id long, status string, trigger string, salience string, verdict string, citation string, claim_text string")
+    table = lambda m: [r["line"] for r in sinks.matrix_markdown(m).orderBy("part", "id").collect()]
+    head = ["| claim_id | status | trigger | salience | verdict | citation | claim_text |", "| --- | --- | --- | --- | --- | --- | --- |"]
+    assert table(matrix) == [*head, "| 1 | supported | year | 0.10 | supported | u | c |", "| 2 | tagged |  | 0.50 |  |  | a\\|b |"]
+    assert table(matrix.where("false")) == [*head, "| no claims recorded |  |  |  |  |  |  |"]
+    badge = lambda n, s: spark.range(1).select(sinks.badge_url("tells", "clean", F.lit(s), F.lit(n))).first()[0]
+    assert (badge(0, 0.0), badge(2, 4.04)) == ("https://img.shields.io/badge/tells-clean-brightgreen", "https://img.shields.io/badge/tells-4.0%2F10-red")
     metrics = spark.createDataFrame([(1, None)], "b int, a string")
     assert json.loads(sinks.metrics_json(metrics).first()["json"]) == {"a": None, "b": 1}
 

@@ -1,6 +1,8 @@
 """Line scans, fences, tells, sensitivity, context and verdicts."""
 
+import json
 import random
+import time
 from functools import reduce
 
 import pytest
@@ -99,6 +101,9 @@ def test_context_classes_and_pack(spark):
     seen = {r["run_id"]: r for r in context.writer_pack(done.withColumn("writer_admitted", F.lit(True)), "run_id", banned=("x",)).collect()}  # where classes are shown to writers
     assert len(seen[2]["requirements"]) == 1 and seen[2]["brief"] == seen[2]["requirements"] and len(seen[1]["brief"]) == 2 and seen[1]["banned"][-1] == "x" and seen[1]["excluded"] == 1
     over = spark.createDataFrame([("f", "o1", "operational_trace"), ("e", " ", "review_finding")], "context_id string, override_id string, target_class string")
+    twice = over.union(spark.createDataFrame([("f", " ", "operational_trace"), ("f", "o0", "review_finding"), ("e", "z", "instruction")], over.schema))
+    again = context.reclassify(done, twice)
+    assert again.count() == done.count() and {r["context_id"]: (r["context_type"], r["override_error"]) for r in again.where("override_id is not null").collect()} == {"f": ("operational_trace", None), "e": ("style_signal", "target class is not allowed")}
     got = {r["context_id"]: (r["context_type"], r["override_error"]) for r in context.reclassify(done, over).collect()}
     assert got["f"] == ("operational_trace", None) and got["e"] == ("style_signal", "override id is empty") and got["d"] == ("instruction", None)
 
@@ -138,3 +143,13 @@ def test_the_combined_pattern_finds_what_each_rule_finds(spark):
         each = reduce(lambda a, b: a | b, [C.matches(F.col("x"), r) for r in rules])
         assert texts.where(each != C.any_of(F.col("x"), rules)).count() == 0
     assert C.alternatives(r"\ba|b(c|d)[|)]\||e") == [r"\ba", r"b(c|d)[|)]\|", "e"]
+
+
+def test_canonical_json_and_long_fences(spark):
+    texts = ["\x0b\x1f\x0e\x01\x7f é", "\\u000B \\\\u001F", "a\\\x0bb\x0c\n\t\b", "\x0b\x0b", '"\x1a"', "plain"]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select("a", T.canonical_json(F.struct("a")).alias("j")).collect()
+    assert [r["j"] for r in rows] == [json.dumps({"a": r["a"]}, separators=(",", ":")) for r in rows]
+    long = ("x\n```\ny\n~~~\n```\n" * 40_000) + "~~~\nend"
+    began = time.time()
+    got = spark.createDataFrame([(long,)], "text string").select(T.fence_mask(T.lines(F.col("text"))).alias("m")).first()["m"]
+    assert got == [True, False, False, False, False] * 40_000 + [False, False] and time.time() - began < 60

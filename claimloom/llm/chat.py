@@ -153,7 +153,10 @@ def format_turns(turns: DataFrame, vocabulary: str, scored: str = "assistant", s
         if rows:
             yield batch_of(rows)
 
-    return materialize(clean.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(build, SEGMENTS), "chat-segments")
+    # what the bounds of ranges are made of is short, and in the order of the whole keys
+    head = F.when(F.length("role") < 32, F.substring("text", 1, 32)).otherwise("")
+    ranged = clean.repartitionByRange("conv_id", "turn", F.substring("role", 1, 32), head)
+    return materialize(ranged.sortWithinPartitions(*keys).mapInArrow(build, SEGMENTS), "chat-segments")
 
 
 def read_segment(ids: np.ndarray, mask: np.ndarray, spelled: list[bytes]) -> tuple[str, list[tuple[str, str]], list[str]]:

@@ -13,7 +13,7 @@ Of svg, the text elements and foreign objects are shown, of math all but annotat
 matrices apart by spaces. Text that svg draws only by ``use`` isn't.
 
 Defined results: null or empty html gives empty text; rows are read each by itself; elements may be
-nested to any depth; an empty table gives an empty result; columns of the input stay, and the text
+nested to any depth, of which lines show at most ``INDENT`` spaces; an empty table gives an empty result; columns of the input stay, and the text
 goes to a column whose name is made distinct from theirs.
 """
 
@@ -29,6 +29,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from claimloom.llm.shared import fresh, slices
 
+#: Spaces before a line that nesting makes, at most; all text is shown at any depth.
+INDENT = 600
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("title textarea".split())
@@ -260,15 +263,15 @@ class Page:
         self.space = False
         self.gap = max(self.gap, gap)
 
-    def insert(self, lines: list[str]) -> None:
+    def insert(self, lines: list[str | Block]) -> None:
         if lines:
             self.apart(1)
             self._break()
             self.lines += lines
 
-    def done(self) -> list[str]:
+    def done(self) -> list[str | Block]:
         self.apart(1)
-        lines = [x.rstrip(" ") for x in self.lines]
+        lines = [x.rstrip(" ") if isinstance(x, str) else x for x in self.lines]
         while lines and not lines[-1]:
             lines.pop()
         while lines and not lines[0]:
@@ -276,6 +279,35 @@ class Page:
         return lines
 
 
+class Block:
+    """Lines that stand behind a mark, or so many spaces from the second on. There is a first line, and it isn't blank."""
+
+    def __init__(self, mark: str, lines: list):
+        self.mark, self.lines = mark, lines
+
+
+def flat(lines: list[str | Block]) -> list[str]:
+    """Lines as they are shown; each is put together once, however deep it lies."""
+    out, marks, within = [], [], [(iter(lines), 0)]
+    while within:
+        rest, indent = within[-1]
+        line = next(rest, None)
+        if line is None:
+            within.pop()
+        elif isinstance(line, Block):
+            marks = marks or [" " * min(indent, INDENT)]
+            marks.append(line.mark)
+            within.append((iter(line.lines), indent + len(line.mark)))
+        elif marks:
+            out.append(("".join(marks) + line).rstrip(" "))
+            if len(out[-1]) > INDENT and out[-1][:INDENT].isspace():
+                out[-1] = " " * INDENT + out[-1].lstrip(" ")
+            marks = []
+        else:
+            out.append(" " * (0 if len(line) > INDENT and line[:INDENT].isspace() else min(indent, INDENT)) + line if line else "")
+    return out
+
+
 def _run(task):
     """The result of a generator that yields the generators it waits for; they are kept in a list, so depth has no limit."""
     waiting, value = [task], None
@@ -332,12 +364,12 @@ def _walk(node: Node, page: Page, pre: bool, shown: bool, mode: str = ""):
                 mark, number = f"{number}. ", number + 1
             lines = yield _inside(child, seen)
             if seen or lines:
-                first = mark if seen else " " * len(mark)
-                page.insert([first + (lines[0] if lines else "")] + [" " * len(mark) + x if x else "" for x in lines[1:]])
+                page.insert([Block(mark if seen else " " * len(mark), lines or [""])])
             page.apart(1)
         elif tag in ("dd", "blockquote"):
             page.apart(1 if tag == "dd" else 2)
-            page.insert(["  " + x if x else "" for x in (yield _inside(child, seen))])
+            lines = yield _inside(child, seen)
+            page.insert([Block("  ", lines)] if lines else [])
             page.apart(1 if tag == "dd" else 2)
         elif tag == "table":
             page.apart(2)
@@ -409,7 +441,7 @@ def _table(node: Node, shown: bool):
             while taken.get(column, 0) > 0:
                 column += 1
             width, height = _span(cell, "colspan"), _span(cell, "rowspan")
-            placed.append((column, width, (yield _inside(cell, seen))))
+            placed.append((column, width, flat((yield _inside(cell, seen)))))
             for c in range(column, column + width):
                 taken[c] = height
             column += width
@@ -439,7 +471,7 @@ def _table(node: Node, shown: bool):
 
 def render(source: str) -> str:
     """The visible text of a page."""
-    return "\n".join(_run(_inside(build(source), True)))
+    return "\n".join(flat(_run(_inside(build(source), True))))
 
 
 def extract(pages: DataFrame, column: str = "html") -> tuple[DataFrame, str]:

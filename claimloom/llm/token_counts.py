@@ -150,6 +150,10 @@ def pretoken_starts(kinds: np.ndarray) -> np.ndarray:
     return starts
 
 
+#: Bytes of a pre-token whose count is remembered, at most.
+LONGEST = 256
+
+
 class Transducer:
     """Counts the tokens of pre-tokens (bytes) of a vocabulary file."""
 
@@ -206,22 +210,29 @@ class Transducer:
         cut = 0
         while cut < len(read) and read[cut:] not in self.prefixes:
             cut += 1
-        key = (read[cut:], places[cut:])
+        to = self._state((read[cut:], places[cut:]))
+        self.next[state][byte] = to, change
+        return to, change
+
+    def _state(self, key: tuple) -> int:
         if (to := self.ids.get(key)) is None:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
             self.next.append({})
-        self.next[state][byte] = to, change
-        return to, change
+        return to
 
     def count(self, piece: bytes) -> int:
-        if len(self.states) > self.most_states:
-            self._clear()
         state = total = 0
         edges = self.next
         for byte in piece:
             edge = edges[state].get(byte)
-            state, change = edge if edge is not None else self._transition(state, byte)
+            if edge is None:
+                if len(self.states) >= self.most_states:  # go on from the present state, whatever of the piece is read
+                    now = self.states[state]
+                    self._clear()
+                    state, edges = self._state(now), self.next
+                edge = self._transition(state, byte)
+            state, change = edge
             total += change
         return total
 
@@ -254,11 +265,14 @@ class Transducer:
         names = coded.dictionary.to_pylist()
         if len(self.known) > self.most_known:
             self.known = {}
-        known = self.known
-        for name in names:
-            if name not in known:
-                known[name] = self.count(name)
-        each = np.fromiter((known[x] for x in names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+        known, counted = self.known, np.zeros(len(names), np.int64)
+        for i, name in enumerate(names):
+            if (n := known.get(name)) is None:
+                n = self.count(name)
+                if len(name) <= LONGEST:
+                    known[name] = n
+            counted[i] = n
+        each = counted[coded.indices.to_numpy(zero_copy_only=False)]
         part = np.searchsorted(ends, starts)
         each[starts == ends[part]] = 0  # the ends themselves
         before = emitted_before(each)

@@ -523,3 +523,13 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     assert set(seen["source_mix"]) == set(seen["near_dedup"])
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted({r["doc_id"] for r in packed.collect()}) == seen["near_dedup"]
+
+
+def test_deep_indents_are_linear():
+    import time
+
+    for open_, words in (("<blockquote>x", 4000), ("<ul><li>x", 4000), ("<dl><dd>x", 4000), ("<blockquote><table><tr><td>x", 400)):
+        began = time.time()
+        text = html_text.render(open_ * words)
+        assert text.split().count("x") == words and len(text) < words * (2 * html_text.INDENT + 40) and time.time() - began < 20, open_
+    assert html_text.render("<ul><li>a<ul><li>b<li>c</ul><li><blockquote>d<p>e</blockquote></ul>") == "- a\n  - b\n  - c\n-   d\n\n    e"

@@ -272,3 +272,15 @@ def test_chat_escapes(role, text):
     rendered, _, _ = chat.render([(role, text), ("assistant", text)])
     data = rendered.encode()
     assert [(r, chat.unescape(data[a:b].decode())) for r, a, b in chat.parse(data)] == [(role, text), ("assistant", text)]
+
+
+def test_a_long_run_of_letters_keeps_memory():
+    """States are dropped within a pre-token, too, and the count stays the library's."""
+    import random
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    machine = token_counts.Transducer(path, most_states=5_000)
+    assert machine.counts([text])[0] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    assert len(machine.states) <= 5_001 and not any(len(x) > token_counts.LONGEST for x in machine.known)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_artefacts(runs: DataFrame, path: str) -> None:
-    """One JSON object per run, appended."""
+    """One JSON object per run, appended; ``sources.files`` writes a folder per run."""
     runs.write.mode("append").json(path)
 
 

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import canonical_json
+
+#: Levels of a tree that are folded at once, inside one task.
+DEPTH = 10
+#: fixed values: the root of a tree without entries, and how trees are made
+EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
+ALGORITHM = "sha256-merkle-rfc6962-domainsep"
+
 
 def leaf_hash(data: Column) -> Column:
     """SHA-256 of a zero byte and the data."""
@@ -26,43 +37,93 @@ def leaves(entries: DataFrame, key: str) -> DataFrame:
     return entries.select(key, F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("data")).alias("hash"))
 
 
-def parents(level: DataFrame, key: str) -> DataFrame:
+def _above(nodes: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """The level above; a last child without a sibling moves up as it is."""
-    pair = level.groupBy(key, F.expr("idx div 2").alias("idx")).agg(F.min_by("hash", "idx").alias("l"), F.max_by("hash", "idx").alias("r"), F.count(F.lit(1)).alias("n"))
-    return pair.select(key, "idx", F.when(F.col("n") == 1, F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("hash"))
+    out: list[tuple[int, bytes]] = []
+    for at, own in nodes:
+        if out and out[-1][0] == at >> 1:
+            out[-1] = at >> 1, hashlib.sha256(b"\1" + out[-1][1] + own).digest()
+        else:
+            out.append((at >> 1, own))
+    return out
+
+
+def _ways(nodes: list[tuple[int, bytes]], depth: int) -> tuple[bytes, list[list[tuple[str, bytes]]]]:
+    """The node ``depth`` levels above a span's nodes, and for each of these the siblings on its way up."""
+    level, ways = nodes, [[] for _ in nodes]
+    for up in range(depth):
+        known = dict(level)
+        for (first, _), way in zip(nodes, ways):
+            at = first >> up
+            beside = known.get(at ^ 1)
+            if beside is not None:
+                way.append(("left" if at & 1 else "right", beside))
+        level = _above(level)
+    return level[0][1], ways
 
 
-def levels(entries: DataFrame, key: str, most: int | None = None) -> list[DataFrame]:
-    """All levels up to the root of the largest tree; once a tree is one node, it stays that node.
+def folded(level: DataFrame, key: str, ways: bool = False) -> DataFrame:
+    """Spans of 2 ** ``DEPTH`` nodes (key, idx, hash) as one node each, ``DEPTH`` levels above: key, idx, hash.
+
+    With ``ways`` also ``nodes``: each of the span's places with the siblings on its way up.
+    """
+    spans = level.groupBy(key, F.shiftright("idx", DEPTH).alias("span")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("nodes"))
+    step = pa.struct([("side", pa.string()), ("hash", pa.binary())])
+    kind = pa.list_(pa.struct([("idx", pa.int64()), ("steps", pa.list_(step))]))
+
+    def fold(batches):
+        for batch in batches:
+            tops, every = [], []
+            for nodes in batch.column("nodes"):
+                pairs = [(n["idx"].as_py(), n["hash"].as_py()) for n in nodes]
+                if ways:
+                    top, found = _ways(pairs, DEPTH)
+                    every.append([{"idx": at, "steps": [{"side": s, "hash": h} for s, h in way]} for (at, _), way in zip(pairs, found)])
+                else:
+                    for _ in range(DEPTH):
+                        pairs = _above(pairs)
+                    top = pairs[0][1]
+                tops.append(top)
+            more = [pa.array(every, kind)] if ways else []
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("span"), pa.array(tops, pa.binary()), *more], names=[key, "idx", "hash", *(["nodes"] if ways else [])])
+
+    schema = f"`{key}` {dict(level.dtypes)[key]}, idx long, hash binary" + (", nodes array<struct<idx:long,steps:array<struct<side:string,hash:binary>>>>" if ways else "")
+    return spans.mapInArrow(fold, schema)
+
+
+def _checked(entries: DataFrame, key: str, most: int | None) -> tuple[DataFrame, int]:
+    """The leaves, and how often spans are folded up to the root of the largest tree.
 
     ``most`` is the number of entries of the largest tree where that is known, else it is taken from the data; a tree that
     has more fails the job.
     """
     most = largest(entries) if most is None else most
     within = F.when(F.col("idx") < most, F.col("hash")).otherwise(F.raise_error(F.lit(f"a tree has more than {most} entries")).cast("binary"))
-    out = [leaves(entries, key).withColumn("hash", within)]
-    for _ in range(max(0, most - 1).bit_length()):
-        out.append(parents(out[-1], key))
-    return out
+    return leaves(entries, key).withColumn("hash", within), max(1, -(-max(0, most - 1).bit_length() // DEPTH))
 
 
 def roots(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """Key and root (hex) of each tree."""
-    return levels(entries, key, most)[-1].select(key, F.lower(F.hex("hash")).alias("root"))
+    """Key and root (hex) of each tree: two shuffles up to a million entries, three up to a thousand million, whatever the keys."""
+    level, rounds = _checked(entries, key, most)
+    for _ in range(rounds):
+        level = folded(level, key)
+    return level.select(key, F.lower(F.hex("hash")).alias("root"))
 
 
 def proofs(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """Per entry the siblings on its way to the root, from the leaf up: (key, idx, steps of side and hash)."""
-    every = levels(entries, key, most)
-    walk = every[0].select(key, F.col("idx").alias("entry"), F.array().cast("array<struct<side:string,hash:binary>>").alias("steps"))
-    for depth, level in enumerate(every[:-1]):
-        sibling = level.select(F.col(key).alias("_k"), F.col("idx").alias("_i"), F.col("hash").alias("_h"))
-        at = F.shiftright("entry", depth)
-        beside = at.bitwiseXOR(F.lit(1).cast("long"))
-        step = F.struct(F.when(at % 2 == 0, "right").otherwise("left").alias("side"), F.col("_h").alias("hash"))
-        joined = walk.join(sibling, (F.col(key) == F.col("_k")) & (F.col("_i") == beside), "left")
-        walk = joined.select(key, "entry", F.when(F.col("_h").isNull(), F.col("steps")).otherwise(F.concat("steps", F.array(step))).alias("steps"))
-    return walk.withColumnRenamed("entry", "idx")
+    level, rounds = _checked(entries, key, most)
+    walk = None
+    for done in range(rounds):
+        spans = folded(level, key, ways=True)
+        own = spans.select(key, F.explode("nodes").alias("_n")).select(key, F.col("_n.idx").alias("_at"), F.col("_n.steps").alias("_steps"))
+        if walk is None:
+            walk = own.select(key, F.col("_at").alias("idx"), F.col("_steps").alias("steps"))
+        else:
+            joined = walk.withColumn("_at", F.shiftright("idx", DEPTH * done)).join(own, [key, "_at"])
+            walk = joined.select(key, "idx", F.concat("steps", "_steps").alias("steps"))
+        level = spans.select(key, "idx", "hash")
+    return walk
 
 
 def sides(idx: Column, size: Column) -> Column:
@@ -87,9 +148,19 @@ def proof_holds(data: Column, idx: Column, size: Column, steps: Column, root: Co
     return F.coalesce(placed & (F.lower(F.hex(end)) == root), F.lit(False))
 
 
-def checkpoints(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """Key, number of entries and root."""
-    return roots(entries, key, most).join(entries.groupBy(key).agg(F.count(F.lit(1)).alias("size")), key)
+def checkpoints(entries: DataFrame, key: str, most: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Key, number of entries and root; keys (``keys``) without entries have the empty tree's."""
+    found = roots(entries, key, most).join(entries.groupBy(key).agg(F.count(F.lit(1)).alias("size")), key)
+    if keys is None:
+        return found
+    return keys.select(key).distinct().join(found, key, "left").select(key, F.coalesce("root", F.lit(EMPTY_ROOT)).alias("root"), F.coalesce("size", F.lit(0).cast("long")).alias("size"))
+
+
+def checkpoint_body(root: Column, size: Column, run_id: Column, timestamp: Column, prose_sha256: Column | None = None, cbom_sha256: Column | None = None, version: str = "claimloom-checkpoint-v2") -> Column:
+    """The canonical body that a signature covers; the digests of prose and bill bind them to the ledger, and are left out where null."""
+    fields = {"algorithm": F.lit(ALGORITHM), "cbom_sha256": cbom_sha256, "entry_count": size, "prose_sha256": prose_sha256, "root_hash": F.concat(F.lit("sha256:"), root), "run_id": run_id, "timestamp": timestamp, "version": F.lit(version)}
+    parts = [F.when(c.isNotNull(), F.substring(canonical_json(F.struct(c.alias(name))), 2, 1 << 30)) for name, c in fields.items() if c is not None]
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_compact(F.array(*parts)), lambda x: F.substring(x, F.lit(1), F.length(x) - 1)), ","), F.lit("}"))
 
 
 def bundle_status(bundles: DataFrame, recomputed: DataFrame) -> DataFrame:

@@ -247,3 +247,22 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {tuple(r) for r in watch.claim_stream(rows).collect()} and len(got) == 6
+
+
+def test_one_tree_over_a_large_ledger(spark):
+    n = 70_001
+    entries = spark.range(n).select(F.lit("all").alias("key"), F.col("id").alias("idx"), F.encode(F.col("id").cast("string"), "UTF-8").alias("data")).repartition(8)
+    want = py_root([str(i).encode() for i in range(n)])
+    assert [tuple(r) for r in integrity.checkpoints(entries, "key").collect()] == [("all", want, n)]
+    plan = integrity.roots(entries, "key", n)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4  # the input's, one for each ten levels, whatever the number of entries
+    some = F.col("idx").isin(0, 1, 1023, 1024, 65_535, 69_632, 70_000)
+    proven = integrity.proofs(entries, "key", n).where(some).join(entries, ["key", "idx"])
+    held = integrity.proof_holds(F.col("data"), F.col("idx"), F.lit(n), F.col("steps"), F.lit(want))
+    assert proven.count() == 7 and proven.where(held).count() == 7
+    keys = spark.createDataFrame([("all",), ("none",)], "key string")
+    got = {r["key"]: (r["size"], r["root"]) for r in integrity.checkpoints(entries.where("idx < 3"), "key", keys=keys).collect()}
+    assert got == {"all": (3, py_root([b"0", b"1", b"2"])), "none": (0, hashlib.sha256(b"").hexdigest())}
+    body = lambda **kw: json.loads(spark.range(1).select(integrity.checkpoint_body(F.lit("ab"), F.lit(3), F.lit("r|é"), F.lit("t"), **kw)).first()[0])
+    whole = {"version": "claimloom-checkpoint-v2", "root_hash": "sha256:ab", "entry_count": 3, "run_id": "r|é", "timestamp": "t", "algorithm": "sha256-merkle-rfc6962-domainsep"}
+    assert body() == whole and body(prose_sha256=F.lit("p"), cbom_sha256=F.lit(None).cast("string")) == {**whole, "prose_sha256": "p"}

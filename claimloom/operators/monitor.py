@@ -50,28 +50,61 @@ def status_distribution(log: DataFrame) -> DataFrame:
     return log.where(~F.col("malformed")).select(status.alias("status")).where("status <> 'observed'").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def place_of(rows: DataFrame, order: list[str], place: int, ways: int = 32, few: int = 10_000) -> tuple | None:
+    """The values of ``order`` in the row at ``place`` (from 0) in that order; None if there are fewer rows.
+
+    A sample gives bounds of ranges, rows are counted by range, and the search goes on in the range that holds the place until that is
+    one value or has few different ones. The driver sees bounds and counts alone, and no task orders all rows.
+    """
+    key = F.struct(*order)
+    left = rows.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    for attempt in range(200):
+        size = left.agg(F.count(F.lit(1)).alias("values"), F.sum("_n").alias("rows")).first()
+        if place >= (size["rows"] or 0):
+            return None
+        if size["values"] <= few:
+            upto = Window.orderBy(*order)  # few values
+            at = left.withColumn("_upto", F.sum("_n").over(upto)).where(F.col("_upto") > place)
+            return tuple(at.orderBy(*order).select(*order).first())
+        hashed = F.pmod(F.xxhash64(*order, F.lit(attempt)), F.lit(max(1, size["values"] // (8 * ways))))
+        some = sorted(tuple(r) for r in left.where(hashed == 0).select(*order).limit(64 * ways).collect())
+        bounds = sorted({some[len(some) * i // ways] for i in range(1, ways)}) if some else []
+        if not bounds:
+            continue
+        kinds = [f.dataType for f in left.select(*order).schema]
+        literal = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, kinds, order)]) for b in bounds]
+        within = F.size(F.filter(F.array(*literal), lambda b: b <= key))
+        counts = {r["_b"]: r["n"] for r in left.groupBy(within.alias("_b")).agg(F.sum("_n").alias("n")).collect()}
+        for bucket in sorted(counts):
+            if place < counts[bucket]:
+                break
+            place -= counts[bucket]
+        low = literal[bucket - 1] <= key if bucket else F.lit(True)
+        high = key < literal[bucket] if bucket < len(literal) else F.lit(True)
+        left = left.where(low & high)
+    raise RuntimeError("the ranges don't get smaller")
+
+
 def shadow_trend(log: DataFrame) -> DataFrame:
     """One row: rates of the earlier and the later half of the claim-bearing rows, and the trend between them.
 
-    Rows are ordered by timestamp, those without one first, then by seq. Only the place of the middle row is needed, so rows
-    are counted by timestamp and only those of the middle timestamp are put in order.
+    Rows are ordered by timestamp, those without one first, then by seq, and by their counts where both are the same. Only the
+    row in the middle is looked for; rows before it, and as many of its equals as belong there, are the earlier half.
     """
+    order = ["ts", "seq", "claims_detected", "claims_supported"]
     rows = log.where(~F.col("malformed") & (F.col("shadow_status") == "observed") & valid_counts()).select(F.coalesce("ts", F.lit("")).alias("ts"), "seq", "claims_detected", "claims_supported")
-    per_ts = rows.groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
-    upto = per_ts.withColumn("upto", F.sum("n").over(Window.orderBy("ts"))).crossJoin(per_ts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")))
-    half = F.floor(F.col("all") / 2)
-    middle = upto.where((F.col("upto") - F.col("n") <= half) & (half < F.col("upto"))).select(F.col("ts").alias("mid_ts"), (half - F.col("upto") + F.col("n")).alias("mid_in"), F.col("all"))
-    placed = rows.crossJoin(F.broadcast(middle))  # one row
-    at = F.when(F.col("ts") == F.col("mid_ts"), F.row_number().over(Window.partitionBy("ts").orderBy("seq")) - 1)
-    tied = placed.where("ts = mid_ts").withColumn("early", at < F.col("mid_in"))
-    clear = placed.where("ts <> mid_ts").withColumn("early", F.col("ts") < F.col("mid_ts"))
-    both = tied.unionByName(clear)
-    part = lambda c, early: F.coalesce(F.sum(F.when(F.col("early") == early, F.col(c))), F.lit(0))
-    sums = both.agg(
-        F.count(F.lit(1)).alias("rows"),
-        unsupported_rate(part("claims_detected", True), part("claims_supported", True)).alias("_earlier"),
-        unsupported_rate(part("claims_detected", False), part("claims_supported", False)).alias("_later"),
-    )
+    half = rows.count() // 2
+    middle = place_of(rows, order, half)
+    kinds = [f.dataType for f in rows.schema]
+    key, mid = F.struct(*order), F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(middle or [None] * 4, kinds, order)])
+    early, same = key < mid, key == mid
+    total = lambda c, test: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0))
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(early).alias("_before"), *[total(c, t).alias(f"_{n}_{c}") for c in order[2:] for n, t in (("early", early), ("all", F.lit(True)))])
+    ties = F.lit(half) - F.col("_before")
+    own = dict(zip(order, middle or [None] * 4))
+    first = {c: F.col(f"_early_{c}") + ties * F.lit(own[c] or 0) for c in order[2:]}
+    last = {c: F.col(f"_all_{c}") - first[c] for c in order[2:]}
+    sums = sums.select("rows", *[unsupported_rate(*[half_[c] for c in order[2:]]).alias(n) for n, half_ in (("_earlier", first), ("_later", last))])
     enough = F.col("rows") >= LEAST_ROWS
     change = F.col("_later") - F.col("_earlier")
     trend = F.when(~enough | change.isNull(), "insufficient_data").when(change > CHANGE, "worsening").when(change < -CHANGE, "improving").otherwise("stable")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +267,19 @@ def test_one_tree_over_a_large_ledger(spark):
     body = lambda **kw: json.loads(spark.range(1).select(integrity.checkpoint_body(F.lit("ab"), F.lit(3), F.lit("r|é"), F.lit("t"), **kw)).first()[0])
     whole = {"version": "claimloom-checkpoint-v2", "root_hash": "sha256:ab", "entry_count": 3, "run_id": "r|é", "timestamp": "t", "algorithm": "sha256-merkle-rfc6962-domainsep"}
     assert body() == whole and body(prose_sha256=F.lit("p"), cbom_sha256=F.lit(None).cast("string")) == {**whole, "prose_sha256": "p"}
+
+
+def test_the_middle_row_is_found_in_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["", "2024", "2024-01-01", f"2024-02-{rng.randint(1, 28):02d}"]), rng.randint(0, 60)) for _ in range(900)] + [("same", 5)] * 400
+    frame = spark.createDataFrame(rows, "ts string, seq long").repartition(5)
+    for place in (0, 1, 449, 650, 900, 1299):
+        assert monitor.place_of(frame, ["ts", "seq"], place, ways=4, few=5) == sorted(rows)[place]
+    assert monitor.place_of(frame, ["ts", "seq"], 1300) is None
+    log = [(ts, seq, "observed", False, 10, seq % 11) for ts, seq in rows]
+    given = spark.createDataFrame(log, "ts string, seq long, shadow_status string, malformed boolean, claims_detected int, claims_supported int")
+    ordered = sorted((r[0], r[1], r[4], r[5]) for r in log)
+    rate = lambda part: round((sum(r[2] for r in part) - sum(r[3] for r in part)) / sum(r[2] for r in part), 4)
+    got = monitor.shadow_trend(given).first()
+    assert (got["rows"], got["earlier"], got["later"]) == (1300, rate(ordered[:650]), rate(ordered[650:]))
+    assert monitor.shadow_trend(given.where("false")).first()["trend"] == "insufficient_data"

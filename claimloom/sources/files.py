@@ -112,16 +112,35 @@ class Written(WriterCommitMessage):
 
 
 class ArtefactWriter(DataSourceWriter):
-    """Tasks write the folders of their runs below a folder of their own; only those of tasks that Spark commits are moved to their place."""
+    """Tasks write the folders of their runs below a folder of their own; only those of tasks that Spark commits are moved to their place.
+
+    What isn't committed lies in a folder that readers pass over. An abort removes it; a task that goes on after that finds the job
+    closed and removes what it has written.
+    """
 
     def __init__(self, options, schema):
         self.path, self.names, self.job = options["path"], [f.name for f in schema.fields], uuid.uuid4().hex
+        files, staged = file_system(f"{self._staged()}/open")
+        files.create_dir(staged)
 
     def _staged(self) -> str:
         return f"{self.path.rstrip('/')}/_staged-{self.job}"
 
     def write(self, rows):
-        folder, runs = f"{self._staged()}/{uuid.uuid4().hex}", []
+        folder = f"{self._staged()}/{uuid.uuid4().hex}"
+        files, base = file_system(folder)
+        try:
+            runs = self._write(folder, rows)
+            if files.get_file_info(file_system(f"{self._staged()}/open")[1]).type == fs.FileType.NotFound:
+                raise RuntimeError("the write was given up")
+        except BaseException:
+            if files.get_file_info(base).type != fs.FileType.NotFound:
+                files.delete_dir(base)
+            raise
+        return Written(folder, runs)
+
+    def _write(self, folder, rows):
+        runs = []
         for row in rows:
             values = dict(zip(self.names, row))
             run = values["run_id"]
@@ -138,7 +157,7 @@ class ArtefactWriter(DataSourceWriter):
                 with files.open_output_stream(f"{base}/{FOOTER}") as out:
                     out.write(values["footer_md"].encode())
             runs.append(run)
-        return Written(folder, runs)
+        return runs
 
     def commit(self, messages):
         files, base = file_system(self.path)

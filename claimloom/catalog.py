@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import claims as C
 from claimloom.functions import rules as R
+from claimloom.functions import urls
 from claimloom.functions.tables import spread
 from claimloom.functions.text import density_score, fence_mask, html_to_text, lines, sentences
-from claimloom.operators import claims, context, evaluate, holds, integrity, ledger, monitor, review, scan
+from claimloom.operators import bills, claims, context, evaluate, holds, integrity, ledger, monitor, review, scan
 from claimloom.plans import conformance as probes
 from claimloom.plans import fixtures as X
 from claimloom.plans import verdict
@@ -437,6 +438,57 @@ def cbom_reference_errors(spark, sf_dir):
     return context.reference_errors(classified(spark, sf_dir), X.load(spark, sf_dir, REFERENCES))
 
 
+FINALS = f"select doc_id as run_id, text from ({X.DRAFTS}) d where doc_id < 400"
+BOUNDARY_SQL = findings_sql(f"select run_id as doc_id, text from ({rel(FINALS)})", R.BOUNDARY_PROFILES["final-prose"])
+
+
+@query(
+    f"with i as (select run_id, string_agg(context_id || chr(0) || text || chr(0), '' order by context_id) as t, count(*) as total_context_items, count(*) filter (can_influence_output) as can_influence_output,"
+    f" count(*) filter (can_appear_in_final_prose) as can_appear_in_final_prose, count(*) filter (audit_status = 'audit_only') as audit_only, count(*) filter (audit_status = 'excluded') as excluded from ({CLASSIFIED_SQL}) group by run_id),"
+    f" f as ({rel(FINALS)}), v as (select doc_id, count(*) as violations from ({BOUNDARY_SQL}) group by doc_id)"
+    " select coalesce(i.run_id, f.run_id) as run_id, substr(sha256(coalesce(t, '') || coalesce(f.text, '')), 1, 16) as bill_id, coalesce(total_context_items, 0) as total_context_items, coalesce(can_influence_output, 0) as can_influence_output,"
+    " coalesce(can_appear_in_final_prose, 0) as can_appear_in_final_prose, coalesce(audit_only, 0) as audit_only, coalesce(excluded, 0) as excluded, coalesce(violations, 0) as violations, case when violations > 0 then 'blocked' else 'pass' end as verdict"
+    " from i full join f on i.run_id = f.run_id left join v on v.doc_id = coalesce(i.run_id, f.run_id)"
+)
+def cbom_headers(spark, sf_dir):
+    finals = X.load(spark, sf_dir, FINALS)
+    found = scan.boundary(finals.withColumnRenamed("run_id", "doc_id")).select(F.col("doc_id").alias("run_id"))
+    return bills.headers(classified(spark, sf_dir), finals, found, "run_id")
+
+
+#: Claims of a bill by order, each with two supports, some of them unknown; bills are runs of the context items.
+SUPPORTED = "select l_partkey % 400 as run_id, l_orderkey * 10 + l_linenumber as claim_id, l_partkey as one, case when l_suppkey % 9 = 0 then 100000000 + l_suppkey else l_partkey end as two from {lineitem}"
+
+
+@query(
+    f"with k as (select run_id, context_id, bool_or(writer_admitted) as ok from ({CLASSIFIED_SQL}) group by all), s as (select distinct * from ({rel(SUPPORTED)})),"
+    " e as (select s.*, a.ok as a, b.ok as b from s left join k a on a.run_id = s.run_id and a.context_id = one left join k b on b.run_id = s.run_id and b.context_id = two)"
+    " select run_id, 1 as stage, claim_id::VARCHAR as owner, case when a is null or b is null then 'claim ' || claim_id || ' references unknown support input(s): ' || concat_ws(', ', case when a is null then one end, case when b is null then two end)"
+    " else 'claim ' || claim_id || ' references blocked support input(s): ' || concat_ws(', ', case when not a then one end, case when not b then two end) end as error from e where a is null or b is null or not a or not b"
+)
+def cbom_problems(spark, sf_dir):
+    inputs = classified(spark, sf_dir).select("run_id", "context_id", F.col("writer_admitted").alias("admitted"))
+    claimed = X.load(spark, sf_dir, SUPPORTED).select("run_id", "claim_id", F.array("one", "two").alias("support_ids"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    return bills.problems(inputs, none("run_id long, transform_id string, input_ids array<long>"), claimed, none("run_id long, override_id string, context_id long"), "run_id")
+
+
+URLS = (
+    f"select c_custkey as id, {X.choose('c_custkey', 'http', 'https', 'HTTP', 'ftp')} || '://' || {X.choose('c_custkey div0 4', '', 'user@', 'a:b@')} || (c_custkey * 7 % 256) || '.' || (c_custkey div0 256 % 256) || '.'"
+    f" || (c_custkey * 3 % 256) || '.' || (c_custkey * 11 % 256) || {X.choose('c_custkey div0 5', '', ':8080', '/a/b?c=d', '#x', '?q')} as url from {{customer}}"
+)
+WITHIN_SQL = " or ".join(f"n between {int(a, 16)} and {int(b, 16)}" for a, b in urls.intervals(urls.IPV4_BLOCKS, urls.IPV4_GLOBAL))
+
+
+@query(
+    f"with u as (select id, url, string_split(regexp_extract(url, '^[A-Za-z]+://([^/?#@]*@)?([0-9.]+)', 2), '.') as p from ({rel(URLS)})),"
+    " k as (select id, url, p[1]::BIGINT * 16777216 + p[2]::BIGINT * 65536 + p[3]::BIGINT * 256 + p[4]::BIGINT as n from u)"
+    f" select id, lower(url[1:4]) = 'http' and not ({WITHIN_SQL}) as safe from k"
+)
+def safe_urls(spark, sf_dir):
+    return X.load(spark, sf_dir, URLS).select("id", urls.safe_url(F.col("url")).alias("safe"))
+
+
 ACTORS = "select s_suppkey as key, (case s_suppkey % 4 when 0 then 'context_classifier,auditor' when 1 then 'context_classifier,insight_compiler,source_curator,clean_room_writer,reviewer_qa,auditor' when 2 then 'auditor,ghost' else '' end) as names, (case s_suppkey % 3 when 0 then ' ' else 'someone' end) as who from {supplier}"
 ROLE_LIST_SQL = "[" + ", ".join(map(lit, R.ACTOR_ROLES)) + "]"
 

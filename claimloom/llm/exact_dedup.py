@@ -5,13 +5,14 @@
    holds more than ``capacity`` hashes it splits on the next bit; when a bucket is deeper than the directory, the directory
    doubles. All of that is grouping and joining of tables of counts; nothing of it goes to the driver but the number of
    hashes and the depth. Copies share a hash, so a group of copies never overfills a bucket.
-3. Chains: equal hashes are chained, a link per text. Bytes are compared here, as the grouping key holds the whole normalised
-   text, pre-aggregated where it is read, so that of a large group of copies each task sends one row.
-4. Each link finds its bucket through the directory, and owner tasks take contiguous ranges of buckets, as large as each
-   other, and write them to the index, ordered by bucket and hash.
+3. Texts are dealt to owner tasks, once, by contiguous ranges of hashes. An owner chains the hashes of its range, a link per text,
+   and compares bytes: its grouping key holds the whole normalised text. A hash of more than a quarter of a task's share of all
+   rows isn't dealt: its rows are combined where they are read, a row per text and task, before they move.
+4. Each link finds its bucket through the directory and is written to the index, in ranges of buckets, ordered by bucket and hash.
 5. Each fingerprint is looked up: its hash's first bits are its slot, the directory has the slot's bucket, and the bucket's
-   chain has the link of its digest. Where a hash and digest stand for one text, as they all but surely do, that decides; for
-   the others, if there are any, whole texts are compared again.
+   chain has the link of its digest. Only the index knows which document stays. Where a hash and digest stand for one text, as
+   they all but surely do, that decides; for the others, if there are any, the index has several links of one hash and digest,
+   and whole texts are compared again.
 
 The directory has at most ``16 * n / capacity`` slots for n hashes (and at least one). A bucket that is overfull even then,
 as its hashes agree in more bits than that, isn't split any more: it keeps all of its links as an overflow chain.
@@ -86,6 +87,23 @@ def placed(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("slot", prefix(F.col("h"), depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
 
 
+def hot_hashes(prints: DataFrame, tasks: int) -> DataFrame:
+    """Hashes of more than a quarter of a task's share of all rows: fewer than ``4 * tasks``, so they may be broadcast."""
+    most = max(1, prints.count() // (4 * tasks))
+    return materialize(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("h"), "exact-hot")
+
+
+def chained(hashed: DataFrame, hot: DataFrame, ranges: int) -> DataFrame:
+    """A link per text: h, digest, norm, keep_id, group_size, made by the owners of ``2 ** ranges`` ranges of hashes.
+
+    Rows are partitioned by owner, which serves the grouping, too, so that texts move once.
+    """
+    link = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    dealt = hashed.join(F.broadcast(hot), "h", "left_anti").withColumn("owner", prefix(F.col("h"), ranges)).repartition("owner")
+    owned = dealt.groupBy("owner", "h", "digest", "norm").agg(*link).drop("owner")
+    return owned.unionByName(hashed.join(F.broadcast(hot), "h", "left_semi").groupBy("h", "digest", "norm").agg(*link))
+
+
 def index(chains: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
     """The written index: a row per link, in ranges of buckets, one owner task a range, ordered by bucket and hash."""
     owners = max(1, int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -99,7 +117,8 @@ def group(docs: DataFrame, capacity: int = CAPACITY, hash_of=slot_hash) -> DataF
     prints = materialize(hashed.select("doc_id", "h", "digest"), "exact-prints")
     slots, depth = directory(materialize(prints.select("h").distinct(), "exact-hashes"), capacity)
 
-    chains = hashed.groupBy("h", "digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chains = chained(hashed, hot_hashes(prints, tasks), (16 * tasks).bit_length())  # several ranges a task
     # written before it is dealt by range, which reads it twice
     links = index(materialize(chains.drop("norm"), "exact-chains"), slots, depth)
 

@@ -89,6 +89,39 @@ def test_exact_drop_copies(spark):
     assert exact_dedup.drop_copies(frame(spark, [])).count() == 0 and exact_dedup.group(frame(spark, [])).count() == 0
 
 
+def test_exact_answers_come_from_the_index(spark, monkeypatch):
+    """Documents of a bucket that the index has lost are lost, and only those."""
+    rows = documents()
+    build, lost = exact_dedup.index, []
+
+    def without_one(chains, slots, depth):
+        links = build(chains, slots, depth)
+        lost.append(links.agg(F.min("bucket")).first()[0])
+        return links.where(F.col("bucket") != lost[0])
+
+    monkeypatch.setattr(exact_dedup, "index", without_one)
+    got = {r["doc_id"] for r in exact_dedup.group(frame(spark, rows), capacity=4).collect()}
+    monkeypatch.undo()
+    prints = exact_dedup.fingerprints(frame(spark, rows))
+    slots, depth = exact_dedup.directory(prints.select("h").distinct(), 4)
+    gone = {r["doc_id"] for r in exact_dedup.placed(prints, slots, depth).where(F.col("bucket") == lost[0]).collect()}
+    assert gone and got == {r[0] for r in rows} - gone
+
+
+def test_exact_owners_take_ranges_and_hot_hashes_are_combined_first(spark):
+    rows = [(i, f"text {i}", None, None, 0) for i in range(400)] + [(1000 + i, "hot  text", None, None, 0) for i in range(300)]
+    prints = exact_dedup.fingerprints(frame(spark, rows).repartition(6))
+    hot = exact_dedup.hot_hashes(prints, 4)
+    assert [r["h"] for r in hot.collect()] == [prints.where("norm = 'hot text'").first()["h"]]
+    links = exact_dedup.chained(prints, hot, 5)
+    assert links.count() == 401 and links.where("norm = 'hot text'").first()[3:] == (1000, 300)
+    owned = exact_dedup.chained(prints, hot.where("false"), 5).withColumn("p", F.spark_partition_id()).withColumn("owner", exact_dedup.prefix(F.col("h"), 5))
+    assert max(r["count"] for r in owned.select("owner", "p").distinct().groupBy("owner").count().collect()) == 1
+    cold = prints.withColumn("owner", exact_dedup.prefix(F.col("h"), 5)).repartition("owner").groupBy("owner", "h", "digest", "norm").count()
+    plan = cold._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(owner") == 1 and plan.count("Exchange hashpartitioning") == 1  # texts move once
+
+
 def hashes_of(spark, values):
     return spark.createDataFrame([(v,) for v in values], "h long")
 

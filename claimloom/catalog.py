@@ -18,7 +18,7 @@ from claimloom.operators import bills, claims, context, evaluate, holds, integri
 from claimloom.plans import conformance as probes
 from claimloom.plans import fixtures as X
 from claimloom.plans import verdict
-from claimloom.sources import readers, sinks
+from claimloom.sources import corpora, readers, sinks
 from claimloom.streaming import events as hook_events
 
 QUERIES: dict = {}
@@ -517,6 +517,31 @@ def context_override(spark, sf_dir):
     return found.select("context_id", "context_type", "ledger_bucket", "override_error")
 
 
+CORPUS = (
+    f"select cast({X.LINE_ID} as bigint) as line, {X.choose('l_partkey', X.Sql('JSON_LINE'), X.Sql('JSON_LINE'), X.Sql('JSON_LINE'), 'no JSON', '[1, 2]', '3')} as value from {{lineitem}}"
+)
+JSON_LINE = (
+    "(chr(123) || case when l_suppkey % 11 = 0 then '' else '\"id\": ' || (l_orderkey * 100 + l_linenumber - l_linenumber % 2) || ', ' end || case when l_suppkey % 13 = 0 then '' else '\"claim\": \"' || 'Costs rose ' || l_partkey || '%.\", ' end"
+    " || '\"gold\": ' || (case l_suppkey % 7 when 0 then '\"unknown\"' when 1 then '7' when 2 then 'null' when 3 then '\"skipped\"' else '\"verified\"' end)"
+    " || (case l_suppkey % 5 when 0 then ', \"source\": 5' when 1 then ', \"source\": null, \"citation\": \"a\"' when 2 then ', \"citation\": [1]' else '' end) || chr(125))"
+)
+CORPUS = CORPUS.replace("JSON_LINE", JSON_LINE)
+BAD_SQL = (
+    "case when not json_valid(value) then 'not JSON' when json_type(j) <> 'OBJECT' then 'not an object' when not json_exists(j, '$.id') then 'missing field id' when not json_exists(j, '$.claim') then 'missing field claim'"
+    f" when not json_exists(j, '$.gold') then 'missing field gold' when json_type(j, '$.gold') <> 'VARCHAR' or json_extract_string(j, '$.gold') not in ({', '.join(map(lit, corpora.GOLD))}) then 'gold label' end"
+)
+
+
+@query(
+    f"with v as (select line, value, case when json_valid(value) then value else '[]' end as j from ({rel(CORPUS)})), r as (select line, j, {BAD_SQL} as e from v), i as (select *, json_extract_string(j, '$.id') as id from r),"
+    " f as (select id, min(line) as first from i where e is null group by id) select line, coalesce(e, case when line <> first then 'duplicate id' end,"
+    " case when coalesce(json_type(j, '$.citation'), 'NULL') not in ('NULL', 'VARCHAR') then 'citation is no string' when coalesce(json_type(j, '$.source'), 'NULL') not in ('NULL', 'VARCHAR') then 'source is no string' end) as reason"
+    " from i left join f using (id) where reason is not null"
+)
+def corpus_rejects(spark, sf_dir):
+    return corpora.rejects(corpora.checked(X.load(spark, sf_dir, CORPUS), corpora.GRADES, corpora.LATE)).select("line", "reason")
+
+
 # --- verdicts -------------------------------------------------------------------------------------------------------------
 
 THRESHOLD_SQL = lambda p: f"case {p} " + " ".join(f"when {lit(k)} then {v}::DOUBLE" for k, v in R.UNSUPPORTED_THRESHOLDS.items()) + " else 1.0::DOUBLE end"

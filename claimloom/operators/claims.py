@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,10 +117,63 @@ def graded_by(claims: DataFrame, grader, schema: str = "doc_id long, pos long, v
     return claims.mapInPandas(run, schema)
 
 
+# fixed values: names that a grader may be asked for by
+GRADER_NAMES = {"heuristic": "heuristic", "local": "local", "local-llm": "local", "llm": "llm", "anthropic": "llm", "claude": "claude-cli", "claude-cli": "claude-cli", "codex": "codex"}
+
+
+def grader_choice(wanted: str | None = None, local_url: str | None = None, local_answers: bool = False, api_key: str | None = None, has_cli: bool = False) -> str:
+    """The grader to begin with: the one that was asked for by a known name, else a local one, one with a key, one of the
+    command line, and else the heuristic; ``codex`` only if asked for."""
+    asked = GRADER_NAMES.get((wanted or "").strip().lower())
+    offered = (("local", local_url), ("local", local_answers), ("llm", api_key), ("claude-cli", has_cli))
+    return asked or next((name for name, there in offered if there), "heuristic")
+
+
+def graded_in_turn(claims: DataFrame, graders: Sequence[tuple[str, Callable]], text: str = "sentence", source: str = "source_text", citation: str = "citation") -> DataFrame:
+    """Claims with verdict, confidence, rationale and the name of the grader that gave them.
+
+    A grader is a callable of a pandas frame of claims with their ``_row``; it answers with ``_row``, verdict, confidence and
+    rationale. A batch goes to the first grader; what it leaves out, answers without a verdict, or all of the batch if it fails,
+    goes to the next one, and what no grader answers gets the heuristic grade, made by Spark beforehand. So no claim is lost
+    and none comes twice, whatever a grader answers; of several answers for a row the first counts. All in one pass, without a shuffle.
+    """
+    taken = {"_row", "_own", "verdict", "confidence", "rationale", "grader"} & set(claims.columns)
+    if taken:
+        raise ValueError(f"columns that grading adds are there already: {', '.join(sorted(taken))}")
+    own = C.heuristic_grade(F.col(text), F.col(source), F.col(citation))
+    answer = ["verdict", "confidence", "rationale"]
+
+    def asked(frame, name, grader):
+        """Rows that a grader has an answer for, by their places."""
+        said = grader(frame.drop(columns="_own"))[["_row", *answer]]
+        said = said[said["verdict"].notna() & said["_row"].isin(frame["_row"])].drop_duplicates("_row").set_index("_row")
+        return said.assign(grader=name)
+
+    def run(frames):
+        for frame in frames:
+            frame = frame.reset_index(drop=True)
+            frame["_row"] = frame.index
+            found = frame[["_own"]].rename(columns={"_own": "verdict"}).assign(confidence=None, rationale=None, grader="heuristic").astype(object)
+            left = frame
+            for name, grader in graders:
+                if left.empty:
+                    break
+                try:
+                    said = asked(left.copy(), name, grader)
+                except Exception:  # noqa: BLE001  a grader may fail in any way; the next one has its turn
+                    continue
+                found.loc[said.index, [*answer, "grader"]] = said.astype(object)
+                left = left[~left["_row"].isin(said.index)]
+            yield frame.drop(columns=["_row", "_own"]).join(found)
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in claims.schema.fields)
+    return cleaned_grades(claims.withColumn("_own", own).mapInPandas(run, fields + "verdict string, confidence double, rationale string, grader string"))
+
+
 def cleaned_grades(raw: DataFrame) -> DataFrame:
     """What a grader answered: unknown verdicts are errors, confidence is clamped, the rationale cut."""
     verdict = F.when(F.col("verdict").isin(list(C.R.GRADES)), F.col("verdict")).otherwise("error")
-    return raw.withColumns({"verdict": verdict, "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))), "rationale": F.substring("rationale", 1, 200)})
+    return raw.withColumns({"verdict": verdict, "confidence": F.when(F.col("confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))), "rationale": F.substring("rationale", 1, 200)})
 
 
 def axis1_of(verdict: Column) -> Column:

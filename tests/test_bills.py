@@ -8,7 +8,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import functions as F
 
 from claimloom.functions import urls
-from claimloom.operators import bills
+from claimloom.operators import bills, context
 
 
 def test_stable_ids_equal_a_plain_digest(spark):
@@ -61,6 +61,20 @@ def test_what_is_wrong_with_references(spark):
     assert bill[None]["errors"] == 0 and bill[None]["error"] is None and bill[None]["claims"] == 1
 
 
+def test_heads_and_requirements(spark):
+    items = [(1, "a", "The official report cites data.", None), (1, "b", "Private reasoning about the plan.", None), (None, "c", "Use a shorter style and tone.", None), (2, "d", None, "Fresh Critic")]
+    rows = context.classify(spark.createDataFrame(items, "run long, context_id string, text string, source_agent string"))
+    finals = spark.createDataFrame([(1, "x"), (3, "y")], "run long, text string")
+    heads = {r["run"]: r for r in bills.headers(rows, finals, spark.createDataFrame([(1,), (1,), (None,)], "run long"), "run").collect()}
+    assert {k: (r["total_context_items"], r["violations"], r["verdict"]) for k, r in heads.items()} == {1: (2, 2, "blocked"), 2: (1, 0, "pass"), 3: (0, 0, "pass"), None: (1, 1, "blocked")}
+    ids = {r["run"]: r["bill_id"] for r in bills.stable_ids(rows, finals, "run").collect()}
+    assert {k: r["bill_id"] for k, r in heads.items()} == ids
+    free = {r["context_id"] for r in rows.where("can_influence_output").collect()}
+    said = bills.transforms(rows, "run")
+    assert {r["context_id"] for r in said.collect()} == free and said.columns == ["run", "context_id", "kind", "text"]
+    assert bills.headers(rows.limit(0), finals.limit(0), finals.select("run").limit(0), "run").count() == 0
+
+
 def addresses():
     """All edges of the blocks and their neighbours, in several spellings."""
     found = set()

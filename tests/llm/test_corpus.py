@@ -566,3 +566,22 @@ def test_deep_indents_are_linear():
         text = html_text.render(open_ * words)
         assert text.split().count("x") == words and len(text) < words * (2 * html_text.INDENT + 40) and time.time() - began < 20, open_
     assert html_text.render("<ul><li>a<ul><li>b<li>c</ul><li><blockquote>d<p>e</blockquote></ul>") == "- a\n  - b\n  - c\n-   d\n\n    e"
+
+
+def test_pipeline_stages_on_edges(spark):
+    """Clashing columns come through, repeated rows and nulls have their results, an empty table stays empty."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(1, "one two three four five six seven", "en", "a", 1), (None, None, None, None, None), (2, "", "en", "a", 0), (1, "one two three four five six seven", "en", "a", 1), (3, "one  two three four five six seven", None, None, 9)]
+    left = {
+        "quality_rules": [],
+        "exact_dedup": [(1, "a"), (2, "a")],
+        "near_dedup": [(None, None), (1, "a"), (1, "a"), (2, "a")],
+    }
+    for name, want in left.items():
+        docs = frame(spark, rows, parts=2)
+        got = stages[name](spark, docs, "")
+        assert got.columns == docs.columns, name
+        assert Counter((r["doc_id"], r["source"]) for r in got.collect()) == Counter(want), name
+        assert stages[name](spark, docs.where("false"), "").count() == 0, name

@@ -44,6 +44,16 @@ def pipeline_claims(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("load_bearing", F.col("salience") >= C.R.LOAD_BEARING)
 
 
+def claims_in(text: Column) -> Column:
+    """The claims of a text in order, in place: an array of (pos, sentence, citation, salience, load_bearing).
+
+    What ``pipeline_claims`` gives as rows, for work that needs no row per claim.
+    """
+    found = F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s, i: F.when(C.any_of(s, C.R.CLAIM_TRIGGERS), F.struct(i.alias("pos"), s.alias("sentence"))))
+    rated = F.transform(F.array_compact(found), lambda x: x.withField("citation", C.citation(x["sentence"])).withField("salience", C.salience(x["sentence"])))
+    return F.transform(rated, lambda x: x.withField("load_bearing", x["salience"] >= C.R.LOAD_BEARING))
+
+
 def select_claims(rows: DataFrame, mode: str, keep: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """sentences kept by a filter relation: ``off`` rules only, ``on`` rules and filter, ``only`` filter only."""
     if mode not in ("on", "only") or keep is None:

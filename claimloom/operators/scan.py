@@ -1,7 +1,8 @@
 """Rule scans over lines: boundary, residue, style tells, contamination; and sensitivity of whole texts.
 
 A scan searches each line once, by one pattern made of all rules. Only in lines where that finds something, each rule is
-searched for, and only the rules that match are extracted.
+searched for, and only the rules that match are extracted. All this happens within the array of a document's lines; matches
+become rows only where rows are asked for.
 """
 
 from __future__ import annotations
@@ -18,16 +19,6 @@ from claimloom.functions.tables import join_left
 from claimloom.functions.text import density_score, fence_mask, lines, strip, truncate
 
 
-def line_rows(docs: DataFrame, key: str = "doc_id", fences: bool = True) -> DataFrame:
-    """Key, line (from 1), content; without ``fences``, lines of fenced code are left out."""
-    found = docs.select(key, lines(F.coalesce(F.col("text"), F.lit(""))).alias("_l"))
-    if fences:
-        return found.select(key, F.posexplode("_l").alias("_i", "content")).select(key, (F.col("_i") + 1).alias("line"), "content")
-    zipped = F.arrays_zip(F.col("_l").alias("content"), fence_mask(F.col("_l")).alias("outside"))
-    rows = found.select(key, F.posexplode(zipped).alias("_i", "_z"))
-    return rows.where("_z.outside").select(key, (F.col("_i") + 1).alias("line"), F.col("_z.content").alias("content"))
-
-
 def matches_of(content: Column, rules: Sequence[R.Rule]) -> Column:
     """All matches of all rules in a line, as (rule, tag, match), in the order of rules and places."""
     none = F.array().cast("array<struct<rule:string,tag:string,match:string>>")
@@ -39,21 +30,46 @@ def matches_of(content: Column, rules: Sequence[R.Rule]) -> Column:
     return F.concat(*[of(r) for r in rules])
 
 
-def findings(docs: DataFrame, rules: Sequence[R.Rule], key: str = "doc_id", fences: bool = True, cut: int | None = None) -> DataFrame:
-    """A row per match: key, line, seq, rule, tag, match; ``cut`` shortens the match, with dots if ``fences`` are left out."""
+def found_in(text: Column, rules: Sequence[R.Rule], fences: bool = True, cut: int | None = None) -> Column:
+    """The matches of all rules in a text, by line and place: an array of (line, seq, rule, tag, match).
+
+    A document stays a row, and only the lines where something is found become more than a string. Without ``fences``, lines
+    of fenced code are left out; ``cut`` shortens the match, with dots if they are. A null text has none.
+    """
     if not rules:
-        return docs.select(key, F.lit(0).alias("line"), F.lit(0).alias("seq"), F.lit("").alias("rule"), F.lit("").alias("tag"), F.lit("").alias("match")).where("false")
+        return F.array().cast("array<struct<line:int,seq:int,rule:string,tag:string,match:string>>")
+    found = lines(F.coalesce(text, F.lit("")))
     # line by line, as rules are searched: in a whole text, anchors and lookaheads would see other lines
-    rows = line_rows(docs, key, fences).where(C.any_of(F.col("content"), rules)).select(key, "line", F.posexplode(matches_of(F.col("content"), rules)).alias("seq", "_m"))
-    match = F.col("_m.match")
-    if cut:
-        match = truncate(match, cut) if not fences else F.substring(match, 1, cut)
-    return rows.select(key, "line", "seq", F.col("_m.rule").alias("rule"), F.col("_m.tag").alias("tag"), match.alias("match"))
+    hit = lambda x, i, here: F.when(here & C.any_of(x, rules), F.struct((i + 1).alias("line"), x.alias("content")))
+    if fences:
+        hits = F.transform(found, lambda x, i: hit(x, i, F.lit(True)))
+    else:
+        zipped = F.arrays_zip(found.alias("content"), fence_mask(found).alias("outside"))
+        hits = F.transform(zipped, lambda z, i: hit(z["content"], i, z["outside"]))
+
+    def shortened(match: Column) -> Column:
+        return match if not cut else F.substring(match, 1, cut) if fences else truncate(match, cut)
+
+    def of(line: Column) -> Column:
+        row = lambda m, k: F.struct(line["line"].alias("line"), k.alias("seq"), m["rule"].alias("rule"), m["tag"].alias("tag"), shortened(m["match"]).alias("match"))
+        return F.transform(matches_of(line["content"], rules), row)
+
+    return F.flatten(F.transform(F.array_compact(hits), of))
+
+
+def findings(docs: DataFrame, rules: Sequence[R.Rule], key: str = "doc_id", fences: bool = True, cut: int | None = None) -> DataFrame:
+    """A row per match, as ``found_in`` has them: key, line, seq, rule, tag, match."""
+    return docs.select(key, F.explode(found_in(F.col("text"), rules, fences, cut)).alias("_m")).select(key, "_m.*")
+
+
+def boundary_rules(profile: str) -> Sequence[R.Rule]:
+    """The boundary rules of a profile; those of final texts if it has none of its own."""
+    return R.BOUNDARY_PROFILES.get(profile, R.BOUNDARY_PROFILES["final"])
 
 
 def boundary(docs: DataFrame, profile: str = "final-prose", key: str = "doc_id") -> DataFrame:
     """violations of a profile's boundary rules; the tag is the severity."""
-    return findings(docs, R.BOUNDARY_PROFILES.get(profile, R.BOUNDARY_PROFILES["final"]), key)
+    return findings(docs, boundary_rules(profile), key)
 
 
 def residue(docs: DataFrame, key: str = "doc_id", fences: bool = False) -> DataFrame:
@@ -109,7 +125,7 @@ def contamination(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def contamination_verdict(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """blocked or pass, per document."""
+    """blocked or pass, per document; rows that share a key, or have none, are judged together."""
     found = contamination(docs, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_matches"))
     joined = join_left(docs.select(key), found, key)
     return joined.select(key, F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.when(F.col("n_matches") > 0, "blocked").otherwise("pass").alias("verdict"))

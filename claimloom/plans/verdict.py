@@ -1,7 +1,9 @@
-"""The check of drafts: boundary, claims and actors of each reduced to a row, joined once, and one verdict made of them."""
+"""The check of drafts: boundary and claims of each reduced to a row where its text is read, actors joined, and one verdict made of them."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,24 @@ def listed(when: Column, place: list, said: Column) -> Column:
     return F.transform(F.array_sort(rows), lambda x: x["_said"])
 
 
-def claim_summary(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Claims, those without citation, those of them that are load-bearing, and what to say of these, per document."""
-    uncited = F.col("citation").isNull()
-    said = F.format_string(R.REASONS["unsupported"], F.format_number("salience", 2), F.substring("sentence", 1, 80))
-    return rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("claims"), F.count_if(uncited).alias("unsupported"), F.count_if(uncited & F.col("load_bearing")).alias("load_bearing_unsupported"),
-        listed(uncited & F.col("load_bearing"), ["pos"], said).alias("said_unsupported"),
-    )
-
+def text_summary(drafts: DataFrame, rules: Sequence[R.Rule], key: str = "doc_id") -> DataFrame:
+    """Violations, claims, those without citation, those of them that are load-bearing, and what to say of each.
 
-def boundary_summary(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Violations, and what to say of each, per document."""
-    said = F.format_string(R.REASONS["violation"], "rule", "tag", "line", F.substring("match", 1, 60))
-    return found.groupBy(key).agg(F.count(F.lit(1)).alias("violations"), listed(F.lit(True), ["line", "seq"], said).alias("said_violations"))
+    Texts are read once and scanned where they are; what is grouped are counts and sayings, a row per draft.
+    """
+    scanned = drafts.select(key, scan.found_in(F.col("text"), rules).alias("_b"), claims.claims_in(F.col("text")).alias("_c"))
+    violation = lambda m: F.format_string(R.REASONS["violation"], m["rule"], m["tag"], m["line"], F.substring(m["match"], 1, 60))
+    unsupported = lambda c: F.format_string(R.REASONS["unsupported"], F.format_number(c["salience"], 2), F.substring(c["sentence"], 1, 80))
+    uncited = F.filter("_c", lambda c: c["citation"].isNull())
+    heavy = F.filter("_c", lambda c: c["citation"].isNull() & c["load_bearing"])
+    rows = scanned.select(
+        key, F.size("_b").alias("violations"), F.size("_c").alias("claims"), F.size(uncited).alias("unsupported"), F.size(heavy).alias("load_bearing_unsupported"),
+        F.transform("_b", lambda m: F.struct(m["line"].alias("line"), m["seq"].alias("seq"), violation(m).alias("_said"))).alias("said_violations"),
+        F.transform(heavy, lambda c: F.struct(c["pos"].alias("pos"), unsupported(c).alias("_said"))).alias("said_unsupported"),
+    )
+    said = lambda name: F.transform(F.array_sort(F.flatten(F.collect_list(name))), lambda x: x["_said"]).alias(name)
+    counts = [F.sum(c).alias(c) for c in ("violations", "claims", "unsupported", "load_bearing_unsupported")]
+    return rows.groupBy(key).agg(*counts, said("said_violations"), said("said_unsupported"))
 
 
 def verifier_summary(graded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -85,18 +91,14 @@ def consolidate(summary: DataFrame) -> DataFrame:
 
 
 def check(drafts: DataFrame, profile: str = "final-prose", sources: DataFrame | None = None, actors: DataFrame | None = None) -> DataFrame:
-    """The verdict of each draft (doc_id, text).
+    """The verdict of each draft (doc_id, text); drafts that share a doc_id, or have none, are judged together.
 
     ``sources`` (url, source_text) turns verification on; ``actors`` (doc_id, single_actor, has_identity) tells who wrote and
     reviewed.
     """
-    found = claims.pipeline_claims(drafts)
-    parts = [
-        boundary_summary(scan.boundary(drafts, profile)),
-        claim_summary(found),
-    ]
+    parts = [text_summary(drafts, scan.boundary_rules(profile))]
     if sources is not None:
-        parts.append(verifier_summary(claims.graded(found, sources)))
+        parts.append(verifier_summary(claims.graded(claims.pipeline_claims(drafts), sources)))
     summary = drafts.select("doc_id")
     for part in parts:
         summary = join_left(summary, part, "doc_id")

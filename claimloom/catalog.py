@@ -703,9 +703,8 @@ def merkle_root(spark, sf_dir):
 @query(f"select key, idx, key % 3 <> 1 as holds from ({rel(X.ENTRIES)})")
 def inclusion_proof(spark, sf_dir):
     """Proofs of all entries; those of every third key are used for the place beside their own, where they can't hold."""
-    rows = entries(spark, sf_dir)
-    most = integrity.largest(rows)
-    proven = integrity.proofs(rows, "key", most).join(rows, ["key", "idx"]).join(integrity.checkpoints(rows, "key", most), "key")
+    most = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    proven = integrity.proven(entries(spark, sf_dir), "key", most)
     place = F.when(F.col("key") % 3 == 1, F.col("idx") + 1).otherwise(F.col("idx"))
     return proven.select("key", "idx", integrity.proof_holds(F.col("data"), place, F.col("size"), F.col("steps"), F.col("root")).alias("holds"))
 

@@ -32,9 +32,9 @@ def largest(entries: DataFrame) -> int:
     return (entries.agg(F.max("idx").cast("long").alias("last")).first()["last"] or 0) + 1
 
 
-def leaves(entries: DataFrame, key: str) -> DataFrame:
+def leaves(entries: DataFrame, key: str, *more: str) -> DataFrame:
     """Level 0 of each key's tree, of entries (key, idx from 0, data binary)."""
-    return entries.select(key, F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("data")).alias("hash"))
+    return entries.select(key, F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("data")).alias("hash"), *more)
 
 
 def _above(nodes: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
@@ -65,11 +65,12 @@ def _ways(nodes: list[tuple[int, bytes]], depth: int) -> tuple[bytes, list[list[
 def folded(level: DataFrame, key: str, ways: bool = False) -> DataFrame:
     """Spans of 2 ** ``DEPTH`` nodes (key, idx, hash) as one node each, ``DEPTH`` levels above: key, idx, hash.
 
-    With ``ways`` also ``nodes``: each of the span's places with the siblings on its way up.
+    With ``ways`` also ``nodes``: each of the span's places with the siblings on its way up, and its data if the level has them.
     """
-    spans = level.groupBy(key, F.shiftright("idx", DEPTH).alias("span")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("nodes"))
+    held = ["data"] if "data" in level.columns else []
+    spans = level.groupBy(key, F.shiftright("idx", DEPTH).alias("span")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash", *held))).alias("nodes"))
     step = pa.struct([("side", pa.string()), ("hash", pa.binary())])
-    kind = pa.list_(pa.struct([("idx", pa.int64()), ("steps", pa.list_(step))]))
+    kind = pa.list_(pa.struct([("idx", pa.int64()), ("steps", pa.list_(step)), *[(c, pa.binary()) for c in held]]))
 
     def fold(batches):
         for batch in batches:
@@ -78,7 +79,8 @@ def folded(level: DataFrame, key: str, ways: bool = False) -> DataFrame:
                 pairs = [(n["idx"].as_py(), n["hash"].as_py()) for n in nodes]
                 if ways:
                     top, found = _ways(pairs, DEPTH)
-                    every.append([{"idx": at, "steps": [{"side": s, "hash": h} for s, h in way]} for (at, _), way in zip(pairs, found)])
+                    own = [{c: n[c].as_py() for c in held} for n in nodes]
+                    every.append([{"idx": at, "steps": [{"side": s, "hash": h} for s, h in way], **o} for (at, _), way, o in zip(pairs, found, own)])
                 else:
                     for _ in range(DEPTH):
                         pairs = _above(pairs)
@@ -87,11 +89,11 @@ def folded(level: DataFrame, key: str, ways: bool = False) -> DataFrame:
             more = [pa.array(every, kind)] if ways else []
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("span"), pa.array(tops, pa.binary()), *more], names=[key, "idx", "hash", *(["nodes"] if ways else [])])
 
-    schema = f"`{key}` {dict(level.dtypes)[key]}, idx long, hash binary" + (", nodes array<struct<idx:long,steps:array<struct<side:string,hash:binary>>>>" if ways else "")
+    schema = f"`{key}` {dict(level.dtypes)[key]}, idx long, hash binary" + (f", nodes array<struct<idx:long,steps:array<struct<side:string,hash:binary>>{''.join(f',{c}:binary' for c in held)}>>" if ways else "")
     return spans.mapInArrow(fold, schema)
 
 
-def _checked(entries: DataFrame, key: str, most: int | None) -> tuple[DataFrame, int]:
+def _checked(entries: DataFrame, key: str, most: int | None, *more: str) -> tuple[DataFrame, int]:
     """The leaves, and how often spans are folded up to the root of the largest tree.
 
     ``most`` is the number of entries of the largest tree where that is known, else it is taken from the data; a tree that
@@ -99,7 +101,7 @@ def _checked(entries: DataFrame, key: str, most: int | None) -> tuple[DataFrame,
     """
     most = largest(entries) if most is None else most
     within = F.when(F.col("idx") < most, F.col("hash")).otherwise(F.raise_error(F.lit(f"a tree has more than {most} entries")).cast("binary"))
-    return leaves(entries, key).withColumn("hash", within), max(1, -(-max(0, most - 1).bit_length() // DEPTH))
+    return leaves(entries, key, *more).withColumn("hash", within), max(1, -(-max(0, most - 1).bit_length() // DEPTH))
 
 
 def roots(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
@@ -112,18 +114,31 @@ def roots(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
 
 def proofs(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """Per entry the siblings on its way to the root, from the leaf up: (key, idx, steps of side and hash)."""
-    level, rounds = _checked(entries, key, most)
-    walk = None
+    return proven(entries, key, most).select(key, "idx", "steps")
+
+
+def proven(entries: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Per entry its data, steps, and the size and root (hex) of its tree: (key, idx, data, steps, size, root).
+
+    Trees of one span carry all that in it, so that their entries are grouped once and joined with nothing.
+    """
+    level, rounds = _checked(entries, key, most, "data")
+    if rounds == 1:
+        spans = folded(level, key, ways=True).select(key, F.size("nodes").cast("long").alias("size"), F.lower(F.hex("hash")).alias("root"), F.explode("nodes").alias("_n"))
+        return spans.select(key, "_n.idx", "_n.data", "_n.steps", "size", "root")
+    walk = sizes = None
     for done in range(rounds):
         spans = folded(level, key, ways=True)
         own = spans.select(key, F.explode("nodes").alias("_n")).select(key, F.col("_n.idx").alias("_at"), F.col("_n.steps").alias("_steps"))
         if walk is None:
-            walk = own.select(key, F.col("_at").alias("idx"), F.col("_steps").alias("steps"))
+            walk = spans.select(key, F.explode("nodes").alias("_n")).select(key, "_n.idx", "_n.data", "_n.steps")
+            sizes = spans.groupBy(key).agg(F.sum(F.size("nodes")).alias("size"))
         else:
             joined = walk.withColumn("_at", F.shiftright("idx", DEPTH * done)).join(own, [key, "_at"])
-            walk = joined.select(key, "idx", F.concat("steps", "_steps").alias("steps"))
+            walk = joined.select(key, "idx", "data", F.concat("steps", "_steps").alias("steps"))
         level = spans.select(key, "idx", "hash")
-    return walk
+    tops = level.select(key, F.lower(F.hex("hash")).alias("root"))
+    return walk.join(sizes, key).join(tops, key).select(key, "idx", "data", "steps", "size", "root")
 
 
 def sides(idx: Column, size: Column) -> Column:

@@ -83,8 +83,10 @@ def checked(rows: DataFrame, table: Sequence[Constraint] = GRADES, late: Sequenc
     """
     parsed = rows.where(strip(F.coalesce("value", F.lit(""))) != "").select("line", F.try_parse_json("value").alias("v"))
     judged = parsed.select("line", "v", F.to_json(field(F.col("v"), "id")).alias("id"), reason(F.col("v"), table).alias("error"))
-    first = judged.where("error is null").groupBy("id").agg(F.min("line").alias("_first"))
-    joined = judged.join(first, "id", "left")
+    first = judged.where("error is null").groupBy(F.col("id").alias("_of")).agg(F.min("line").alias("_first"))
+    # lines without an id, which may be most of them, match none; they are dealt by line instead of all to the task of nulls
+    of = F.coalesce("id", F.concat(F.lit("\0"), F.col("line").cast("string")))
+    joined = judged.join(first, of == F.col("_of"), "left")
     error = F.coalesce("error", F.when(F.col("line") != F.col("_first"), F.lit("duplicate id")), reason(F.col("v"), late) if late else F.lit(None))
     return joined.select("line", "v", "id", error.alias("error"))
 

@@ -101,3 +101,19 @@ def test_a_graded_corpus_is_evaluated(spark):
     plain, chained = corpora.graded_corpus(items), corpora.graded_corpus(items, [("none", lambda frame: 1 / 0)])
     assert plain.count() == 20 and plain.exceptAll(chained).count() == 0 and chained.exceptAll(plain).count() == 0
     assert sum(r["n"] for r in evaluate.confusion(plain).collect()) == 20
+
+
+def test_lines_without_an_id_go_to_no_single_task(spark):
+    """Left joins send all null keys to one task; most lines of a bad corpus have none."""
+    rows = spark.range(4000).select(F.col("id").alias("line"), F.when(F.col("id") % 8 == 0, F.concat(F.lit('{"id": '), "id", F.lit(', "claim": "c", "gold": "verified"}'))).otherwise("no JSON").alias("value"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = corpora.checked(rows).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in found) == 4000 and sum(r["bad"] for r in found) == 3500
+    assert max(r["n"] for r in found) < 2000

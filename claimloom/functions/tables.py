@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows a task where each of them takes a scan of a text that is made of it.
+ROWS = 50_000
 
 
 def join_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -16,3 +20,15 @@ def spread(df: DataFrame) -> DataFrame:
     """An input of fewer partitions than there are cores, as small files are, dealt to all of them; any other as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, most: int = ROWS) -> DataFrame:
+    """An input of few bytes and much work, dealt to tasks of at most ``most`` rows wherever one of its partitions has more.
+
+    Neither bytes nor the number of partitions tell: a file is cut by bytes, but a row group is read whole by one task, and
+    the other tasks get nothing. Counting reads no column.
+    """
+    sizes = df.groupBy(F.spark_partition_id()).count()
+    found = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.coalesce(F.max("count"), F.lit(0)).alias("largest")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-found["rows"] // most))) if found["largest"] > min(most, -(-found["rows"] // cores)) else df

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.functions.tables import spread
+from claimloom.functions.tables import dealt, spread
 
 
 class Sql(str):
@@ -133,5 +133,6 @@ def sql(relation: str, engine: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
-    tables = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in set(re.findall(r"\{(\w+)\}", relation))}
+    share = dealt if relation == DRAFTS else spread  # drafts are scanned by all rules, other relations by few or none
+    tables = {t: share(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in set(re.findall(r"\{(\w+)\}", relation))}
     return spark.sql(sql(relation, "spark"), **tables)

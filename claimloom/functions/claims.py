@@ -8,10 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimloom.functions import rules as R
+from claimloom.functions.text import by_letters
 
 
 def matches(text: Column, rule: R.Rule) -> Column:
-    return text.rlike(rule.java)
+    return by_letters(text, rule.java, text.rlike, by_initials([rule]))
+
+
+def all_of(text: Column, rule: R.Rule) -> Column:
+    """All matches of a rule, in order."""
+    return by_letters(text, rule.java, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -55,9 +61,72 @@ def combined(rules: Sequence[R.Rule]) -> str:
     return "(?Ud)" + "|".join([*words, *([joined(others)] if others else [])])
 
 
+def group_end(pattern: str) -> int:
+    """Where the group or class that a pattern begins with ends; 0 if it begins with none."""
+    if pattern[:1] not in ("(", "["):
+        return 0
+    depth, in_class, i = 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        if not depth and not in_class:
+            return i + 1
+        i += 1
+    return 0
+
+
+def pieces(pattern: str) -> list[tuple[str, str, str]]:
+    """A pattern's alternatives as (initial, head, rest): those of a leading group one by one, with what follows it.
+
+    The initial is a lower-case letter, ``0`` for any digit, or empty where it isn't told.
+    """
+    found = []
+    for part in alternatives(pattern):
+        end = group_end(part) if part.startswith("(?:") or (part.startswith("(") and not part.startswith("(?")) else 0
+        if end and part[end : end + 1] not in ("?", "*", "+", "{"):
+            found += [(initial, head + rest, part[end:]) for initial, head, rest in pieces(part[3 if part.startswith("(?:") else 1 : end - 1])]
+        else:
+            one = part[:2] if part.startswith("\\") else part[:1]
+            told = part[len(one) : len(one) + 1] not in ("?", "*", "{")
+            initial = "0" if one == "\\d" or one.isdigit() else one.lower() if one.isascii() and one.isalpha() else ""
+            found.append((initial if told else "", part, ""))
+    return found
+
+
+def by_initials(rules: Sequence[R.Rule]) -> str:
+    """What ``combined`` finds something in, for texts of ASCII only: at a word only alternatives with its initial are tried.
+
+    Where something is found first, and by which alternative, isn't told; so this is for tests, not for extraction.
+    """
+    at_words: dict[str, dict[tuple[str, str], list[str]]] = {}
+    others: list[str] = []
+    for r in rules:
+        for part in alternatives(r.pattern):
+            flags, end = "".join(sorted(set(r.flags))), group_end(part)
+            if part.startswith("(?i:\\b") and end == len(part):
+                flags, part = "".join(sorted({*flags, "i"})), part[4:-1]
+            if not part.startswith("\\b") or len(alternatives(part)) > 1:
+                others.append(f"(?{flags}:{part})")
+                continue
+            for initial, head, rest in pieces(part[2:]):
+                at_words.setdefault(initial, {}).setdefault((flags, rest), []).append(head)
+    merged = lambda groups: "|".join(f"(?{flags}:(?:{'|'.join(dict.fromkeys(heads))}){rest})" for (flags, rest), heads in groups.items())
+    known = {"[0-9]" if i == "0" else f"[{i}{i.upper()}]": merged(groups) for i, groups in at_words.items() if i}
+    words = [f"(?={''.join(c[1:-1] for c in known).join('[]')})(?:{'|'.join(f'(?={c})(?:{p})' for c, p in known.items())})"] if known else []
+    words += [merged(at_words[""])] if "" in at_words else []
+    return "(?d)" + "|".join([*([rf"\b(?:{'|'.join(words)})"] if words else []), *others])
+
+
 def any_of(text: Column, rules: Sequence[R.Rule]) -> Column:
     """Whether any rule matches: one search for all of them, so that the text is computed once."""
-    return text.rlike(combined(rules))
+    return by_letters(text, combined(rules), text.rlike, by_initials(rules))
 
 
 def names_of(text: Column, rules: Sequence[R.Rule]) -> Column:
@@ -90,9 +159,8 @@ def has_citation(sentence: Column) -> Column:
 
 def citation(sentence: Column) -> Column:
     """The first URL, else the first author and year in parentheses, else null."""
-    url = F.regexp_extract(sentence, R.URL.java, 0)
-    apa = F.regexp_extract(sentence, R.APA.java, 0)
-    return F.coalesce(F.nullif(url, F.lit("")), F.nullif(apa, F.lit("")))
+    first = lambda rule: F.get(all_of(sentence, rule), F.lit(0))
+    return F.when(F.contains(sentence, F.lit("(")) | F.contains(sentence, F.lit("://")), F.coalesce(first(R.URL), first(R.APA)))
 
 
 def claim_status(sentence: Column, following: Column) -> Column:
@@ -123,10 +191,10 @@ def load_bearing(sentence: Column) -> Column:
 
 def salient_tokens(claim: Column) -> Column:
     """Numbers, percentages and longer words, lower-cased, distinct, in the order of kind and place."""
-    bare = F.regexp_replace(claim, R.URL.java, "")
-    words = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(R.WORD_TOKEN.java), F.lit(0)), F.lower), lambda w: ~w.isin(R.SALIENT_STOPS))
-    numbers = F.transform(F.regexp_extract_all(bare, F.lit(R.NUMBER_TOKEN.java), F.lit(0)), F.lower)
-    percents = F.transform(F.regexp_extract_all(bare, F.lit(R.PERCENT_TOKEN.java), F.lit(0)), F.lower)
+    bare = by_letters(claim, R.URL.java, lambda p: F.regexp_replace(claim, p, ""))
+    words = F.filter(F.transform(all_of(bare, R.WORD_TOKEN), F.lower), lambda w: ~w.isin(R.SALIENT_STOPS))
+    numbers = F.transform(all_of(bare, R.NUMBER_TOKEN), F.lower)
+    percents = F.transform(all_of(bare, R.PERCENT_TOKEN), F.lower)
     return F.array_distinct(F.concat(numbers, percents, words))
 
 

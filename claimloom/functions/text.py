@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,20 +14,36 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SENTENCE_END = r"(?Ud)(?<=[.!?])\s+|\n+|(?:^|\s)[-*]\s+"
 
 
+#: White space as Unicode has it, what ``(?U)\\s`` finds.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def by_letters(text: Column, pattern: str, made: Callable[[str], Column], plain: str | None = None) -> Column:
+    """``made`` of a pattern that begins with ``(?Ud``, or for texts of ASCII only of the same without Unicode classes, or of ``plain``.
+
+    Unicode classes and word boundaries take longer, and in ASCII find the same.
+    """
+    return F.when(F.octet_length(text) == F.length(text), made(plain or pattern.replace("(?Ud", "(?d", 1))).otherwise(made(pattern))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def sentences(text: Column) -> Column:
     """Sentences in order; cut after ``.!?``, at line ends and at bullets."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END, -1), strip), lambda s: s != "")
+    return F.filter(F.transform(by_letters(text, SENTENCE_END, lambda p: F.split(text, p, -1)), strip), lambda s: s != "")
+
+
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
 
 
 def lines(text: Column) -> Column:
     """Lines in order; a line end at the very end begins no line."""
-    found = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    return once(F.split(text, LINE_END, -1), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found))
 
 
 def truncate(text: Column, most: int) -> Column:
@@ -40,7 +57,7 @@ def fence_mask(found: Column) -> Column:
     A fence is opened by three backticks or tildes, indented by at most three spaces, and closed by the same mark; the fence
     lines count as inside, and a fence that isn't closed runs on to the end.
     """
-    mark = lambda line: F.regexp_extract(line, r"^ {0,3}(```|~~~)", 1)
+    mark = lambda line: F.when(F.contains(line, F.lit("```")) | F.contains(line, F.lit("~~~")), F.regexp_extract(line, r"^ {0,3}(```|~~~)", 1))
     letters = F.array_join(F.transform(found, lambda line: F.when(mark(line) == "```", "b").when(mark(line) == "~~~", "t").otherwise("-")), "")  # one for each line
     blocks = F.regexp_extract_all(letters, F.lit("b[^b]*(?:b|$)|t[^t]*(?:t|$)|-+"), F.lit(0))
     outside = F.array_join(F.transform(blocks, lambda x: F.repeat(F.when(F.startswith(x, F.lit("-")), "1").otherwise("0"), F.length(x))), "")

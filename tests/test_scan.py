@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import claims as C
 from claimloom.functions import rules as R
+from claimloom.functions import tables
 from claimloom.functions import text as T
 from claimloom.functions.text import lines
 from claimloom.operators import claims, context, scan
@@ -177,3 +179,38 @@ def test_canonical_json_and_long_fences(spark):
     began = time.time()
     got = spark.createDataFrame([(long,)], "text string").select(T.fence_mask(T.lines(F.col("text"))).alias("m")).first()["m"]
     assert got == [True, False, False, False, False] * 40_000 + [False, False] and time.time() - began < 60
+
+
+def test_ascii_patterns_find_what_each_rule_finds(spark):
+    """Texts of ASCII are searched by initials and without Unicode classes; each rule by itself tells the same of them and of others."""
+    rules = (*R.CLAIM_TRIGGERS, *(r for r, _ in R.SALIENCE), *R.BOUNDARY_PROFILES["final"], *R.TELLS, *R.CONTAMINATION, *R.SENSITIVITY, *R.CONTEXT_CLASSES, R.HEDGES)
+    words = sorted({w for r in rules for w in re.findall(r"[A-Za-z]+|\\d+|[^\\w\\s]", r.pattern)}) + ["1999", "12", "$5", "\x1c", "\x0b", "\u017f", "\u00e9t\u00e9", "\u2014"]
+    rand = random.Random(5)
+    texts = ["".join(rand.choice(words) + rand.choice(("", " ", " ", "\n", "_")) for _ in range(rand.randint(1, 7))) for _ in range(1500)]
+    differ = [F.count_if(C.matches(F.col("text"), r) != F.col("text").rlike(r.java)).alias(f"_{i}") for i, r in enumerate(rules)]
+    row = frame(spark, texts).agg(*differ).first()
+    assert [r.name for r, n in zip(rules, row) if n] == []
+    assert C.by_initials(R.CLAIM_TRIGGERS).startswith("(?d)\\b(?:(?=[")
+
+
+def test_formulaic_openers_are_not_sentences_in_a_shuffle(spark):
+    """Only openers are shuffled; lines are those of each text, also where fences are blanked and keys repeat."""
+    text = "One. Two.\n```\nMoreover, no.\n```\nFurthermore, a. b.\n\nMoreover, c. In conclusion, d."
+    found = sorted(tuple(r) for r in scan.formulaic(frame(spark, [text, "Moreover, x."])).collect())
+    assert [r[1:] for r in found] == [(7, "formulaic_in_conclusion", 3), (7, "formulaic_moreover", 2)]
+    plan = scan.formulaic(frame(spark, [text]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
+    """A file of one row group gives all its rows to one task, however many partitions it is cut into."""
+    path = str(tmp_path / "one")
+    spark.range(0, 9000, 1, 1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        whole = spark.read.parquet(path)
+        sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert whole.rdd.getNumPartitions() >= 4 and max(sizes(tables.spread(whole))) == 9000
+        assert max(sizes(tables.dealt(whole, 1000))) <= 1100 and sum(sizes(tables.dealt(whole, 1000))) == 9000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -154,8 +154,8 @@ def document_claims(spark, sf_dir):
 
 @query(sentence_sql(rel(X.DRAFTS)) + f"select doc_id, pos, array_to_string({names('sentence', R.CLAIM_TRIGGERS)}, ',') as triggers from s where {hits('sentence', R.CLAIM_TRIGGERS)}")
 def claim_triggers(spark, sf_dir):
-    rows = claims.sentence_rows(drafts(spark, sf_dir)).where(C.any_of(F.col("sentence"), R.CLAIM_TRIGGERS))
-    return rows.select("doc_id", "pos", F.array_join(C.triggers(F.col("sentence")), ",").alias("triggers"))
+    rows = claims.sentence_rows(drafts(spark, sf_dir)).select("doc_id", "pos", "sentence")
+    return claims.claims_with(rows, triggers=F.array_join(C.triggers(F.col("sentence")), ",")).drop("sentence")
 
 
 @query(CLAIMS_SQL + "select doc_id, pos, trigger from c")
@@ -212,7 +212,8 @@ BARE_SQL = f"regexp_replace(sentence, {pattern(R.URL)}, '', 'g')"
 
 @query(PIPELINE_SQL + f", b as (select *, {BARE_SQL} as bare from p), t as (select doc_id, pos, {TOKENS_SQL} as tokens from b) select doc_id, pos, array_to_string(list_sort(list_distinct(tokens)), ',') as tokens from t")
 def salient_tokens(spark, sf_dir):
-    return claims.pipeline_claims(drafts(spark, sf_dir)).select("doc_id", "pos", F.array_join(F.array_sort(C.salient_tokens(F.col("sentence"))), ",").alias("tokens"))
+    tokens = F.array_join(F.array_sort(C.salient_tokens(F.col("sentence"))), ",")
+    return claims.pipeline_claims(drafts(spark, sf_dir), tokens=tokens).select("doc_id", "pos", "tokens")
 
 
 @query(

@@ -163,9 +163,14 @@ def citation(sentence: Column) -> Column:
     return F.when(F.contains(sentence, F.lit("(")) | F.contains(sentence, F.lit("://")), F.coalesce(first(R.URL), first(R.APA)))
 
 
+def leads_citation(sentence: Column) -> Column:
+    """Whether a sentence is a citation, of the one before it."""
+    return F.coalesce(matches(sentence, R.CITATION_LEAD), F.lit(False))
+
+
 def claim_status(sentence: Column, following: Column) -> Column:
     """Supported by a citation in the sentence or by a next sentence that is one; else tagged; else unsupported."""
-    supported = has_citation(sentence) | F.coalesce(matches(following, R.CITATION_LEAD), F.lit(False))
+    supported = has_citation(sentence) | leads_citation(following)
     return F.when(supported, "supported").when(matches(sentence, R.CITE_NEEDED), "tagged").otherwise("unsupported")
 
 

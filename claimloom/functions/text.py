@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What ends a line: CRLF and ten single characters.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-SENTENCE_END = r"(?Ud)(?<=[.!?])\s+|\n+|(?:^|\s)[-*]\s+"
+#: What ends a line besides a line feed; a carriage return takes the line feed after it along.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+#: White space after ``.!?``, line feeds, or a bullet with a space before it. White space is looked for first, as most places have none.
+SENTENCE_END = r"(?Ud)\s(?:(?<=[.!?]\s)\s*|(?<=\n)\n*|[-*]\s+)"
 
 
 #: White space as Unicode has it, what ``(?U)\\s`` finds.
@@ -32,8 +35,13 @@ def strip(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences in order; cut after ``.!?``, at line ends and at bullets."""
-    return F.filter(F.transform(by_letters(text, SENTENCE_END, lambda p: F.split(text, p, -1)), strip), lambda s: s != "")
+    """Sentences in order; cut after ``.!?``, at line ends and at bullets.
+
+    What is between sentences becomes a line feed, which no sentence has, as ``split`` by a pattern compiles it for each text.
+    """
+    led = F.concat(F.lit(" "), text)  # a bullet at the very beginning has none
+    cut = by_letters(text, SENTENCE_END, lambda p: F.regexp_replace(led, p, "\n"))
+    return F.filter(F.transform(F.split(cut, "\n", -1), strip), lambda s: s != "")
 
 
 def once(value: Column, made: Callable[[Column], Column]) -> Column:
@@ -43,7 +51,9 @@ def once(value: Column, made: Callable[[Column], Column]) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines in order; a line end at the very end begins no line."""
-    return once(F.split(text, LINE_END, -1), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found))
+    other = reduce(or_, [F.contains(text, F.lit(c)) for c in LINE_ENDS])
+    fed = F.when(other, F.regexp_replace(text, f"\r\n?|[{LINE_ENDS}]", "\n")).otherwise(text)
+    return once(F.split(fed, "\n", -1), lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found))
 
 
 def truncate(text: Column, most: int) -> Column:

@@ -214,3 +214,42 @@ def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
         assert max(sizes(tables.dealt(whole, 1000))) <= 1100 and sum(sizes(tables.dealt(whole, 1000))) == 9000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_equal_texts_of_a_batch_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(None if i % 7 == 0 else f"k{i}", i, None if i % 5 == 0 else f"text {i % 3}") for i in range(600)], "key string, pos int, content string")
+    grouped = tables.once_a_batch(rows.coalesce(1), "content")
+    assert grouped.count() <= 4 * -(-600 // 64)  # four texts, batches of 64
+    back = grouped.select("content", F.explode("places").alias("p")).select("p.key", "p.pos", "content")
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[1]) == sorted(map(tuple, rows.collect()), key=lambda r: r[1])
+    docs = frame(spark, ["Costs fell by 3 million. As discussed, it rose 4%.\nAs discussed, it rose 4%."] * 40).coalesce(1)
+    for found in (claims.pipeline_claims(docs), claims.claim_rows(docs), scan.boundary(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan
+    assert claims.pipeline_claims(docs).count() == 120 and scan.boundary(docs).count() == 80
+    assert sorted((r["pos"], r["n"]) for r in claims.claim_rows(docs).groupBy("pos").agg(F.count("*").alias("n")).collect()) == [(0, 40), (1, 40), (2, 40)]
+
+
+def test_sentence_cuts_equal_python(spark):
+    rng = random.Random(8)
+    signs = [*"ab.!?-* \n\t\x85\xa0é", "- ", "* ", ". ", ".\n", "\n- "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for r in frame(spark, texts).select("text", T.sentences(F.col("text")).alias("s")).collect():
+        assert r["s"] == [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+|(?:^|\s)[-*]\s+", r["text"]) if p.strip()]
+
+
+def test_sensitivity_equals_its_rules_without_hints(spark):
+    texts = [
+        "api_key: x", "APIKEY=1", "secret-key = a", "Access_Token: b", "PASSWORD: c", "passwd=d", "Bearer: e", "AKIA" + "A1" * 8, "sk-" + "a1" * 12, "-----begin RSA private key-----", "in Cabinet",
+        "the MINISTERIAL", "minister", "legal\n advice", "Crown  Solicitor", "without prejudice", "a PIP", "performance improvement plan", "Termination", "HR investigation", "investigation", "$ 5 million",
+        "ſecret_key: é", "paſſword = 1", "aKia", "cabinets", "é cabinet minister", "", None,
+    ]
+    docs = frame(spark, texts)
+    text = F.coalesce("text", F.lit(""))
+    plain = {r["doc_id"]: r["n"] for r in docs.select("doc_id", C.names_of(text, R.SENSITIVITY).alias("n")).collect()}
+    found = {r["doc_id"]: r for r in scan.sensitivity(docs).collect()}
+    tiers = {r.name: r.tag for r in R.SENSITIVITY}
+    assert {i: r["rules"] for i, r in found.items()} == plain
+    assert {n for names in plain.values() for n in names} == set(R.SENSITIVITY_HINTS) == set(tiers)
+    for i, r in found.items():
+        assert r["rank"] == max([1, *(R.TIERS[tiers[n]] for n in plain[i])]) and R.TIERS[r["tier"]] == r["rank"] and r["blocks"] == (r["rank"] >= 2)

@@ -242,7 +242,7 @@ def test_sensitivity_equals_its_rules_without_hints(spark):
     texts = [
         "api_key: x", "APIKEY=1", "secret-key = a", "Access_Token: b", "PASSWORD: c", "passwd=d", "Bearer: e", "AKIA" + "A1" * 8, "sk-" + "a1" * 12, "-----begin RSA private key-----", "in Cabinet",
         "the MINISTERIAL", "minister", "legal\n advice", "Crown  Solicitor", "without prejudice", "a PIP", "performance improvement plan", "Termination", "HR investigation", "investigation", "$ 5 million",
-        "ſecret_key: é", "paſſword = 1", "aKia", "cabinets", "é cabinet minister", "", None,
+        "ſecret_key: é", "m\u0131n\u0131ster", "M\u0130NISTER", "secret_\u212aey: 1", "— cabinet", "– Termination —", "é paſſwd=", "paſſword = 1", "aKia", "cabinets", "é cabinet minister", "", None,
     ]
     docs = frame(spark, texts)
     text = F.coalesce("text", F.lit(""))
